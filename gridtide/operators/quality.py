@@ -205,7 +205,8 @@ def rebuilt_matches(rebuilt: DataFrame, official: DataFrame, keys: Sequence[str]
     a = rebuilt.select(*keys, F.lit(1).alias("_a"), *[F.col(m).alias(f"rebuilt_{m}") for m in measures])
     b = official.select(*keys, F.lit(1).alias("_b"), *[F.col(m).alias(f"official_{m}") for m in measures])
     j = a.join(b, list(keys), "full_outer")
-    diff = F.greatest(*[F.coalesce(F.abs(F.col(f"rebuilt_{m}") - F.col(f"official_{m}")), F.lit(0.0)) for m in measures])
+    diffs = [F.coalesce(F.abs(F.col(f"rebuilt_{m}") - F.col(f"official_{m}")), F.lit(0.0)) for m in measures]
+    diff = F.greatest(*diffs, F.lit(0.0))
     return (
         j.withColumn("max_abs_diff", diff)
         .withColumn("side", F.when(F.col("_a").isNull(), "official only").when(F.col("_b").isNull(), "rebuilt only").otherwise("both"))

@@ -2,10 +2,11 @@
 
 ``percentile`` and ``rank() over (partition by k)`` gather a whole group in one task.  Here a group is
 first reduced to its distinct values with counts (map-side combined), the values are cut into ranges,
-and the cumulative count is built from three bounded steps: counts per range, a running sum over the
-ranges of a group, and a running sum inside one range.  Ranges are equal-width between exact minima and
-maxima and are subdivided once more, so outliers do not collapse the scale; they depend only on the
-data, never on partitioning, which keeps task retries harmless.
+and the cumulative count is built from bounded steps: counts per range, a running sum over the ranges of
+a group, and a running sum inside one range.  Ranges are logarithmic in the value and are then
+subdivided evenly between their exact minimum and maximum, so neither outliers nor a cluster far from
+zero ends up in one range.  They depend only on the data, never on partitioning or sampling, which keeps
+task retries harmless.
 
 On grid tables, whose groups are bounded by the calendar, plain windows and ``percentile`` are used.
 """
@@ -16,8 +17,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridtide.functions import timecols as tc
 
 RANGES = 512
+PER_OCTAVE = 32
+
+
+def _as_number(df: DataFrame, c: str) -> Column:
+    """A number that grows with the column (equal for close values is fine: it only selects a range)."""
+    t = df.schema[c].dataType
+    if isinstance(t, (T.TimestampNTZType, T.TimestampType)):
+        return tc.epoch_seconds(c).cast("double")
+    if isinstance(t, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    return F.col(c).cast("double")
 
 
 def ranked_values(
@@ -29,35 +44,35 @@ def ranked_values(
 ) -> DataFrame:
     """One row per (keys, distinct value): ``ties`` rows with it, ``below`` rows under it, ``n`` in the
     group.  ``extra`` adds aggregates (name -> aggregate Column) computed per distinct value."""
-    keys = list(keys) or ["_all"]
-    src = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    vc = src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+    by = list(keys) or ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    vc = src.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("ties"), *[c.alias(n) for n, c in (extra or {}).items()]
     )
-    stats = vc.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("ties").alias("n")
+    x = _as_number(df, value)
+    octave = (F.signum(x) * (F.floor(F.log2(F.abs(x)) * F.lit(float(PER_OCTAVE))) + F.lit(40000))).cast("int")
+    one = vc.withColumn("_rv_x", x).withColumn("_rv_b1", F.when(x == 0, F.lit(0)).otherwise(octave))
+    w1 = Window.partitionBy(*by).orderBy("_rv_b1").rowsBetween(Window.unboundedPreceding, -1)
+    o1 = (
+        one.groupBy(*by, "_rv_b1").agg(F.sum("ties").alias("_rv_c"), F.min("_rv_x").alias("_rv_lo"), F.max("_rv_x").alias("_rv_hi"))
+        .withColumn("_rv_o1", F.coalesce(F.sum("_rv_c").over(w1), F.lit(0)))
+        .withColumn("n", F.sum("_rv_c").over(Window.partitionBy(*by)))
+        .drop("_rv_c")
     )
-
-    def bucket(v: str) -> Column:
-        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-        pos = (F.col(v).cast("double") - F.col("_lo").cast("double")) / width * F.lit(float(ranges))
-        return F.when(width > 0, F.least(F.floor(pos), F.lit(ranges - 1))).otherwise(F.lit(0)).cast("int")
-
-    one = vc.join(stats, keys).withColumn("_b1", bucket(value)).drop("_lo", "_hi")
-
-    def offsets(t: DataFrame, inside: list[str], b: str, off: str, more: list[Column]) -> DataFrame:
-        w = Window.partitionBy(*inside).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        g = t.groupBy(*inside, b).agg(F.sum("ties").alias("_c"), *more)
-        return g.withColumn(off, F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-
-    o1 = offsets(one, keys, "_b1", "_o1", [F.min(value).alias("_lo"), F.max(value).alias("_hi")])
-    two = one.join(o1, [*keys, "_b1"]).withColumn("_b2", bucket(value)).drop("_lo", "_hi")
-    o2 = offsets(two, [*keys, "_b1"], "_b2", "_o2", [])
-    three = two.join(o2, [*keys, "_b1", "_b2"])
-    w3 = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    width = F.col("_rv_hi") - F.col("_rv_lo")
+    part = F.least(F.floor((F.col("_rv_x") - F.col("_rv_lo")) / width * F.lit(float(ranges))), F.lit(ranges - 1))
+    two = one.join(o1, [*by, "_rv_b1"]).withColumn("_rv_b2", F.when(width > 0, part).otherwise(F.lit(0)).cast("int"))
+    w2 = Window.partitionBy(*by, "_rv_b1").orderBy("_rv_b2").rowsBetween(Window.unboundedPreceding, -1)
+    o2 = (
+        two.groupBy(*by, "_rv_b1", "_rv_b2").agg(F.sum("ties").alias("_rv_c"))
+        .withColumn("_rv_o2", F.coalesce(F.sum("_rv_c").over(w2), F.lit(0)))
+        .drop("_rv_c")
+    )
+    w3 = Window.partitionBy(*by, "_rv_b1", "_rv_b2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        three.withColumn("below", F.col("_o1") + F.col("_o2") + F.coalesce(F.sum("ties").over(w3), F.lit(0)))
-        .drop("_b1", "_b2", "_o1", "_o2", "_all")
+        two.join(o2, [*by, "_rv_b1", "_rv_b2"])
+        .withColumn("below", F.col("_rv_o1") + F.col("_rv_o2") + F.coalesce(F.sum("ties").over(w3), F.lit(0)))
+        .drop("_rv_x", "_rv_lo", "_rv_hi", "_rv_b1", "_rv_b2", "_rv_o1", "_rv_o2", "_all")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
@@ -360,25 +360,20 @@ def activation_hours(imbalance: DataFrame, hourly: DataFrame, single_from: Colum
 
 
 def decision_hours(
-    versus: DataFrame, forecast: DataFrame, imbalance: DataFrame, single_from: Column, separate_from: Column
+    forecast: DataFrame, imbalance: DataFrame, single_from: Column, separate_from: Column
 ) -> DataFrame:
     """What a desk knew at the gate (settled hours up to t-2) beside the outcome of hour t, on a full grid."""
     keys = ["area", "hour_utc"]
     base = (
-        versus.where(F.col("imbalance_minus_spot_eur").isNotNull())
-        .select(*keys, "price_eur", "imbalance_price_eur", F.col("imbalance_minus_spot_eur").alias("gap"))
-        .join(
-            forecast.select(
-                *keys, "wind_fc_da_mwh", "wind_fc_id_mwh", "wind_fc_5h_mwh", "wind_fc_1h_mwh", "wind_actual_mwh",
-                "consumption_mwh", "solar_fc_da_mwh",
-            ),
-            keys,
+        forecast.select(
+            *keys, "price_eur", "wind_fc_da_mwh", "wind_fc_id_mwh", "wind_fc_5h_mwh", "wind_fc_1h_mwh", "wind_actual_mwh",
+            "consumption_mwh", "solar_fc_da_mwh",
         )
-        .join(imbalance.select(*keys, "mfrr_up_mwh", "mfrr_down_mwh", "imbalance_mwh"), keys, "left")
+        .join(imbalance.select(*keys, "imbalance_price_eur", "mfrr_up_mwh", "mfrr_down_mwh", "imbalance_mwh"), keys)
+        .withColumn("gap", F.col("imbalance_price_eur") - F.col("price_eur"))
+        .where(F.col("gap").isNotNull())
     )
     g = grid.complete_grid(base, ["area"], "hour_utc")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("area").orderBy("hour_utc")
     sgn = F.signum("gap")
     act = F.coalesce("mfrr_up_mwh", F.lit(0.0)) - F.coalesce("mfrr_down_mwh", F.lit(0.0))

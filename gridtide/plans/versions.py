@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_sum
 from gridtide.functions.numbers import row_range
 from gridtide.operators import ranking
-from gridtide.operators.grid import resample_complete_readings  # noqa: F401  (used by callers of anatomy)
 from gridtide.plans.marts import VERSIONS
 
 EPS_MWH = 0.5
@@ -96,23 +95,26 @@ def convergence(full: DataFrame, by: Sequence[Column | str], by_names: Sequence[
     keys = [*by_names, "version"]
     big = F.col("v_settled") >= min_settled
     pct = F.when(big, F.col("abs_err") / F.col("v_settled") * 100.0)
-    base = e.withColumn("pct", F.round(pct, 6)).groupBy(*keys).agg(
+    # a group is one area's hours of one period, bounded by the calendar
+    return e.withColumn("pct", F.round(pct, 6)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("hours"),
         exact_avg("abs_err").alias("mae_mwh"),
         exact_avg("err").alias("bias_mwh"),
         F.avg((F.col("pct") <= 5).cast("double")).alias("within_5pct"),
         F.avg((F.col("pct") <= 10).cast("double")).alias("within_10pct"),
         exact_avg("v_settled").alias("mean_settled_mwh"),
+        F.percentile("abs_err", 0.5).alias("median_abs_mwh"),
+        F.percentile("abs_err", 0.9).alias("p90_abs_mwh"),
     )
-    q = ranking.quantile_columns(e, keys, "abs_err", {"median_abs_mwh": 0.5, "p90_abs_mwh": 0.9}).drop("n")
-    return base.join(q, keys, "left")
 
 
 def terciles(full: DataFrame, by: str) -> DataFrame:
     """Hours labelled calm / medium / windy by the settled terciles of their area."""
-    cuts = ranking.quantile_columns(full, [by], "v_settled", {"_c1": 1 / 3, "_c2": 2 / 3}).drop("n")
+    w = Window.partitionBy(by)  # the hours of one area: bounded by the calendar
+    cut = lambda p: F.percentile("v_settled", p).over(w)
     return (
-        full.join(cuts, by)
+        full.withColumn("_c1", cut(1 / 3))
+        .withColumn("_c2", cut(2 / 3))
         .withColumn(
             "level",
             F.when(F.col("v_settled") <= F.col("_c1"), "calm").when(F.col("v_settled") <= F.col("_c2"), "medium").otherwise("windy"),
@@ -122,19 +124,14 @@ def terciles(full: DataFrame, by: str) -> DataFrame:
 
 
 def disagreement_by_tercile(full: DataFrame, by: str) -> DataFrame:
-    lab = terciles(full, by)
-    span = lab.groupBy(by, "level").agg(
+    """Span of each tercile and the median disagreement of every version in it."""
+    return terciles(full, by).groupBy(by, "level").agg(
         F.count(F.lit(1)).alias("hours"),
         F.min("v_settled").alias("settled_from"),
         F.max("v_settled").alias("settled_to"),
         exact_avg("v_settled").alias("mean_settled_mwh"),
+        *[F.percentile(F.round(F.abs(F.col(c) - F.col("v_settled")), 4), 0.5).alias(f"median_{c}") for _, c in VERSIONS[:5]],
     )
-    e = melt_errors(lab, [by, "level"])
-    q = ranking.exact_quantiles(e, [by, "level", "version"], "abs_err", [0.5])
-    wide = q.groupBy(by, "level").agg(
-        *[F.max(F.when(F.col("version") == n, F.col("quantile"))).alias(f"median_{c}") for n, c in VERSIONS[:5]]
-    )
-    return span.join(wide, [by, "level"])
 
 
 def fit_tolerance(full: DataFrame, min_settled: float, percentile: float = 0.99) -> DataFrame:
@@ -194,8 +191,9 @@ def median_hour(full: DataFrame, area: str, min_settled: float) -> DataFrame:
     x = full.where(F.col("v_settled") >= min_settled).withColumn(
         "pct", F.round(F.abs(F.col("v_realtime") - F.col("v_settled")) / F.col("v_settled"), 9)
     )
-    p = ranking.positions(x, [area], "pct", "hour_utc")
-    return p.where(F.col("position") == F.floor(F.col("n") / 2)).select(area, "hour_utc", "pct")
+    w = Window.partitionBy(area)  # the hours of one area: bounded by the calendar
+    p = x.withColumn("_p", F.row_number().over(w.orderBy("pct", "hour_utc")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    return p.where(F.col("_p") == F.floor(F.col("_n") / 2)).select(area, "hour_utc", "pct")
 
 
 def cost_of_version(full: DataFrame, by: Sequence[str], share: float) -> DataFrame:

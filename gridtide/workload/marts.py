@@ -84,5 +84,5 @@ from d"""
 )
 def decision_hours(spark, sf):
     w = Warehouse(spark, sf)
-    d = marts.decision_hours(w.forecast_vs_imbalance, w.forecast_hourly, w.stg_imbalance, tc.ntz(SINGLE), tc.ntz(SEPARATE))
+    d = marts.decision_hours(w.forecast_hourly, w.stg_imbalance, tc.ntz(SINGLE), tc.ntz(SEPARATE))
     return d.withColumn("hod_sin", F.round("hod_sin", 9)).withColumn("hod_cos", F.round("hod_cos", 9))
