@@ -211,3 +211,10 @@ def is_nerc_holiday(c: Column | str) -> Column:
         | (d == _nth_weekday(y, 11, 3, 4))
         | (d == fixed_day(12, 25))
     )
+
+
+def floor_second(c: Column | str) -> Column:
+    c = _col(c)
+    return F.call_function(
+        "make_timestamp_ntz", F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.second(c).cast("decimal(8,6)")
+    )

@@ -206,7 +206,7 @@ def resample_readings(spark, sf):
       from z group by 1, 2""",
 )
 def time_weighted(spark, sf):
-    s = feed(spark, sf).groupBy("area", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("t")).agg(F.max("value").alias("value"))
+    s = feed(spark, sf).groupBy("area", tc.floor_second("ts").alias("t")).agg(F.max("value").alias("value"))
     return grid.time_weighted_hourly(s, ["area"], "t", ["value"])
 
 
