@@ -23,6 +23,11 @@ def fixed(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
     return F.floor(_col(c) * F.lit(float(10**scale)) + F.lit(0.5)).cast("bigint")
 
 
+def rounded(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
+    """The value rounded to ``scale`` digits by plain double arithmetic (halves up)."""
+    return fixed(c, scale).cast("double") / F.lit(float(10**scale))
+
+
 def exact_sum(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
     return F.sum(fixed(c, scale)).cast("double") / F.lit(float(10**scale))
 
