@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,8 +40,14 @@ def local_session(cpus: str | None = None, app: str = "gridtide") -> SparkSessio
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if path is None:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
+
+
+def working_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables and stream state, under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
