@@ -45,3 +45,39 @@ def exact_avg_over(c: Column | str, window, scale: int = DEFAULT_SCALE) -> Colum
     return F.sum(fixed(c, scale)).over(window).cast("double") / (
         F.count(_col(c)).over(window).cast("double") * F.lit(float(10**scale))
     )
+
+
+def _prefix_difference(agg: Column, ordered, first: int, last: int) -> Column:
+    """An integer aggregate over RANGE first..last as the difference of two growing frames.
+
+    Spark re-adds every row of a sliding frame for each output row; growing frames only add the new rows.
+    With integers the difference is exact.  ``ordered`` is a window ordered by an integer day number.
+    """
+    from pyspark.sql import Window
+
+    start = Window.unboundedPreceding
+    upto = F.coalesce(agg.over(ordered.rangeBetween(start, last)), F.lit(0))
+    before = F.coalesce(agg.over(ordered.rangeBetween(start, first - 1)), F.lit(0))
+    return upto - before
+
+
+def sliding_count(c: Column | str, ordered, first: int, last: int) -> Column:
+    return _prefix_difference(F.count(_col(c)), ordered, first, last)
+
+
+def sliding_fixed_sum(c: Column | str, ordered, first: int, last: int, scale: int = DEFAULT_SCALE) -> Column:
+    return _prefix_difference(F.sum(fixed(c, scale)), ordered, first, last)
+
+
+def sliding_avg(c: Column | str, ordered, first: int, last: int, scale: int = DEFAULT_SCALE) -> Column:
+    """Mean over the days first..last relative to the row's day; null without a value."""
+    n = sliding_count(c, ordered, first, last)
+    s = sliding_fixed_sum(c, ordered, first, last, scale)
+    return F.when(n > 0, s.cast("double") / (n.cast("double") * F.lit(float(10**scale))))
+
+
+def sliding_share(cond: Column, ordered, first: int, last: int) -> Column:
+    """Share of the rows of the frame where a condition holds (rows where it is unknown are left out)."""
+    n = sliding_count(cond, ordered, first, last)
+    hits = sliding_count(F.when(cond, F.lit(1)), ordered, first, last)
+    return F.when(n > 0, hits.cast("double") / n.cast("double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,17 @@ from pyspark.sql import functions as F
 from gridtide.functions import timecols as tc
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys match each other.
+
+    Unlike a plain join it adds no not-null filter to either side, so two branches of one DataFrame keep
+    the same plan and Spark runs their common shuffle once.
+    """
+    r = right.withColumnsRenamed({k: f"_rk_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in keys])
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,

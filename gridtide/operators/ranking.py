@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtide.functions import timecols as tc
+from gridtide.operators.joins import null_safe
 
-RANGES = 512
-PER_OCTAVE = 32
+RANGES = 256
+PER_OCTAVE = 16
+SMALL = 10_000  # a range with fewer distinct values than this is not subdivided
 
 
 def _as_number(df: DataFrame, c: str) -> Column:
@@ -54,14 +56,14 @@ def ranked_values(
     one = vc.withColumn("_rv_x", x).withColumn("_rv_b1", F.when(x == 0, F.lit(0)).otherwise(octave))
     w1 = Window.partitionBy(*by).orderBy("_rv_b1").rowsBetween(Window.unboundedPreceding, -1)
     o1 = (
-        one.groupBy(*by, "_rv_b1").agg(F.sum("ties").alias("_rv_c"), F.min("_rv_x").alias("_rv_lo"), F.max("_rv_x").alias("_rv_hi"))
+        one.groupBy(*by, "_rv_b1").agg(F.sum("ties").alias("_rv_c"), F.min("_rv_x").alias("_rv_lo"), F.max("_rv_x").alias("_rv_hi"), F.count(F.lit(1)).alias("_rv_d"))
         .withColumn("_rv_o1", F.coalesce(F.sum("_rv_c").over(w1), F.lit(0)))
         .withColumn("n", F.sum("_rv_c").over(Window.partitionBy(*by)))
         .drop("_rv_c")
     )
     width = F.col("_rv_hi") - F.col("_rv_lo")
     part = F.least(F.floor((F.col("_rv_x") - F.col("_rv_lo")) / width * F.lit(float(ranges))), F.lit(ranges - 1))
-    two = one.join(o1, [*by, "_rv_b1"]).withColumn("_rv_b2", F.when(width > 0, part).otherwise(F.lit(0)).cast("int"))
+    two = null_safe(one, o1, [*by, "_rv_b1"]).withColumn("_rv_b2", F.when((width > 0) & (F.col("_rv_d") > SMALL), part).otherwise(F.lit(0)).cast("int"))
     w2 = Window.partitionBy(*by, "_rv_b1").orderBy("_rv_b2").rowsBetween(Window.unboundedPreceding, -1)
     o2 = (
         two.groupBy(*by, "_rv_b1", "_rv_b2").agg(F.sum("ties").alias("_rv_c"))
@@ -70,9 +72,9 @@ def ranked_values(
     )
     w3 = Window.partitionBy(*by, "_rv_b1", "_rv_b2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        two.join(o2, [*by, "_rv_b1", "_rv_b2"])
+        null_safe(two, o2, [*by, "_rv_b1", "_rv_b2"])
         .withColumn("below", F.col("_rv_o1") + F.col("_rv_o2") + F.coalesce(F.sum("ties").over(w3), F.lit(0)))
-        .drop("_rv_x", "_rv_lo", "_rv_hi", "_rv_b1", "_rv_b2", "_rv_o1", "_rv_o2", "_all")
+        .drop("_rv_x", "_rv_lo", "_rv_hi", "_rv_d", "_rv_b1", "_rv_b2", "_rv_o1", "_rv_o2", "_all")
     )
 
 

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.functions.exact import exact_avg_over, exact_sum_over, fixed
+from gridtide.functions.exact import (
+    exact_sum_over, fixed, sliding_avg, sliding_count, sliding_share,
+)
 
 
 def day_index(day: Column | str) -> Column:
@@ -24,6 +26,11 @@ def days_window(keys: Sequence[str], day: str, first: int, last: int):
     return Window.partitionBy(*keys).orderBy(day_index(day)).rangeBetween(first, last)
 
 
+def by_day(keys: Sequence[str], day: str):
+    """Window of one entity ordered by day number, to be used with the ``sliding_*`` expressions."""
+    return Window.partitionBy(*keys).orderBy(day_index(day))
+
+
 def rows_window(keys: Sequence[str], order: str, first: int, last: int):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(first, last)
 
@@ -32,23 +39,23 @@ def trailing_stats(
     df: DataFrame, keys: Sequence[str], day: str, value: str, days: int, prefix: str, spike: float | None = None
 ) -> DataFrame:
     """Mean, median, sample deviation, count and two tail rates over D-days .. D-1."""
-    w = days_window(keys, day, -days, -1)
+    w, o = days_window(keys, day, -days, -1), by_day(keys, day)
     v = F.col(value)
     out = (
-        df.withColumn(f"{prefix}_mean", exact_avg_over(v, w))
+        df.withColumn(f"{prefix}_mean", sliding_avg(v, o, -days, -1))
         .withColumn(f"{prefix}_median", F.call_function("percentile", v, F.lit(0.5)).over(w))
         .withColumn(f"{prefix}_std", F.stddev_samp(v).over(w))
-        .withColumn(f"{prefix}_n", F.count(v).over(w))
+        .withColumn(f"{prefix}_n", sliding_count(v, o, -days, -1))
     )
     if spike is not None:
-        out = out.withColumn(f"{prefix}_up_rate", F.avg((v > spike).cast("double")).over(w)).withColumn(
-            f"{prefix}_down_rate", F.avg((v < -spike).cast("double")).over(w)
+        out = out.withColumn(f"{prefix}_up_rate", sliding_share(v > spike, o, -days, -1)).withColumn(
+            f"{prefix}_down_rate", sliding_share(v < -spike, o, -days, -1)
         )
     return out
 
 
 def trailing_mean(df: DataFrame, keys: Sequence[str], day: str, value: str, days: int, out: str) -> DataFrame:
-    return df.withColumn(out, exact_avg_over(value, days_window(keys, day, -days, -1)))
+    return df.withColumn(out, sliding_avg(value, by_day(keys, day), -days, -1))
 
 
 def trailing_quantile(df: DataFrame, keys: Sequence[str], day: str, value: str, days: int, q: float, out: str) -> DataFrame:
@@ -121,10 +128,12 @@ def masked_trailing(
     line = ask.select(*keys, F.col(decision_day).alias("_day"), F.lit(True).alias("_q"), F.lit(0).cast("bigint").alias("_s"), F.lit(0).cast("bigint").alias("_n")).unionByName(
         per_day.select(*keys, "_day", F.lit(False).alias("_q"), "_s", "_n")
     )
-    w = days_window(keys, "_day", -days, -1)
+    o = by_day(keys, "_day")
+    start = Window.unboundedPreceding
+    grow = lambda c, last: F.coalesce(F.sum(c).over(o.rangeBetween(start, last)), F.lit(0))
     bulk = (
-        line.withColumn("_ws", F.coalesce(F.sum("_s").over(w), F.lit(0)))
-        .withColumn("_wn", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        line.withColumn("_ws", grow("_s", -1) - grow("_s", -days - 1))
+        .withColumn("_wn", grow("_n", -1) - grow("_n", -days - 1))
         .where("_q")
         .select(*keys, F.col("_day").alias(decision_day), "_ws", "_wn")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import numbers
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg, exact_avg_over, exact_sum, fixed
+from gridtide.functions.exact import exact_avg, exact_sum, fixed, sliding_avg, sliding_count, sliding_share
 from gridtide.operators import joins, ranking, trailing
 from gridtide.operators.dedup import newest_k
 from gridtide.operators.setops import table_differences
@@ -21,25 +21,25 @@ def zone_slot_features(panel: DataFrame, zone: str, slot: str, day: str, price:
 
     All frames share one partitioning and one sort, so the five windows cost a single shuffle.
     """
-    keys = [zone, slot]
+    o = trailing.by_day([zone, slot], day)
+    g = F.col(gap)
 
-    def w(n: int):
-        return trailing.days_window(keys, day, -n, -1)
+    def yesterday(c: str) -> Column:
+        return F.max(c).over(o.rangeBetween(-1, -1))
 
-    g = F.col(gap)
     return panel.select(
         day,
         zone,
         slot,
-        F.max(price).over(w(1)).alias("price_dm1"),
-        exact_avg_over(price, w(7)).alias("price_7d"),
-        F.max(gap).over(w(1)).alias("gap_dm1"),
-        exact_avg_over(gap, w(7)).alias("gap_7d"),
-        exact_avg_over(gap, w(28)).alias("gap_28d"),
-        F.avg((g > spike).cast("double")).over(w(28)).alias("spike_28d"),
-        F.avg((g < -spike).cast("double")).over(w(28)).alias("negspike_28d"),
-        exact_avg_over(gap, w(365)).alias("gap_365d"),
-        F.count(gap).over(w(365)).alias("n_365d"),
+        yesterday(price).alias("price_dm1"),
+        sliding_avg(price, o, -7, -1).alias("price_7d"),
+        yesterday(gap).alias("gap_dm1"),
+        sliding_avg(gap, o, -7, -1).alias("gap_7d"),
+        sliding_avg(gap, o, -28, -1).alias("gap_28d"),
+        sliding_share(g > spike, o, -28, -1).alias("spike_28d"),
+        sliding_share(g < -spike, o, -28, -1).alias("negspike_28d"),
+        sliding_avg(gap, o, -365, -1).alias("gap_365d"),
+        sliding_count(gap, o, -365, -1).alias("n_365d"),
     )
 
 
@@ -113,14 +113,14 @@ def border_features(panel: DataFrame, zone: str, slot: str, day: str, gap: str,
 def specialist_features(panel: DataFrame, zone: str, slot: str, day: str, gap: str, price: str, move: float) -> DataFrame:
     """Rates of large moves up and down over 28 days, 28-day upper decile and the share of large prices."""
     keys = [zone, slot]
-    w = trailing.days_window(keys, day, -28, -1)
+    w, o = trailing.days_window(keys, day, -28, -1), trailing.by_day(keys, day)
     g = F.col(gap)
     return panel.select(
         day, zone, slot,
-        F.avg((g > move).cast("double")).over(w).alias("up_rate"),
-        F.avg((g < -move).cast("double")).over(w).alias("down_rate"),
+        sliding_share(g > move, o, -28, -1).alias("up_rate"),
+        sliding_share(g < -move, o, -28, -1).alias("down_rate"),
         F.call_function("percentile", g, F.lit(0.9)).over(w).alias("gap_q90_28d"),
-        F.avg((F.abs(g) > 0.05 * F.col(price)).cast("double")).over(w).alias("wide_share"),
+        sliding_share(F.abs(g) > 0.05 * F.col(price), o, -28, -1).alias("wide_share"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg, exact_avg_over, exact_sum
+from gridtide.functions.exact import exact_avg, exact_sum, sliding_avg
 from gridtide.operators import trailing
 from gridtide.plans import positions as pos
 from gridtide.workload.bindings import PANEL, panel, with_, xavg, xavg_over, xsum, xsum_over
@@ -26,9 +26,8 @@ LO, HI = "1995-01-01", "2001-12-31"
 def rule_panel(spark, sf, override=None):
     """The panel with two trailing scores (known before the day) and the costs of both sides."""
     p = panel(spark, sf)
-    keys = ["zone", "slot"]
-    p = p.withColumn("s365", exact_avg_over("gap", trailing.days_window(keys, "delivery_date", -365, -1)))
-    p = p.withColumn("s28", exact_avg_over("gap", trailing.days_window(keys, "delivery_date", -28, -1)))
+    o = trailing.by_day(["zone", "slot"], "delivery_date")
+    p = p.select("*", sliding_avg("gap", o, -365, -1).alias("s365"), sliding_avg("gap", o, -28, -1).alias("s28"))
     return pos.with_costs(p, fees(spark), "delivery_date", override)
 
 
