@@ -124,7 +124,14 @@ def masked_trailing(
         F.sum(fixed(value)).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     per_day = cells.groupBy(*keys, F.col(value_day).alias("_day")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    ask = values.select(*keys).distinct().join(F.broadcast(decisions.select(decision_day).distinct()))
+    asked = decisions.select(F.col(decision_day).alias("_day")).distinct()
+    span = decisions.agg(F.min(decision_day).alias("_a"), F.max(decision_day).alias("_b"))  # one row
+    ask = (
+        values.select(*keys).distinct().join(F.broadcast(span))
+        .withColumn("_day", F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))))
+        .join(asked, "_day", "left_semi")
+        .withColumnRenamed("_day", decision_day)
+    )
     line = ask.select(*keys, F.col(decision_day).alias("_day"), F.lit(True).alias("_q"), F.lit(0).cast("bigint").alias("_s"), F.lit(0).cast("bigint").alias("_n")).unionByName(
         per_day.select(*keys, "_day", F.lit(False).alias("_q"), "_s", "_n")
     )

@@ -287,7 +287,7 @@ def equal_risk(daily: DataFrame, name: str, day: str, pnl: str, budget: float, c
     s = sizing(daily, [name], day, pnl, budget, cap).where(F.col("net") > 0).select(name, "scale")
     n = s.agg(F.count(F.lit(1)).alias("_n"))
     w = s.join(F.broadcast(n)).select(name, (F.col("scale") / F.col("_n")).alias("weight"))
-    return daily.join(F.broadcast(w), name).groupBy(day).agg(exact_sum(F.col("weight") * F.col(pnl)).alias("portfolio_pnl"))
+    return daily.join(w, name).groupBy(day).agg(exact_sum(F.col("weight") * F.col(pnl)).alias("portfolio_pnl"))
 
 
 def weighted_mix(daily: DataFrame, weights: DataFrame, name: str, day: str, pnl: str) -> DataFrame:

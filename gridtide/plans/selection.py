@@ -64,8 +64,9 @@ def trailing_quarters(df: DataFrame, keys: Sequence[str], day: str, value: str,
         F.coalesce(F.sum(v), F.lit(0)).alias("_s"), F.coalesce(F.sum(F.when(is_last, v)), F.lit(0)).alias("_l"),
         F.count(value).alias("_n"), F.count(F.when(is_last, F.col(value))).alias("_ln"),
     )
-    every = df.agg(F.min(q).alias("_a"), (F.max(q) + 1).alias("_b")).select(F.explode(F.sequence("_a", "_b")).alias("_q"))
-    line = per.select(*keys).distinct().join(F.broadcast(every)).join(per, [*keys, "_q"], "left").na.fill(0, ["_s", "_l", "_n", "_ln"])
+    span = df.agg(F.min(q).alias("_a"), (F.max(q) + 1).alias("_b"))  # one row
+    every = per.select(*keys).distinct().join(F.broadcast(span)).select(*keys, F.explode(F.sequence("_a", "_b")).alias("_q"))
+    line = every.join(per, [*keys, "_q"], "left").na.fill(0, ["_s", "_l", "_n", "_ln"])
     w = Window.partitionBy(*keys).orderBy("_q")
     all_q, last_q = w.rangeBetween(-quarters, -1), w.rangeBetween(-1, -1)
     year = F.floor((F.col("_q") - 1) / 4).cast("int")

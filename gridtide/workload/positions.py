@@ -203,7 +203,7 @@ def zone_subset(spark, sf):
 
     led = pos.ledger(rule_panel(spark, sf), F.lit(-1.0))
     q = ranking.quantile_columns(led.select("zone", "gap"), ["zone"], "gap", {"q": 0.99}).drop("n")
-    m = led.join(F.broadcast(q), "zone").groupBy("zone").agg(exact_sum(F.when(F.col("gap") <= F.col("q"), F.col("pnl")).otherwise(0.0)).alias("trimmed"))
+    m = led.join(q, "zone").groupBy("zone").agg(exact_sum(F.when(F.col("gap") <= F.col("q"), F.col("pnl")).otherwise(0.0)).alias("trimmed"))
     worst = led.groupBy("zone", "delivery_date").agg(exact_sum("pnl").alias("net")).groupBy("zone").agg(F.min("net").alias("worst"))
     # one row per zone
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("worst"), "zone"))
