@@ -113,9 +113,9 @@ def choose_pairs(pairs_daily: DataFrame, day: str, pair: str, k: int = 5, quarte
 
 
 def usual_sides(spreads: DataFrame, day: str, keys: Sequence[str], spread: str, quarters: int = 12) -> DataFrame:
-    """Sign of the mean spread over the trailing quarters per key and period."""
+    """Sign of the mean spread over the trailing quarters per key and period; no row without history."""
     t = trailing_quarters(spreads, keys, day, spread, quarters)
-    return t.select(*keys, "period", F.when(F.col("trailing_rows") > 0, F.signum("trailing_net")).otherwise(0.0).alias("side"))
+    return t.where(F.col("trailing_rows") > 0).select(*keys, "period", F.signum("trailing_net").alias("side"))
 
 
 def static_pairs(spreads: DataFrame, day: str, pair: str, slot: str, spread: str, cost: str, k: int = 5) -> DataFrame:
