@@ -62,12 +62,12 @@ def forecast_features(spark, sf):
 @query(
     "point_distribution",
     oracle=f"""with p as (select l_suppkey, date_trunc('month', l_shipdate)::date as month, {xavg('l_extendedprice', 2)} as v from lineitem group by 1, 2)
-      select month, round(quantile_cont(v, 0.05), 4) as p05, round(quantile_cont(v, 0.5), 4) as p50, round(quantile_cont(v, 0.95), 4) as p95, count(*) as n, round(stddev_samp(v), 4) as std from p group by 1""",
+      select month, round(quantile_cont(v, 0.05), 7) as p05, round(quantile_cont(v, 0.5), 7) as p50, round(quantile_cont(v, 0.95), 7) as p95, count(*) as n, round(stddev_samp(v), 4) as std from p group by 1""",
 )
 def point_distribution(spark, sf):
     p = load(spark, sf, "lineitem").groupBy("l_suppkey", tc.month_start("l_shipdate").alias("month")).agg(exact_avg("l_extendedprice", 2).alias("v"))
     d = features.point_distribution(p, ["month"], "v")
-    return d.select("month", *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")], "n", F.round("std", 4).alias("std"))
+    return d.select("month", *[F.round(c, 7).alias(c) for c in ("p05", "p50", "p95")], "n", F.round("std", 4).alias("std"))
 
 
 @query(
