@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_sum
 from gridtide.operators import ranking
-from gridtide.workload.bindings import AREAS, FEED, PANEL, ZONE, ZONES, Warehouse, feed, load, panel, warehouse_sql, with_, xavg, xsum
+from gridtide.workload.bindings import AREAS, FEED, PANEL, ZONE, Warehouse, feed, load, panel, warehouse_sql, with_, xavg, xsum
 from gridtide.workload.registry import query
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.operators import grid, publication, quality
+from gridtide.operators import grid, quality
 from gridtide.workload.bindings import (
     PANEL, SEAM, ZONE, Warehouse, feed, FEED, load, panel, warehouse_sql, with_, xavg, xsum,
 )

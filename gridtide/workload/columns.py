@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import names, numbers
 from gridtide.functions import timecols as tc
-from gridtide.workload.bindings import FEED, ZONE, feed, load, with_
+from gridtide.workload.bindings import FEED, feed, load, with_
 from gridtide.workload.registry import query
 
 

@@ -263,7 +263,6 @@ def event_rate(spark, sf):
 )
 def perturbation(spark, sf):
     # the filtered build must not move; the same build without its filter must move in every group that has a late row
-    from gridtide.operators.setops import table_differences
 
     v = vintages(spark, sf)
 

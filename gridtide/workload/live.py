@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.functions import timecols as tc
 from gridtide.streaming import live
 from gridtide.workload.bindings import load, xavg
 from gridtide.workload.registry import query

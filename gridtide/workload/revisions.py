@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_sum
 from gridtide.plans import versions
-from gridtide.workload.bindings import FEED, ZONE, Warehouse, feed, warehouse_sql, with_, xavg, xsum
+from gridtide.workload.bindings import FEED, Warehouse, feed, warehouse_sql, with_, xavg, xsum
 from gridtide.workload.registry import query
 
 FULL = "versions_present >= 5 and v_realtime is not null and v_settled is not null"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_sum
 from gridtide.plans import positions as pos
 from gridtide.plans import selection as sel

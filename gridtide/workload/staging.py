@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg, exact_sum
+from gridtide.functions.exact import exact_avg
 from gridtide.operators import dedup, grid, publication
-from gridtide.plans import marts
-from gridtide.workload.bindings import FEED, ZONE, Warehouse, feed, load, warehouse_sql, with_, xavg, xsum
+from gridtide.workload.bindings import FEED, ZONE, Warehouse, feed, load, warehouse_sql, with_, xavg
 from gridtide.workload.registry import query
 
 NY = "America/New_York"
