@@ -5,7 +5,7 @@ so cell i of all of them is one integer whose bit l belongs to language l: AND-i
 languages that contain it. A text's languages are counted over its n-grams, each count is corrected for the filter's
 false-positive rate, and the largest corrected count decides (ties: the first name).
 
-Learning uses a sample of at most `per_language` labelled documents of each language (the lowest hashes of doc_id) and
+Learning uses a sample of at most 1000 x `salts` labelled documents of each language (the lowest hashes of doc_id) and
 whole texts of them. An n-gram belongs to a language if its relative frequency there is at least `share` of its largest
 relative frequency in any language and it occurs twice or more.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import kernel, tables
@@ -75,17 +75,15 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
-def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """Whole texts of at most `per_language` documents of each language, chosen by the hash of doc_id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("r", F.row_number().over(order))
-    ids = ids.where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+def training_sample(docs: DataFrame, salts: int) -> DataFrame:
+    """Whole texts of at most 1000 x `salts` documents of each language, chosen by the hash of doc_id."""
+    ids = tables.lowest_hashes(docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").distinct(), "lang", salts)
     return docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
 
 
-def learn(docs: DataFrame, per_language: int = 2000, share: float = 0.35, bits: int = 20) -> dict:
+def learn(docs: DataFrame, salts: int = 2, share: float = 0.35, bits: int = 20) -> dict:
     """Languages, one integer of language bits per cell, and each language's false-positive rate."""
-    sample = training_sample(docs, per_language)
+    sample = training_sample(docs, salts)
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = tables.stored(counts, "language-grams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

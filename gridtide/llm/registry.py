@@ -1,4 +1,4 @@
-"""Queries of the training-data operators and their SQL oracles."""
+"""Queries of the training-data operators and their SQL oracles. A query has the name of its module."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = {
-    "op7_language_filters": "op7_language_filters",
-}
+NAMES = (
+    "op1_tree_bpe",
+    "op5_toxic_spans",
+    "op7_language_filters",
+    "op9_closed_syncmers",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: importlib.import_module(f"gridtide.llm.{module}").query for name, module in MODULES.items()}
+    return {name: importlib.import_module(f"gridtide.llm.{name}").query for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    got = {name: getattr(importlib.import_module(f"gridtide.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
+    got = {name: getattr(importlib.import_module(f"gridtide.llm.{name}"), "ORACLE_SQL", None) for name in NAMES}
     return {k: v for k, v in got.items() if v is not None}

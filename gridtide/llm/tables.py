@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.session import working_dir
@@ -26,3 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fold(parts: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo `parts`; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % parts
+
+
+def lowest_hashes(keys: DataFrame, by: str, salts: int, key: str = "doc_id") -> DataFrame:
+    """At most 1000 x `salts` rows for each value of `by`: those with the lowest hashes of `key`. Groups are salted and
+    limited in every task before the shuffle, so no value of `by` meets in one task."""
+    order = Window.partitionBy(by, "salt").orderBy("h", key)
+    h = F.xxhash64(F.col(key), F.lit("sample"))
+    ranked = keys.withColumn("h", h).withColumn("salt", F.pmod("h", F.lit(salts))).withColumn("r", F.row_number().over(order))
+    return ranked.where(F.col("r") <= 1000).drop("h", "salt", "r")
