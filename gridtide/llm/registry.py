@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 NAMES = (
     "op1_tree_bpe",
+    "op4_line_spread",
     "op5_toxic_spans",
+    "op6_licence_automaton",
     "op7_language_filters",
     "op9_closed_syncmers",
 )
