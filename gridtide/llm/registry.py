@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 NAMES = (
     "op1_tree_bpe",
+    "op2_importance_resampling",
+    "op3_bm25_decontamination",
     "op4_line_spread",
     "op5_toxic_spans",
     "op6_licence_automaton",
     "op7_language_filters",
+    "op8_katz_backoff",
     "op9_closed_syncmers",
 )
 
