@@ -17,6 +17,7 @@ NAMES = (
     "op7_language_filters",
     "op8_katz_backoff",
     "op9_closed_syncmers",
+    "op10_token_groups",
 )
 
 
