@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridtide.llm import op1_tree_bpe, op3_bm25_decontamination, op4_line_spread, op5_toxic_spans, op10_token_groups
 from gridtide.session import working_dir
 
-STAGES: list = []
+#: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
+STAGES = [
+    ("toxicity", op5_toxic_spans.stage),
+    ("line dedup", op4_line_spread.stage),
+    ("n-gram Jaccard join", op10_token_groups.stage),
+    ("benchmark decontamination", op3_bm25_decontamination.stage),
+    ("BPE encoding", op1_tree_bpe.stage),
+]
 
 #: A trained tagger and a tokenizer take part, so SQL cannot express it; tests/llm holds it against brute force.
 ORACLE_SQL = None
