@@ -63,7 +63,7 @@ def digests(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(sizes > 0, kernel.mix(sums[ends] - sums[ends - sizes.astype(np.int64)] + sizes), np.uint64(0)).view(np.int64)
 
 
-def new_classes(classes: np.ndarray, seen: set | None = None) -> list[int]:
+def new_classes(classes: np.ndarray) -> list[int]:
     """Places of the first row of each class."""
     places = np.unique(classes, return_index=True)[1]
     return sorted(i for i in places.tolist() if classes[i] != 0)
@@ -371,10 +371,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 class _Classed:
     """All columns and the class of the text's set (null for the empty one)."""
 
+    def __init__(self, name: str):
+        self.name = name
+
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.texts(batches):
             classes = digests(sets_of(batch.column("text")))
-            yield batch.append_column("_class", pa.array(classes, mask=classes == 0))
+            yield batch.append_column(self.name, pa.array(classes, mask=classes == 0))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -383,12 +386,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sets, roots = classes_and_roots(docs)
     rooted = sets.where("class is not null").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
-    kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.class").alias("_kept"))
+    own, kept_id, kept_class = (tables.unused(x, docs.columns) for x in ("class", "kept_id", "kept_class"))
+    kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.class").alias(kept_class))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(_Classed(), f"{fields}, _class long")
-    chosen = marked.join(kept, (F.col("_class") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    twice = sets.groupBy("doc_id", "class").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("class").alias("_kept"))
+    marked = docs.mapInArrow(_Classed(own), f"{fields}, {own} long")
+    same = (F.col(own) == F.col(kept_class)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    chosen = marked.join(kept, same, "left_semi")
+    twice = sets.groupBy("doc_id", "class").count().where("count > 1").select(F.col("doc_id").alias(kept_id), F.col("class").alias(kept_class))
     if not twice.isEmpty():  # repeated rows: one of each stays
-        same = (F.col("_class") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-        chosen = chosen.join(twice, same, "left_anti").unionByName(chosen.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_class"]))
-    return chosen.unionByName(marked.where("_class is null")).select(*docs.columns)
+        chosen = chosen.join(twice, same, "left_anti").unionByName(chosen.join(twice, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return chosen.unionByName(marked.where(F.col(own).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

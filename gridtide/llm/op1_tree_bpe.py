@@ -288,14 +288,14 @@ def _merged(part: pa.Table, path: str | None, ids: bool) -> pa.Table:
 
 
 def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
-    """All columns of docs but text, with n_tokens, ids_sha256, decoded_sha256, and with `ids` the tokens themselves."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    own = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    found = own.removeprefix(", ") + (", " if own else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, and with `ids` the tokens themselves."""
+    docs = docs.select("doc_id", "text")
+    own = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    found = f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     size = F.coalesce(F.length("text"), F.lit(0))
     short = docs.where(size <= PIECE).mapInArrow(_Whole(path, ids), found)
-    cut = docs.where(size > PIECE).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_Cut(path), "row long, seq int, kind int, payload string, glued boolean" + own)
-    spread = cut.repartition("row", "seq").mapInArrow(_Pieces(path), "row long, seq int, glued boolean" + own + ", tokens binary")
+    cut = docs.where(size > PIECE).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_Cut(path), f"row long, seq int, kind int, payload string, glued boolean, {own}")
+    spread = cut.repartition("row", "seq").mapInArrow(_Pieces(path), f"row long, seq int, glued boolean, {own}, tokens binary")
 
     def merged(part: pa.Table) -> pa.Table:
         return _merged(part, path, ids)
@@ -304,9 +304,9 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(tables.documents(spark, sf_dir).select("doc_id", "text"))
+    return encode(tables.documents(spark, sf_dir))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token counts and digests, with their tokens."""
-    return encode(docs.select("doc_id", "text"), ids=True)
+    return encode(docs, ids=True)

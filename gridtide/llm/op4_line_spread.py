@@ -43,22 +43,29 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     return sure.select("h", "first").unionByName(near.join(exact, "h").select("h", "first"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """docs without boilerplate lines, all columns, and `lines_removed`."""
+def _cleaned(docs: DataFrame, min_sites: int, site: str) -> DataFrame:
+    """(d, removed): the rows of docs as structs, with renewed text and n_chars, and how many lines each lost."""
     lines = occurrences(docs, site)
     common = boilerplate(lines, min_sites)
     gone = lines.join(common, "h").where(~F.col("place").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("place.doc_id").alias("_doc"), F.col("place.th").alias("_th")).agg(F.collect_set("place.pos").alias("_gone"))
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_th"))
-    marked = marked.join(gone, same, "left")
-    parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = marked.withColumn("text", text).where(F.col("_gone").isNull() | (F.regexp_like("text", F.lit(r"\S"))))
+    gone = gone.groupBy("place.doc_id", "place.th").agg(F.collect_set("place.pos").alias("gone")).select(F.struct("doc_id", "th").alias("key"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.struct("doc_id", F.xxhash64("text").alias("th")).alias("own"))
+    rows = rows.join(gone, F.col("own.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.col("own.th") == F.col("key.th")), "left")
+    parts = F.split("d.text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))
+    rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n")))
+    rows = rows.where(F.col("gone").isNull() | F.regexp_like("text", F.lit(r"\S")))
+    changed = F.col("d").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withField("n_chars", F.when(F.col("gone").isNull(), F.col("d.n_chars")).otherwise(length))
+    return rows.select(changed.alias("d"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+    """docs without boilerplate lines, all columns, and `lines_removed` (in place of a column of this name)."""
+    docs = docs.drop("lines_removed")
+    return _cleaned(docs, min_sites, site).select("d.*", F.col("removed").alias("lines_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +74,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines, with the columns they had."""
-    return remove_boilerplate(docs).drop("lines_removed")
+    return _cleaned(docs, MIN_SITES, "source").select("d.*")
 
 
 ORACLE_SQL = f"""

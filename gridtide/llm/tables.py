@@ -35,3 +35,11 @@ def lowest_hashes(keys: DataFrame, by: str, salts: int, key: str = "doc_id") ->
     h = F.xxhash64(F.col(key), F.lit("sample"))
     ranked = keys.withColumn("h", h).withColumn("salt", F.pmod("h", F.lit(salts))).withColumn("r", F.row_number().over(order))
     return ranked.where(F.col("r") <= 1000).drop("h", "salt", "r")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
