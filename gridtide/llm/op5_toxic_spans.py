@@ -92,17 +92,24 @@ def marginals(potential: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> n
     return both[1] / np.maximum(both.sum(0), 1e-300)
 
 
-def features(words: kernel.Words) -> np.ndarray:
+class Rows:
+    """Words of several rows: how many each has, where each begins, and the row of each word."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.first = np.concatenate(([0], np.cumsum(counts)))
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.starts = self.first[:-1][counts > 0]
+
+
+def features(h: np.ndarray, rows: Rows) -> np.ndarray:
     """Cells of the word, the word before and the word after, one row each; cell 0 of a kind stands for none."""
-    h = words.hashes()
-    own = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    out = np.zeros((3, len(h)), np.int64)
-    out[0] = own
-    side = (kernel.mix(h) >> np.uint64(64 - BITS + 1)).astype(np.int64)
+    out = np.zeros((3, len(h)), np.int32)
+    out[0] = h >> np.uint64(64 - BITS)
+    side = (kernel.mix(h) >> np.uint64(64 - BITS + 1)).astype(np.int32)
     out[1, 1:], out[2, :-1] = side[:-1], side[1:]
-    some = words.counts > 0
-    out[1, words.first[:-1][some]] = 0
-    out[2, words.first[1:][some] - 1] = 0
+    out[1, rows.starts] = 0
+    out[2, rows.first[1:][rows.counts > 0] - 1] = 0
     return out
 
 
@@ -110,7 +117,7 @@ def potentials(cells: np.ndarray, w: dict) -> np.ndarray:
     return w["bias"] + w["own"][cells[0]] + w["left"][cells[1]] + w["right"][cells[2]]
 
 
-def summary(p: np.ndarray, words: kernel.Words) -> np.ndarray:
+def summary(p: np.ndarray, words: Rows | kernel.Words) -> np.ndarray:
     """Per row: log-odds of the largest marginal, log of the sum of marginals, marginals per hundred words."""
     n = words.counts
     total = np.concatenate(([0.0], np.cumsum(p)))
@@ -123,7 +130,7 @@ def summary(p: np.ndarray, words: kernel.Words) -> np.ndarray:
     return np.stack((odds, np.log1p(sums), np.minimum(100 * sums / np.maximum(n, 1), 20)), 1)
 
 
-def token_labels(words: kernel.Words, h: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def token_labels(words: Rows, h: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for the words of toxic rows that speak for the label."""
     key, at = np.unique(h, return_inverse=True)
     pairs = np.unique(at.astype(np.int64) * len(words.counts) + words.doc)
@@ -143,28 +150,40 @@ def token_labels(words: kernel.Words, h: np.ndarray, toxic: np.ndarray) -> np.nd
     return (mine > 0) & (mine >= 0.5 * top[words.doc])
 
 
-def fit_field(cells: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.3, ridge: float = 1e-6) -> dict:
-    """Maximum likelihood by Adam on full gradients."""
-    n = cells.shape[1]
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]  # cells, starts of rows, labels
+
+
+def gradient(part: Part, w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of one part: label minus marginal of each word, and of the four transitions."""
+    cells, starts, y = part
+    s, t = potentials(cells, w), np.exp(w["trans"])
+    alpha, beta = chain(s, starts, w["trans"])
+    both = alpha * beta
+    p = both[1] / np.maximum(both.sum(0), 1e-300)
+    inner = np.ones(len(y), bool)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    e = np.exp(np.clip(s[inner], -30, 30))
+    pair = np.stack([alpha[a][inner - 1] * t[2 * a + b] * (e if b else 1.0) * beta[b][inner] for a in (0, 1) for b in (0, 1)])
+    expected = (pair / np.maximum(pair.sum(0), 1e-300)).sum(1)
+    seen = np.bincount(2 * y[inner - 1].astype(int) + y[inner], minlength=4)
+    return y - p, seen - expected
+
+
+def fit_field(parts: list[Part], rounds: int = 50, rate: float = 0.3, ridge: float = 1e-6) -> dict:
+    """Maximum likelihood by Adam on full gradients, summed part by part."""
+    n = sum(len(y) for _, _, y in parts)
     sizes = {"own": 1 << BITS, "left": 1 << (BITS - 1), "right": 1 << (BITS - 1)}
     w = {k: np.zeros(v) for k, v in sizes.items()} | {"bias": np.array(-4.0), "trans": np.zeros(4)}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    yf = y.astype(float)
-    inner = np.ones(n, bool)
-    inner[starts] = False
-    inner = np.flatnonzero(inner)
-    seen = np.bincount(2 * y[inner - 1].astype(int) + y[inner], minlength=4).astype(float)
     for r in range(1, rounds + 1):
-        s, t = potentials(cells, w), np.exp(w["trans"])
-        alpha, beta = chain(s, starts, w["trans"])
-        both = alpha * beta
-        p = both[1] / np.maximum(both.sum(0), 1e-300)
-        e = np.exp(np.clip(s[inner], -30, 30))
-        pair = np.stack([alpha[a][inner - 1] * t[2 * a + b] * (e if b else 1.0) * beta[b][inner] for a in (0, 1) for b in (0, 1)])
-        expected = (pair / np.maximum(pair.sum(0), 1e-300)).sum(1)
-        miss = (yf - p) / n
-        grad = {k: np.bincount(cells[i], miss, sizes[k]) - ridge * w[k] for i, k in enumerate(("own", "left", "right"))}
-        grad |= {"bias": np.array(miss.sum()), "trans": (seen - expected) / n}
+        grad = {k: -ridge * w[k] for k in sizes} | {"bias": np.array(0.0), "trans": np.zeros(4)}
+        for part in parts:
+            miss, trans = gradient(part, w)
+            for i, k in enumerate(sizes):
+                grad[k] += np.bincount(part[0][i], miss / n, sizes[k])
+            grad["bias"] = grad["bias"] + miss.sum() / n
+            grad["trans"] += trans / n
         grad["trans"][0] = 0.0
         for k, g in grad.items():
             m, v = moment[k]
@@ -192,18 +211,26 @@ class _Fit:
         self.counts = counts
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
         model: dict = {"share": np.array(self.counts.get(1, 0) / max(sum(self.counts.values()), 1) if self.counts else 0.5)}
-        if got:
-            all_rows = pa.Table.from_batches(got).combine_chunks()
-            toxic = all_rows.column("toxic").to_numpy() == 1
-            if toxic.any() and not toxic.all():
-                words = kernel.words_of(all_rows.column("text").combine_chunks(), kernel.WORD_BYTE)
-                y = token_labels(words, words.hashes(), toxic)
-                cells = features(words)
-                starts = words.first[:-1][words.counts > 0]
-                w = fit_field(cells, starts, y)
-                x = summary(marginals(potentials(cells, w), starts, w["trans"]), words)
+        marks, hashes, counts = [], [], []
+        for batch in kernel.texts(batches):
+            words = kernel.words_of(batch.column("text"), kernel.WORD_BYTE)
+            marks.append(batch.column("toxic").to_numpy() == 1)
+            hashes.append(words.hashes())
+            counts.append(words.counts)
+        toxic = np.concatenate(marks) if marks else np.zeros(0, bool)
+        if toxic.any() and not toxic.all():
+            h, rows = np.concatenate(hashes), Rows(np.concatenate(counts))
+            y = token_labels(rows, h, toxic)
+            parts, at = [], 0
+            for mine, n in zip(hashes, counts, strict=True):
+                some = Rows(n)
+                parts.append((features(mine, some), some.starts, y[at : at + len(mine)]))
+                at += len(mine)
+            parts = [x for x in parts if len(x[2])]
+            if parts:
+                w = fit_field(parts)
+                x = summary(np.concatenate([marginals(potentials(c, w), s, w["trans"]) for c, s, _ in parts]), rows)
                 weight = np.where(toxic, self.counts[1] / toxic.sum(), self.counts[0] / (~toxic).sum())
                 model |= w | {"logistic": fit_logistic(x, toxic.astype(float), weight * len(toxic) / weight.sum())}
         out = io.BytesIO()
@@ -218,8 +245,10 @@ def learn(docs: DataFrame, labels: DataFrame, salts: int = 3) -> dict:
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = tables.lowest_hashes(known, "toxic", salts)
     sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["toxic", "text"])
-    model = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("toxic", "text").mapInArrow(_Fit(counts), "model binary").first()[0]
-    return dict(np.load(io.BytesIO(model)))
+    model = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("toxic", "text").mapInArrow(_Fit(counts), "model binary").first()
+    if model is None:  # no row reached a task
+        return {"share": np.array(counts.get(1, 0) / sum(counts.values()) if counts else 0.5)}
+    return dict(np.load(io.BytesIO(model[0])))
 
 
 class _Score:
@@ -232,8 +261,8 @@ class _Score:
             words = kernel.words_of(batch.column("text"), kernel.WORD_BYTE)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             if "logistic" in w:
-                starts = words.first[:-1][words.counts > 0]
-                p = marginals(potentials(features(words), w), starts, w["trans"])
+                rows = Rows(words.counts)
+                p = marginals(potentials(features(words.hashes(), rows), w), rows.starts, w["trans"])
                 score = 1 / (1 + np.exp(-np.clip(np.column_stack((np.ones(len(words.counts)), summary(p, words))) @ w["logistic"], -30, 30)))
                 self._spans(words, p, spans)
             else:
@@ -260,7 +289,9 @@ class _Score:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of docs but text, and score, predicted, spans (code-point offsets of toxic runs)."""
+    """All columns of docs but text, and score, predicted, spans (code-point offsets of toxic runs), in place of columns of
+    these names."""
+    docs = docs.drop("score", "predicted", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", score double, predicted int, spans array<struct<start: long, end: long>>"
