@@ -13,7 +13,7 @@ not usable). s(h) keeps at least 1/(C(h)+1) for what follows h for the first tim
 
 Tables are written, and read by parts: tokens without a number and pairs that are not among the most frequent are sent to
 the part of the table that holds them (by hash), together with the row they belong to, packed per slice and part; parts hold some
-four million tokens, and no key has more than 1/65,536 of all. Sums of a row's tokens come back and are added up.
+three million tokens, and no key has more than 1/65,536 of all. Sums of a row's tokens come back and are added up.
 
 Defined results: null counts as empty; an empty text has one token, the end; without training documents every token is
 unseen (n_known 0); null doc_id is not held out and not learned from; repeated rows are scored alike; other columns are
@@ -35,8 +35,8 @@ from gridtide.llm import kernel, tables
 
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 FREQUENT = 1 << 16
-PART = 4_000_000
-KEPT = 2_000_000
+PART = 3_000_000
+KEPT = 1_000_000
 TOP = 5
 UNIGRAM, BIGRAM, ROWS = 0, 1, 2
 
@@ -284,16 +284,23 @@ class _Ask:
             )
             batch_id = task + at
             out = [(batch_id % parts, ROWS, sums.tobytes(), b"")]
-            small = np.uint16 if rows < 1 << 16 else np.uint32
-            out += packed(parts, UNIGRAM, h[other], row[other].astype(small))
-            out += packed(parts, BIGRAM, key.astype(np.int64), row[pair].astype(small))
+            out += packed(parts, UNIGRAM, h[other], row[other].astype(_small(rows)))
+            out += packed(parts, BIGRAM, key.astype(np.int64), row[pair].astype(_small(rows)))
             ids_here = [batch.column("doc_id")] + [batch.column("doc_id").slice(0, 0)] * (len(out) - 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids_here]))), pa.int32()), batch.column("doc_id"))
             yield _record(out, batch=pa.array([batch_id] * len(out), pa.int64()), rows=pa.array([rows] * len(out), pa.int32()), doc_ids=lists)
 
 
-def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams, kind) -> pa.Table:
-    """All questions to one part of the tables: per slice and row, sums of base and model scores."""
+def _small(rows: int) -> type:
+    """The smallest type for row numbers of a slice."""
+    return np.uint16 if rows < 1 << 16 else np.uint32
+
+
+_SUMS = "batch long, rows int, doc_ids array<{kind}>, whole binary, at binary, known binary, base binary, score binary"
+
+
+def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams) -> pa.Table:
+    """All questions to one part of the tables: per slice one row with the sums of the rows that asked, packed."""
     known = {}
     for k in (UNIGRAM, BIGRAM):
         mine = table.filter(pc.equal(table.column("kind"), k))
@@ -301,32 +308,56 @@ def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams, kind) -> pa.Table:
         vals = np.concatenate([np.zeros(0), *(np.frombuffer(x) for x in mine.column("vals").to_pylist())])
         order = np.argsort(keys)
         known[k] = keys[order], vals[order]
-    out: list[pa.Table] = []
-    for i in range(asked.num_rows):
-        k, rows, batch = (asked.column(x)[i].as_py() for x in ("kind", "rows", "batch"))
-        raw = asked.column("keys")[i].as_py()
-        if k == ROWS:
-            sums = np.frombuffer(raw).reshape(4, rows)
-            ids, at = pa.array(asked.column("doc_ids")[i].values, kind), np.arange(rows)
-        else:
-            key, row = np.frombuffer(raw, np.int64), np.frombuffer(asked.column("vals")[i].as_py(), np.uint16 if rows < 1 << 16 else np.uint32)
-            keys, vals = known[k]
+    asked = asked.sort_by([("batch", "ascending"), ("kind", "ascending")])
+    kinds, batches, sizes = (asked.column(x).to_pylist() for x in ("kind", "batch", "rows"))
+    out: list[list] = [[] for _ in range(8)]
+    at = 0
+    while at < asked.num_rows:
+        batch, rows = batches[at], sizes[at]
+        sums, whole, ids = np.zeros((3, rows)), None, None
+        while at < asked.num_rows and batches[at] == batch:
+            raw = asked.column("keys")[at].as_py()
+            if kinds[at] == ROWS:
+                whole, ids = raw, asked.column("doc_ids")[at].as_py()
+                at += 1
+                continue
+            key, row = np.frombuffer(raw, np.int64), np.frombuffer(asked.column("vals")[at].as_py(), _small(rows))
+            keys, vals = known[kinds[at]]
             place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-            sums = np.zeros((4, rows))
-            if k == UNIGRAM:
+            if kinds[at] == UNIGRAM:
                 c = np.zeros(len(key), np.int64)
                 c[hit] = vals[place[hit]]
-                sums[1] = np.bincount(row[hit], minlength=rows)
-                sums[2] = np.bincount(row, uni.log_base(c), rows)
-                sums[3] = np.bincount(row, uni.log_p(c), rows)
+                sums[0] += np.bincount(row[hit], minlength=rows)
+                sums[1] += np.bincount(row, uni.log_base(c), rows)
+                sums[2] += np.bincount(row, uni.log_p(c), rows)
             else:
-                sums[3] = np.bincount(row[hit], vals[place[hit]], rows)
-            at = np.flatnonzero(sums.any(0))
-            ids = pa.nulls(len(at), kind)
-        cols = {"batch": pa.array(np.full(len(at), batch)), "row": pa.array(at.astype(np.int32)), "doc_id": ids}
-        out.append(pa.table(cols | {x: pa.array(sums[j][at]) for j, x in enumerate(("n_tokens", "n_known", "base_score", "score"))}))
-    return pa.concat_tables(out) if out else None
+                sums[2] += np.bincount(row[hit], vals[place[hit]], rows)
+            at += 1
+        some = np.flatnonzero(sums.any(0))
+        packs = (some.astype(_small(rows)), sums[0][some].astype(np.uint32), sums[1][some], sums[2][some])
+        for held, x in zip(out, (batch, rows, ids, whole, *(x.tobytes() for x in packs)), strict=True):
+            held.append(x)
+    kind = asked.schema.field("doc_ids").type
+    types = (pa.int64(), pa.int32(), kind, *[pa.binary()] * 5)
+    names = ("batch", "rows", "doc_ids", "whole", "at", "known", "base", "score")
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(names, out, types, strict=True)})
+
+
+def _total(parts: pa.Table) -> pa.Table:
+    """Sums of all rows of one slice over the parts that answered."""
+    rows = parts.column("rows")[0].as_py()
+    sums, ids = np.zeros((4, rows)), None
+    for i in range(parts.num_rows):
+        whole, at, known, base, score = (parts.column(x)[i].as_py() for x in ("whole", "at", "known", "base", "score"))
+        if whole is not None:
+            sums += np.frombuffer(whole).reshape(4, rows)
+            ids = parts.column("doc_ids")[i].values
+        at = np.frombuffer(at, _small(rows))
+        for j, x in ((1, np.frombuffer(known, np.uint32)), (2, np.frombuffer(base)), (3, np.frombuffer(score))):
+            sums[j][at] += x
+    counts = {x: pa.array(np.rint(sums[j]).astype(np.int64)) for j, x in enumerate(("n_tokens", "n_known"))}
+    return pa.table({"doc_id": ids} | counts | {"base_score": pa.array(sums[2]), "score": pa.array(sums[3])})
 
 
 def score(docs: DataFrame, model: dict, uni: DataFrame, gains: DataFrame) -> DataFrame:
@@ -336,20 +367,16 @@ def score(docs: DataFrame, model: dict, uni: DataFrame, gains: DataFrame) -> Dat
     asked = docs.select("doc_id", "text").mapInArrow(_Ask(sc.broadcast(model)), f"{_PACKED}, batch long, rows int, doc_ids array<{kind}>")
     unnamed = uni.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_Table(model["parts"], UNIGRAM, "n"), _PACKED)
     light = gains.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_Table(model["parts"], BIGRAM, "gain"), _PACKED)
-    schema = f"batch long, row int, doc_id {kind}, n_tokens double, n_known double, base_score double, score double"
     unigrams = model["unigrams"]
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = left.schema.field("doc_ids").type.value_type
-        got = _answer(left, right, unigrams, kind)
-        if got is None:
-            empty = {"batch": pa.int64(), "row": pa.int32(), "doc_id": kind} | dict.fromkeys(("n_tokens", "n_known", "base_score", "score"), pa.float64())
-            got = pa.schema(empty.items()).empty_table()
-        return got
-
-    parts = asked.groupBy("part").cogroup(unnamed.unionByName(light).groupBy("part")).applyInArrow(answer, schema)
-    whole = parts.groupBy("batch", "row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
-    whole = whole.withColumns({x: F.round(x).cast("long") for x in ("n_tokens", "n_known")})
+        return _answer(left, right, unigrams)
+
+    def total(parts: pa.Table) -> pa.Table:
+        return _total(parts)
+
+    answers = asked.groupBy("part").cogroup(unnamed.unionByName(light).groupBy("part")).applyInArrow(answer, _SUMS.format(kind=kind))
+    whole = answers.groupBy("batch").applyInArrow(total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return whole.select("doc_id", "n_tokens", "n_known", F.lit(model["total"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
