@@ -1,9 +1,9 @@
 """Order-independent sums and means.
 
-Adding doubles gives a result that depends on the order in which partitions are merged, so the same
-query can differ in its last bits between two runs.  These helpers add fixed-point integers: the
-result does not depend on partitioning or on task retries, stays inside whole-stage code generation,
-and an overflow raises (ANSI mode) instead of passing silently.
+Adding doubles gives a result that depends on the order in which partitions are merged, so the same query can differ in
+its last bits between two runs.  Here a value is split into its whole part and its part below one, each an exact count
+of 10^-10 units, and the counts are added as decimals of 38 digits: the result does not depend on partitioning or retries,
+means of small values keep their digits, and sums have room for 10^27.
 """
 
 from __future__ import annotations
@@ -11,40 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_SCALE = 4
+UNITS = 10**10
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def fixed(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
-    """The value as an integer count of 10^-scale units, halves rounded up."""
-    return F.floor(_col(c) * F.lit(float(10**scale)) + F.lit(0.5)).cast("bigint")
+def fixed(c: Column | str) -> Column:
+    """The value as a whole number of 10^-10 units (decimal), halves rounded up."""
+    x = _col(c).cast("double")
+    whole = F.floor(x)
+    part = F.floor((x - whole) * F.lit(float(UNITS)) + F.lit(0.5))
+    return whole.cast("decimal(20,0)") * F.lit(UNITS).cast("decimal(11,0)") + part.cast("decimal(11,0)")
 
 
-def rounded(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
+def as_double(units: Column) -> Column:
+    """The nearest double to a whole number of units (not yet divided by them)."""
+    return units.cast("string").cast("double")
+
+
+def rounded(c: Column | str, scale: int = 4) -> Column:
     """The value rounded to ``scale`` digits by plain double arithmetic (halves up)."""
-    return fixed(c, scale).cast("double") / F.lit(float(10**scale))
+    return F.floor(_col(c) * F.lit(float(10**scale)) + F.lit(0.5)).cast("double") / F.lit(float(10**scale))
+
+
+def value_of(units: Column) -> Column:
+    """A sum of ``fixed`` counts as a value."""
+    return as_double(units) / F.lit(float(UNITS))
+
+
+def mean_of(units: Column, n: Column) -> Column:
+    """A sum of ``fixed`` counts over a number of values, as a mean."""
+    return as_double(units) / (n.cast("double") * F.lit(float(UNITS)))
 
 
-def exact_sum(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
-    return F.sum(fixed(c, scale)).cast("double") / F.lit(float(10**scale))
+def exact_sum(c: Column | str) -> Column:
+    return value_of(F.sum(fixed(c)))
 
 
-def exact_avg(c: Column | str, scale: int = DEFAULT_SCALE) -> Column:
+def exact_avg(c: Column | str) -> Column:
     """Mean of the non-null values; null for an empty set."""
-    return F.sum(fixed(c, scale)).cast("double") / (F.count(_col(c)).cast("double") * F.lit(float(10**scale)))
+    return mean_of(F.sum(fixed(c)), F.count(_col(c)))
 
 
-def exact_sum_over(c: Column | str, window, scale: int = DEFAULT_SCALE) -> Column:
-    return F.sum(fixed(c, scale)).over(window).cast("double") / F.lit(float(10**scale))
+def exact_sum_over(c: Column | str, window) -> Column:
+    return value_of(F.sum(fixed(c)).over(window))
 
 
-def exact_avg_over(c: Column | str, window, scale: int = DEFAULT_SCALE) -> Column:
-    return F.sum(fixed(c, scale)).over(window).cast("double") / (
-        F.count(_col(c)).over(window).cast("double") * F.lit(float(10**scale))
-    )
+def exact_avg_over(c: Column | str, window) -> Column:
+    return mean_of(F.sum(fixed(c)).over(window), F.count(_col(c)).over(window))
 
 
 def _prefix_difference(agg: Column, ordered, first: int, last: int) -> Column:
@@ -65,15 +81,14 @@ def sliding_count(c: Column | str, ordered, first: int, last: int) -> Column:
     return _prefix_difference(F.count(_col(c)), ordered, first, last)
 
 
-def sliding_fixed_sum(c: Column | str, ordered, first: int, last: int, scale: int = DEFAULT_SCALE) -> Column:
-    return _prefix_difference(F.sum(fixed(c, scale)), ordered, first, last)
+def sliding_fixed_sum(c: Column | str, ordered, first: int, last: int) -> Column:
+    return _prefix_difference(F.sum(fixed(c)), ordered, first, last)
 
 
-def sliding_avg(c: Column | str, ordered, first: int, last: int, scale: int = DEFAULT_SCALE) -> Column:
+def sliding_avg(c: Column | str, ordered, first: int, last: int) -> Column:
     """Mean over the days first..last relative to the row's day; null without a value."""
     n = sliding_count(c, ordered, first, last)
-    s = sliding_fixed_sum(c, ordered, first, last, scale)
-    return F.when(n > 0, s.cast("double") / (n.cast("double") * F.lit(float(10**scale))))
+    return F.when(n > 0, mean_of(sliding_fixed_sum(c, ordered, first, last), n))
 
 
 def sliding_share(cond: Column, ordered, first: int, last: int) -> Column:

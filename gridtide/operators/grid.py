@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg
+from gridtide.functions.exact import exact_avg, fixed, mean_of
 
 
 def stitch(old: DataFrame, new: DataFrame, ts: str, seam: Column) -> DataFrame:
@@ -58,8 +58,8 @@ def time_weighted_hourly(
     )
     aggs = [F.sum("_w").alias("covered_seconds")]
     for v in values:
-        weighted = F.sum((F.floor(F.col(v) * 10000.0 + 0.5).cast("bigint")) * F.col("_w"))
-        aggs.append(F.round(weighted.cast("double") / (F.sum("_w").cast("double") * 10000.0), 2).alias(v))
+        weighted = F.sum(fixed(v) * F.col("_w"))
+        aggs.append(F.round(mean_of(weighted, F.sum("_w")), 2).alias(v))
     return spans.groupBy(*keys, "hour_utc").agg(*aggs)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.exact import (
-    exact_sum_over, fixed, sliding_avg, sliding_count, sliding_share,
+    exact_sum_over, fixed, mean_of, sliding_avg, sliding_count, sliding_share,
 )
 
 
@@ -161,7 +161,7 @@ def masked_trailing(
     return j.select(
         *keys,
         decision_day,
-        F.when(n > 0, s.cast("double") / (n.cast("double") * 10000.0)).alias(f"{value}_{days}d"),
+        F.when(n > 0, mean_of(s, n)).alias(f"{value}_{days}d"),
         n.alias("n_usable"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import numbers
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg, exact_sum, fixed, sliding_avg, sliding_count, sliding_share
+from gridtide.functions.exact import exact_avg, exact_sum, fixed, mean_of, sliding_avg, sliding_count, sliding_share
 from gridtide.operators import joins, ranking, trailing
 from gridtide.operators.dedup import newest_k
 from gridtide.operators.setops import table_differences
@@ -57,7 +57,7 @@ def zone_day_features(panel: DataFrame, zone: str, slot: str, day: str, price: s
 
     def mean(n: int) -> Column:
         w = trailing.days_window([zone], day, -n, -1)
-        return F.sum("_s").over(w).cast("double") / (F.sum("_n").over(w).cast("double") * 10000.0)
+        return mean_of(F.sum("_s").over(w), F.sum("_n").over(w))
 
     ordered = Window.partitionBy(zone).orderBy(day)
     return daily.select(

@@ -6,7 +6,8 @@ optimizer sees the whole plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # The metrics of the catalogue; {where} is the period and area filter.
 METRICS = {
@@ -20,19 +21,25 @@ METRICS = {
         " hour_utc, area, price_eur from {hourly}) where {where}"
     ),
 }
-EXACT_AVG = (
-    "cast(sum(cast(floor(price_eur*10000.0D+0.5D) as bigint)) as double)/(cast(count(price_eur) as double)*10000.0D)"
+# A sum in units of 10^-10 and a mean, as in gridtide.functions.exact.
+EXACT_SUM = (
+    "cast(cast(sum(cast(floor({c}) as decimal(20,0))*cast(10000000000 as decimal(11,0))"
+    "+cast(floor(({c}-floor({c}))*1e10D+0.5D) as decimal(11,0))) as string) as double)"
 )
+EXACT_AVG = EXACT_SUM + "/(cast(count({c}) as double)*1e10D)"
 
 
 def answer(spark: SparkSession, metric: str, area: str, lo: str, hi: str, view: str) -> DataFrame:
     """One row for one metric, area and half-open period; values are bound as parameters."""
     sql = METRICS[metric].format(
-        avg=EXACT_AVG, hourly=view, where="area = :area and hour_utc >= to_timestamp_ntz(:lo) and hour_utc < to_timestamp_ntz(:hi)"
+        avg=EXACT_AVG.format(c="price_eur"), hourly=view, where="area = :area and hour_utc >= to_timestamp_ntz(:lo) and hour_utc < to_timestamp_ntz(:hi)"
     )
     return spark.sql(sql, args={"area": area, "lo": lo, "hi": hi})
 
 
-def capped(spark: SparkSession, sql: str, rows: int = 200) -> DataFrame:
-    """The row cap of ad-hoc questions."""
-    return spark.sql(sql).limit(rows)
+def capped(answer: DataFrame, rows: int, order: list) -> DataFrame:
+    """The first ``rows`` rows in a total order, each marked with whether the answer had more."""
+    few = answer.orderBy(*order).limit(rows + 1)
+    n = F.count(F.lit(1)).over(Window.partitionBy())  # over rows + 1 rows at most
+    place = F.row_number().over(Window.partitionBy().orderBy(*order))
+    return few.withColumn("truncated", n > rows).withColumn("_place", place).where(F.col("_place") <= rows).drop("_place")

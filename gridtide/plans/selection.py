@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_sum, fixed
+from gridtide.functions.exact import exact_sum, fixed, value_of
 from gridtide.plans.studies import _uniform
 
 
@@ -73,7 +73,7 @@ def trailing_quarters(df: DataFrame, keys: Sequence[str], day: str, value: str,
     period = F.make_date(year, (F.col("_q") - year * 4 - 1) * 3 + 1, F.lit(1))
     tot = F.coalesce(F.sum("_s").over(all_q), F.lit(0)) - F.coalesce(F.sum("_l").over(last_q), F.lit(0))
     cnt = F.coalesce(F.sum("_n").over(all_q), F.lit(0)) - F.coalesce(F.sum("_ln").over(last_q), F.lit(0))
-    return line.select(*keys, period.alias("period"), (tot.cast("double") / 10000.0).alias("trailing_net"), cnt.alias("trailing_rows"))
+    return line.select(*keys, period.alias("period"), value_of(tot).alias("trailing_net"), cnt.alias("trailing_rows"))
 
 
 # ---------------------------------------------------------------- choices

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg, exact_sum
+from gridtide.functions.exact import exact_avg, exact_sum, fixed, mean_of
 from gridtide.operators import joins, ranking
 
 # ---------------------------------------------------------------- regression
@@ -112,12 +112,11 @@ def sign_agreement(df: DataFrame, by: Sequence[str], err: str, gap: str) -> Data
     )
 
 
-def decile_means(df: DataFrame, by: Sequence[str], x: str, y: str, scale: int = 4) -> DataFrame:
+def decile_means(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Mean of y by decile of the pooled rank of x.  Rows are reduced to one per distinct x first."""
-    units = F.sum(F.floor(F.col(y) * F.lit(float(10**scale)) + 0.5).cast("bigint"))
-    rv = ranking.ranked_values(df.where(F.col(y).isNotNull()), by, x, extra={"_u": units})
+    rv = ranking.ranked_values(df.where(F.col(y).isNotNull()), by, x, extra={"_u": F.sum(fixed(y))})
     return rv.groupBy(*by, ranking.decile_of_rank().alias("decile")).agg(
-        F.sum("ties").alias("n"), (F.sum("_u").cast("double") / (F.sum("ties").cast("double") * F.lit(float(10**scale)))).alias(f"mean_{y}")
+        F.sum("ties").alias("n"), mean_of(F.sum("_u"), F.sum("ties")).alias(f"mean_{y}")
     )
 
 
@@ -226,7 +225,7 @@ def brier_and_auc(df: DataFrame, by: Sequence[str], p: str, y: str) -> DataFrame
 
     The rank sum uses one row per distinct probability.
     """
-    b = df.where(F.col(p).isNotNull()).groupBy(*by).agg(exact_avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y)), 8).alias("brier"))
+    b = df.where(F.col(p).isNotNull()).groupBy(*by).agg(exact_avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
     rv = ranking.ranked_values(df, by, p, extra={"_pos": F.sum(F.col(y).cast("bigint"))})
     g = rv.groupBy(*by).agg(
         F.sum(F.col("_pos") * ranking.average_rank()).alias("_r"), F.sum("_pos").alias("positives"), F.max("n").alias("n")
@@ -241,7 +240,7 @@ def reliability(df: DataFrame, p: str, y: str, tie: str, bins: int) -> DataFrame
     """Mean probability and event rate by equal-count bins."""
     pos = ranking.positions(df.where(F.col(p).isNotNull()), [], p, tie)
     return pos.groupBy(ranking.qcut_first(bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), exact_avg(p, 8).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate")
+        F.count(F.lit(1)).alias("n"), exact_avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate")
     )
 
 
@@ -291,9 +290,9 @@ def bootstrap_means(
     )
     # a day drawn several times in one draw is fetched once
     counts = index.groupBy("draw", F.col("_i").alias(position)).agg(F.count(F.lit(1)).alias("_c"))
-    v = daily.select(*keys, F.col(position).cast("bigint").alias(position), F.floor(F.col(value) * 10000.0 + 0.5).cast("bigint").alias("_v"))
+    v = daily.select(*keys, F.col(position).cast("bigint").alias(position), fixed(value).alias("_v"))
     return counts.join(v, position).groupBy(*keys, "draw").agg(
-        (F.sum(F.col("_c") * F.col("_v")).cast("double") / (F.sum("_c").cast("double") * 10000.0)).alias("boot_mean")
+        mean_of(F.sum(F.col("_c") * F.col("_v")), F.sum("_c")).alias("boot_mean")
     )
 
 

@@ -28,26 +28,29 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL helpers (oracle side)
 
-def xsum(c: str, scale: int = 4) -> str:
-    return f"(cast(sum(cast(floor(({c})*{10**scale}.0e0+0.5e0) as bigint)) as double)/{10**scale}.0e0)"
+def xunits(c: str) -> str:
+    """A value as a whole number of 10^-10 units."""
+    return f"(cast(floor(({c})*1.0e0) as hugeint)*10000000000 + cast(floor((({c})*1.0e0-floor(({c})*1.0e0))*1e10+0.5e0) as bigint))"
 
 
-def xavg(c: str, scale: int = 4) -> str:
-    return (
-        f"(cast(sum(cast(floor(({c})*{10**scale}.0e0+0.5e0) as bigint)) as double)"
-        f"/(cast(count({c}) as double)*{10**scale}.0e0))"
-    )
+def xmean(units: str, n: str) -> str:
+    return f"(cast(cast({units} as varchar) as double)/(cast({n} as double)*1e10))"
 
 
-def xavg_over(c: str, over: str, scale: int = 4) -> str:
-    return (
-        f"(cast(sum(cast(floor(({c})*{10**scale}.0e0+0.5e0) as bigint)) over ({over}) as double)"
-        f"/(cast(count({c}) over ({over}) as double)*{10**scale}.0e0))"
-    )
+def xsum(c: str) -> str:
+    return f"(cast(cast(sum({xunits(c)}) as varchar) as double)/1e10)"
+
+
+def xavg(c: str) -> str:
+    return xmean(f"sum({xunits(c)})", f"count({c})")
+
+
+def xavg_over(c: str, over: str) -> str:
+    return xmean(f"sum({xunits(c)}) over ({over})", f"count({c}) over ({over})")
 
 
-def xsum_over(c: str, over: str, scale: int = 4) -> str:
-    return f"(cast(sum(cast(floor(({c})*{10**scale}.0e0+0.5e0) as bigint)) over ({over}) as double)/{10**scale}.0e0)"
+def xsum_over(c: str, over: str) -> str:
+    return f"(cast(cast(sum({xunits(c)}) over ({over}) as varchar) as double)/1e10)"
 
 
 def with_(*ctes: str) -> str:

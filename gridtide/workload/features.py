@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_sum
 from gridtide.plans import features, knowledge
-from gridtide.workload.bindings import FEED, PANEL, ZONE, feed, load, panel, with_, xavg, xavg_over, xsum
+from gridtide.workload.bindings import FEED, PANEL, ZONE, feed, load, panel, with_, xavg, xavg_over, xmean, xsum, xunits
 from gridtide.workload.joining import _INTERVALS, intervals
 from gridtide.workload.knowledge import VINTAGES, vintages
 from gridtide.workload.registry import query
@@ -31,12 +31,12 @@ def zone_slot(spark, sf):
 
 def _zmean(n: int) -> str:
     o = f"partition by zone order by delivery_date range between interval {n} day preceding and interval 1 day preceding"
-    return f"cast(sum(s) over ({o}) as double) / (cast(sum(n) over ({o}) as double) * 10000.0e0)"
+    return xmean(f"sum(s) over ({o})", f"sum(n) over ({o})")
 
 
 @query(
     "zone_day_features",
-    oracle=with_(PANEL) + f""", d as (select zone, delivery_date, sum(cast(floor(gap*10000.0e0+0.5e0) as bigint)) as s, count(gap) as n, {xavg('case when slot <= 2 then gap end')} as gap_early,
+    oracle=with_(PANEL) + f""", d as (select zone, delivery_date, sum({xunits('gap')}) as s, count(gap) as n, {xavg('case when slot <= 2 then gap end')} as gap_early,
         {xavg('y_da')} as price_mean, max(y_da) as price_max, arg_max(gap, slot) as gap_last from panel group by 1, 2)
       select zone, delivery_date, {_zmean(1)} as gap_dm1_mean, {_zmean(7)} as gap_7d_all, {_zmean(28)} as gap_28d_all, gap_early, price_mean, price_max,
         lag(gap_last) over w as last_gap_before, (delivery_date - lag(delivery_date) over w)::int as days_since_last from d window w as (partition by zone order by delivery_date)""",
@@ -61,11 +61,11 @@ def forecast_features(spark, sf):
 
 @query(
     "point_distribution",
-    oracle=f"""with p as (select l_suppkey, date_trunc('month', l_shipdate)::date as month, {xavg('l_extendedprice', 2)} as v from lineitem group by 1, 2)
+    oracle=f"""with p as (select l_suppkey, date_trunc('month', l_shipdate)::date as month, {xavg('l_extendedprice')} as v from lineitem group by 1, 2)
       select month, round(quantile_cont(v, 0.05), 7) as p05, round(quantile_cont(v, 0.5), 7) as p50, round(quantile_cont(v, 0.95), 7) as p95, count(*) as n, round(stddev_samp(v), 4) as std from p group by 1""",
 )
 def point_distribution(spark, sf):
-    p = load(spark, sf, "lineitem").groupBy("l_suppkey", tc.month_start("l_shipdate").alias("month")).agg(exact_avg("l_extendedprice", 2).alias("v"))
+    p = load(spark, sf, "lineitem").groupBy("l_suppkey", tc.month_start("l_shipdate").alias("month")).agg(exact_avg("l_extendedprice").alias("v"))
     d = features.point_distribution(p, ["month"], "v")
     return d.select("month", *[F.round(c, 7).alias(c) for c in ("p05", "p50", "p95")], "n", F.round("std", 4).alias("std"))
 
@@ -87,11 +87,11 @@ def border(spark, sf):
     "specialist_features",
     oracle=with_(PANEL) + f"""
       select delivery_date, zone, slot, avg(case when gap > 2 then 1.0e0 else 0.0e0 end) over w as up_rate, avg(case when gap < -2 then 1.0e0 else 0.0e0 end) over w as down_rate,
-        round(quantile_cont(gap, 0.9) over w, 8) as gap_q90_28d, avg(case when abs(gap) > 0.05e0 * y_da then 1.0e0 else 0.0e0 end) over w as wide_share from panel window w as ({_over(28)})""",
+        round(quantile_cont(gap, 0.9) over w, 11) as gap_q90_28d, avg(case when abs(gap) > 0.05e0 * y_da then 1.0e0 else 0.0e0 end) over w as wide_share from panel window w as ({_over(28)})""",
 )
 def specialist(spark, sf):
     x = features.specialist_features(panel(spark, sf), "zone", "slot", "delivery_date", "gap", "y_da", 2.0)
-    return x.withColumn("gap_q90_28d", F.round("gap_q90_28d", 8))
+    return x.withColumn("gap_q90_28d", F.round("gap_q90_28d", 11))
 
 
 _WX = FEED + f""", wx as (select area as point, date_trunc('hour', ts) as t, max(k) * 0.5e0 - 5.0e0 as c from feed group by 1, 2),

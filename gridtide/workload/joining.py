@@ -13,7 +13,7 @@ from gridtide.workload.registry import query
 
 @query(
     "inner_join_on_keys",
-    oracle=f"""select n_name, o_orderpriority, count(*) as n, {xsum('o_totalprice', 2)} as total from orders join customer on o_custkey = c_custkey
+    oracle=f"""select n_name, o_orderpriority, count(*) as n, {xsum('o_totalprice')} as total from orders join customer on o_custkey = c_custkey
       join nation on c_nationkey = n_nationkey group by 1, 2""",
 )
 def inner_join(spark, sf):

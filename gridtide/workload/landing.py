@@ -107,15 +107,15 @@ def nested_maps(spark, sf):
 
 @query(
     "fill_missing_days",
-    oracle=f"""with p as (select o_orderstatus, o_orderdate::date as day, {xsum('o_totalprice', 2)} as total from orders where o_orderpriority = '1-URGENT' group by 1, 2),
-      b as (select o_orderstatus, o_orderdate::date as day, {xsum('o_totalprice', 2)} as total from orders group by 1, 2)
+    oracle=f"""with p as (select o_orderstatus, o_orderdate::date as day, {xsum('o_totalprice')} as total from orders where o_orderpriority = '1-URGENT' group by 1, 2),
+      b as (select o_orderstatus, o_orderdate::date as day, {xsum('o_totalprice')} as total from orders group by 1, 2)
       select *, 'primary' as origin from p union all select *, 'backup' from b anti join p using (o_orderstatus, day)""",
 )
 def fill_missing_days(spark, sf):
     o = load(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
 
     def daily(df):
-        return df.groupBy("o_orderstatus", "day").agg(exact_sum("o_totalprice", 2).alias("total"))
+        return df.groupBy("o_orderstatus", "day").agg(exact_sum("o_totalprice").alias("total"))
 
     return landing.fill_missing_days(daily(o.where(F.col("o_orderpriority") == "1-URGENT")), daily(o), ["o_orderstatus"], "day")
 

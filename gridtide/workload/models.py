@@ -53,12 +53,12 @@ def event_trees(spark, sf):
 
 @query(
     "quantile_cells",
-    oracle=with_(*RULES) + " select zone, slot, year(delivery_date)::int + 1 as period, round(quantile_cont(gap, 0.1), 8) as q10, round(quantile_cont(gap, 0.5), 8) as q50, round(quantile_cont(gap, 0.9), 8) as q90, count(gap) as n from rp where gap is not null group by 1, 2, 3",
+    oracle=with_(*RULES) + " select zone, slot, year(delivery_date)::int + 1 as period, round(quantile_cont(gap, 0.1), 11) as q10, round(quantile_cont(gap, 0.5), 11) as q50, round(quantile_cont(gap, 0.9), 11) as q90, count(gap) as n from rp where gap is not null group by 1, 2, 3",
 )
 def quantile_cells(spark, sf):
     p = rule_panel(spark, sf).select("zone", "slot", DAY, "gap")
     q = models.quantile_cells(p, ["zone", "slot"], F.year(DAY) + 1, "gap", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
-    return q.select("zone", "slot", "period", *[F.round(c, 8).alias(c) for c in ("q10", "q50", "q90")], "n")
+    return q.select("zone", "slot", "period", *[F.round(c, 11).alias(c) for c in ("q10", "q50", "q90")], "n")
 
 
 @query(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.plans import questions
-from gridtide.workload.bindings import ZONE, Warehouse, warehouse_sql, xavg
+from gridtide.workload.bindings import ZONE, Warehouse, warehouse_sql, xavg, xsum
 from gridtide.workload.registry import query
 
 VIEWS = ("power_hourly", "desk_daily", "power_context", "forecast_hourly", "stg_fx", "prices")
 
-_AVG = "cast(sum(cast(floor({c}*10000.0D+0.5D) as bigint)) as double)/(cast(count({c}) as double)*10000.0D)"
+_SUM = questions.EXACT_SUM
+_AVG = questions.EXACT_AVG
 
 
 def _x(c: str) -> tuple[str, str]:
@@ -144,8 +145,8 @@ QUESTIONS: dict[str, tuple[str, str]] = {
         "select area, count(*) as n, max(solar_mwh) as high from power_context where solar_mwh > 0 group by area",
     ),
     "consumption_total": (
-        "select area, cast(sum(cast(floor(consumption_mwh*10000.0D+0.5D) as bigint)) as double)/10000.0D as total from power_context group by area",
-        "select area, cast(sum(cast(floor(consumption_mwh*10000.0e0+0.5e0) as bigint)) as double)/10000.0e0 as total from power_context group by area",
+        f"select area, {_SUM.format(c='consumption_mwh')}/1e10D as total from power_context group by area",
+        f"select area, {xsum('consumption_mwh')} as total from power_context group by area",
     ),
     "first_and_last_hour": (
         "select area, min(hour_utc) as first_hour, max(hour_utc) as last_hour from power_hourly group by area",
@@ -165,7 +166,20 @@ for _name, (_spark_sql, _duck_sql) in QUESTIONS.items():
     @query(f"ask_{_name}", oracle=warehouse_sql(_duck_sql))
     def _ask(spark, sf, _sql=_spark_sql):
         register_views(spark, sf)
-        return questions.capped(spark, _sql)
+        return spark.sql(_sql)
+
+
+@query(
+    "row_cap_with_flag",
+    oracle=warehouse_sql(
+        """select area, hour_utc, price_eur, true as truncated from power_hourly order by price_eur desc, area, hour_utc limit 200
+        """
+    ),
+)
+def row_cap(spark, sf):
+    # the cap is this query's feature: the 200 dearest hours, and word of there being more
+    h = Warehouse(spark, sf).power_hourly.select("area", "hour_utc", "price_eur")
+    return questions.capped(h, 200, [F.desc("price_eur"), F.asc("area"), F.asc("hour_utc")])
 
 
 PERIODS = (("2024-01-01", "2024-02-01"), ("2024-01-01", "2024-01-08"), ("2024-01-15", "2024-01-22"), ("2024-01-20", "2024-01-31"), ("2024-01-30", "2024-01-31"))

@@ -167,13 +167,13 @@ def best_grid(spark, sf):
 @query(
     "conformal_half_width",
     oracle=with_(*RULES) + """, r as (select zone, date_trunc('quarter', delivery_date)::date as q, abs(gap - s28) as a from rp where s28 is not null and gap is not null)
-      select zone, (q + interval 3 month)::date as period, round(quantile_cont(a, 0.8), 8) as half_width, count(*) as n from r group by 1, 2""",
+      select zone, (q + interval 3 month)::date as period, round(quantile_cont(a, 0.8), 11) as half_width, count(*) as n from r group by 1, 2""",
 )
 def conformal(spark, sf):
     # residual quantile of a zone and quarter, used for the next quarter; a quarter is bounded by the calendar
     r = rule_panel(spark, sf).where(F.col("s28").isNotNull() & F.col("gap").isNotNull())
     return r.groupBy("zone", F.add_months(F.trunc(DAY, "quarter"), 3).alias("period")).agg(
-        F.round(F.percentile(F.abs(F.col("gap") - F.col("s28")), 0.8), 8).alias("half_width"), F.count(F.lit(1)).alias("n")
+        F.round(F.percentile(F.abs(F.col("gap") - F.col("s28")), 0.8), 11).alias("half_width"), F.count(F.lit(1)).alias("n")
     )
 
 

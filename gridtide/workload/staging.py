@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg
 from gridtide.operators import dedup, grid, publication
-from gridtide.workload.bindings import FEED, ZONE, Warehouse, feed, load, warehouse_sql, with_, xavg
+from gridtide.workload.bindings import FEED, ZONE, Warehouse, feed, load, warehouse_sql, with_, xavg, xmean, xunits
 from gridtide.workload.registry import query
 
 NY = "America/New_York"
@@ -143,9 +143,9 @@ def first_usable_day(spark, sf):
 
 @query(
     "paired_price_series",
-    oracle=f"""with a as (select l_suppkey as ptid, l_shipdate as t, max(l_returnflag) as name, {xavg('l_extendedprice', 2)} as lbmp, {xavg('l_tax', 2)} as loss, {xavg('l_discount', 2)} as congestion_raw
+    oracle=f"""with a as (select l_suppkey as ptid, l_shipdate as t, max(l_returnflag) as name, {xavg('l_extendedprice')} as lbmp, {xavg('l_tax')} as loss, {xavg('l_discount')} as congestion_raw
         from lineitem where l_linestatus = 'O' group by 1, 2),
-      b as (select l_suppkey as ptid, l_shipdate as t, max(l_returnflag) as name, {xavg('l_extendedprice', 2)} as lbmp, {xavg('l_tax', 2)} as loss, {xavg('l_discount', 2)} as congestion_raw
+      b as (select l_suppkey as ptid, l_shipdate as t, max(l_returnflag) as name, {xavg('l_extendedprice')} as lbmp, {xavg('l_tax')} as loss, {xavg('l_discount')} as congestion_raw
         from lineitem where l_linestatus = 'F' group by 1, 2)
       select ptid, t, coalesce(a.name, b.name) as name, a.lbmp as da_lbmp, a.loss as da_loss, a.congestion_raw as da_congestion_raw, b.lbmp as rt_lbmp, b.loss as rt_loss,
         b.congestion_raw as rt_congestion_raw, -a.congestion_raw as da_congestion, a.lbmp - a.loss - (-a.congestion_raw) as da_energy,
@@ -156,8 +156,8 @@ def paired_price_series(spark, sf):
 
     def side(flag):
         return li.where(F.col("l_linestatus") == flag).groupBy("ptid", "t").agg(
-            F.max("l_returnflag").alias("name"), exact_avg("l_extendedprice", 2).alias("lbmp"), exact_avg("l_tax", 2).alias("loss"),
-            exact_avg("l_discount", 2).alias("congestion_raw"),
+            F.max("l_returnflag").alias("name"), exact_avg("l_extendedprice").alias("lbmp"), exact_avg("l_tax").alias("loss"),
+            exact_avg("l_discount").alias("congestion_raw"),
         )
 
     p = publication.pair_series(side("O"), side("F"), ["ptid", "t"], ["lbmp", "loss", "congestion_raw"], ("da", "rt"), "name")
@@ -168,12 +168,12 @@ def paired_price_series(spark, sf):
 
 @query(
     "stitch_at_seam",
-    oracle=f"""select o_orderstatus as series, o_orderdate as t, {xavg('o_totalprice', 2)} as v, 'daily' as source from orders where o_orderdate < timestamp '1998-07-01' group by 1, 2
+    oracle=f"""select o_orderstatus as series, o_orderdate as t, {xavg('o_totalprice')} as v, 'daily' as source from orders where o_orderdate < timestamp '1998-07-01' group by 1, 2
       union all select o_orderstatus, o_orderdate, o_totalprice, 'raw' from orders where o_orderdate >= timestamp '1998-07-01'""",
 )
 def stitch_at_seam(spark, sf):
     o = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("series"), F.col("o_orderdate").alias("t"), F.col("o_totalprice").alias("v"))
-    daily = o.groupBy("series", "t").agg(exact_avg("v", 2).alias("v")).withColumn("source", F.lit("daily"))
+    daily = o.groupBy("series", "t").agg(exact_avg("v").alias("v")).withColumn("source", F.lit("daily"))
     return grid.stitch(daily, o.withColumn("source", F.lit("raw")), "t", tc.ntz("1998-07-01 00:00:00"))
 
 
@@ -197,11 +197,11 @@ def resample_readings(spark, sf):
 
 @query(
     "time_weighted_hourly",
-    oracle=with_(FEED) + """, s as (select area, date_trunc('second', ts) as t, max(value) as value from feed group by 1, 2),
+    oracle=with_(FEED) + f""", s as (select area, date_trunc('second', ts) as t, max(value) as value from feed group by 1, 2),
       x as (select *, cast(t - interval 1 second as date) as d, date_trunc('hour', t - interval 1 second) as hour_utc from s),
       y as (select *, greatest(coalesce(lag(t) over (partition by area, d order by t), t - interval 300 second), hour_utc) as st from x),
       z as (select *, cast(epoch(t) - epoch(st) as bigint) as w from y)
-      select area, hour_utc, sum(w)::bigint as covered_seconds, round(cast(sum(cast(floor(value * 10000.0e0 + 0.5e0) as bigint) * w) as double) / (cast(sum(w) as double) * 10000.0e0), 2) as value
+      select area, hour_utc, sum(w)::bigint as covered_seconds, round({xmean('sum(' + xunits('value') + ' * w)', 'sum(w)')}, 2) as value
       from z group by 1, 2""",
 )
 def time_weighted(spark, sf):

@@ -8,7 +8,7 @@ from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_sum, rounded
 from gridtide.plans import studies
 from gridtide.workload.aggregating import _DAY_NET, day_net
-from gridtide.workload.bindings import FEED, PANEL, ZONE, feed, load, panel, with_, xavg, xsum
+from gridtide.workload.bindings import FEED, PANEL, ZONE, feed, load, panel, with_, xavg, xmean, xsum, xunits
 from gridtide.workload.registry import query
 
 # hours with a price, a forecast, an outcome and a gap
@@ -173,7 +173,7 @@ def prob(spark, sf):
 @query(
     "brier_and_auc",
     oracle=with_(_PROB) + f""", r as (select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0e0 as rk from pr),
-      g as (select sum(rk) filter (where quality = 1) as r, sum(quality)::bigint as pos, count(*) as n, {xavg('(p - quality) * (p - quality)', 8)} as brier from r)
+      g as (select sum(rk) filter (where quality = 1) as r, sum(quality)::bigint as pos, count(*) as n, {xavg('(p - quality) * (p - quality)')} as brier from r)
       select n, pos as positives, round((r - pos * (pos + 1) / 2.0e0) / (pos * (n - pos)), 9) as auc, brier from g""",
 )
 def brier_auc(spark, sf):
@@ -183,7 +183,7 @@ def brier_auc(spark, sf):
 @query(
     "reliability_by_bin",
     oracle=with_(_PROB) + f""", r as (select *, row_number() over (order by p, doc_id) - 1 as i, count(*) over () as n from pr)
-      select greatest(ceil(i * 8.0e0 / greatest(n - 1, 1)) - 1, 0)::int as bin, count(*) as n, {xavg('p', 8)} as mean_p, avg(quality::double) as rate from r group by 1""",
+      select greatest(ceil(i * 8.0e0 / greatest(n - 1, 1)) - 1, 0)::int as bin, count(*) as n, {xavg('p')} as mean_p, avg(quality::double) as rate from r group by 1""",
 )
 def reliability(spark, sf):
     return studies.reliability(prob(spark, sf), "p", "quality", "doc_id", 8)
@@ -228,7 +228,7 @@ def _boot_sql(draws: int, block: str, seed: int) -> str:
       st as (select *, k = 0 or {u('new')} < {block} as nw, floor({u('start')} * n)::bigint as s from path),
       ix as (select draw, k, n, last_value(case when nw then s end ignore nulls) over w as s, last_value(case when nw then k end ignore nulls) over w as sk from st window w as (partition by draw order by k rows unbounded preceding)),
       jj as (select draw, (s + k - sk) % n as i from ix),
-      bm as (select zone, draw, cast(sum(cast(floor(net*10000.0e0+0.5e0) as bigint)) as double) / (count(*)::double * 10000.0e0) as boot_mean from jj join dn using (i) group by 1, 2)"""
+      bm as (select zone, draw, {xmean('sum(' + xunits('net') + ')', 'count(*)')} as boot_mean from jj join dn using (i) group by 1, 2)"""
 
 
 @query("stationary_bootstrap_means", oracle=with_(_boot_sql(200, "1.0e0/7.0e0", 20261006)) + " select zone, draw, boot_mean from bm")
@@ -348,14 +348,14 @@ def event_windows(spark, sf):
 
 @query(
     "market_baseline",
-    oracle=f"""with d as (select o_orderdate::date as day, {xavg('o_totalprice', 2)} as lv from orders group by 1), b as (select o_orderdate::date as day, {xavg('o_custkey')} as rate from orders where o_orderpriority = '1-URGENT' group by 1),
+    oracle=f"""with d as (select o_orderdate::date as day, {xavg('o_totalprice')} as lv from orders group by 1), b as (select o_orderdate::date as day, {xavg('o_custkey')} as rate from orders where o_orderpriority = '1-URGENT' group by 1),
       j as (select day, lv, last_value(rate ignore nulls) over (order by day rows unbounded preceding) as r from d full join b using (day)), k as (select *, max(lv) over (order by day rows unbounded preceding) as peak from j where lv is not null),
       g as (select arg_min(lv, day) as first_level, arg_max(lv, day) as last_level, max(day) - min(day) as span_days, min(lv / peak - 1) as worst_drawdown, {xavg('r')} as mean_rate from k)
       select first_level, last_level, span_days::int as span_days, worst_drawdown, mean_rate, round(pow(last_level / first_level, 365.0e0 / span_days) - 1, 9) as annual_return from g""",
 )
 def market_baseline(spark, sf):
     o = load(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
-    d = o.groupBy("day").agg(exact_avg("o_totalprice", 2).alias("lv"))
+    d = o.groupBy("day").agg(exact_avg("o_totalprice").alias("lv"))
     b = o.where(F.col("o_orderpriority") == "1-URGENT").groupBy("day").agg(exact_avg("o_custkey").alias("rate"))
     return studies.market_baseline(d, "day", "lv", b, "rate").withColumn("annual_return", F.round("annual_return", 9))
 

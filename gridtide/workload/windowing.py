@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_avg_over, exact_sum
 from gridtide.operators import grid, ranking, trailing
-from gridtide.workload.bindings import FEED, PANEL, feed, load, panel, with_, xavg, xavg_over, xsum, xsum_over
+from gridtide.workload.bindings import FEED, PANEL, feed, load, panel, with_, xavg, xavg_over, xmean, xsum, xsum_over, xunits
 from gridtide.workload.registry import query
 
 _HOURS = FEED + f", h as (select area, date_trunc('hour', ts) as hour_utc, {xavg('value')} as v, count(*) as n from feed group by 1, 2)"
@@ -62,7 +62,7 @@ def ntile_buckets(spark, sf):
     "deciles_by_pooled_rank",
     oracle=f"""with r as (select l_returnflag, l_quantity as q, l_extendedprice as p, (rank() over w + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2.0e0) / count(*) over (partition by l_returnflag) as pct
         from lineitem window w as (partition by l_returnflag order by l_quantity))
-      select l_returnflag, least(9, floor(pct * 10.0e0))::int as decile, count(*) as n, min(q) as lo, max(q) as hi, {xavg('p', 2)} as mean_price from r group by 1, 2""",
+      select l_returnflag, least(9, floor(pct * 10.0e0))::int as decile, count(*) as n, min(q) as lo, max(q) as hi, {xavg('p')} as mean_price from r group by 1, 2""",
 )
 def deciles_by_rank(spark, sf):
     # decile of a value depends on its rank only, so rows are pre-aggregated per distinct value and never ranked one by one
@@ -129,14 +129,14 @@ _W28 = "partition by zone, slot order by delivery_date range between interval 28
 @query(
     "trailing_stats_28_days",
     oracle=with_(PANEL) + f"""
-      select delivery_date, zone, slot, gap, {xavg_over('gap', _W28)} as gap_28d_mean, round(quantile_cont(gap, 0.5) over w, 9) as gap_28d_median, round(stddev_samp(gap) over w, 6) as gap_28d_std, count(gap) over w as gap_28d_n,
+      select delivery_date, zone, slot, gap, {xavg_over('gap', _W28)} as gap_28d_mean, round(quantile_cont(gap, 0.5) over w, 11) as gap_28d_median, round(stddev_samp(gap) over w, 6) as gap_28d_std, count(gap) over w as gap_28d_n,
         avg(case when gap > 1 then 1.0e0 else 0.0e0 end) over w as gap_28d_up_rate, avg(case when gap < -1 then 1.0e0 else 0.0e0 end) over w as gap_28d_down_rate
       from panel window w as ({_W28})""",
 )
 def trailing_stats(spark, sf):
     p = panel(spark, sf).select("delivery_date", "zone", "slot", "gap")
     t = trailing.trailing_stats(p, ["zone", "slot"], "delivery_date", "gap", 28, "gap_28d", spike=1.0)
-    return t.withColumn("gap_28d_median", F.round("gap_28d_median", 9)).withColumn("gap_28d_std", F.round("gap_28d_std", 6))
+    return t.withColumn("gap_28d_median", F.round("gap_28d_median", 11)).withColumn("gap_28d_std", F.round("gap_28d_std", 6))
 
 
 _V = f"""v as (select l_linestatus as series, l_shipdate::date as day, l_shipdate::date + 1 + (l_suppkey % 5)::int as usable, l_extendedprice*(l_tax-l_discount)/1000.0e0 as x from lineitem)"""
@@ -145,8 +145,8 @@ _V = f"""v as (select l_linestatus as series, l_shipdate::date as day, l_shipdat
 @query(
     "trailing_mean_of_public_rows",
     oracle=with_(_V) + f""", d as (select distinct day as d from v), s as (select distinct series from v)
-      , j as (select s.series, d.d, sum(cast(floor(v.x*10000.0e0+0.5e0) as bigint)) as sx, count(v.x) as n from s cross join d left join v on v.series = s.series and v.day >= d.d - 60 and v.day <= d.d - 1 and v.usable <= d.d group by 1, 2)
-      select series, d as decision_day, case when n > 0 then sx::double / (n::double * 10000.0e0) end as x_60d, n as n_usable from j""",
+      , j as (select s.series, d.d, sum({xunits('v.x')}) as sx, count(v.x) as n from s cross join d left join v on v.series = s.series and v.day >= d.d - 60 and v.day <= d.d - 1 and v.usable <= d.d group by 1, 2)
+      select series, d as decision_day, case when n > 0 then {xmean('sx', 'n')} end as x_60d, n as n_usable from j""",
 )
 def public_rows(spark, sf):
     li = load(spark, sf, "lineitem")

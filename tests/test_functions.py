@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gridtide.functions import names, numbers
+from gridtide.functions import exact, names, numbers
 from gridtide.functions import timecols as tc
 from gridtide.operators import publication
 
@@ -103,3 +103,24 @@ def test_slug_and_numbers(row):
     assert one(row, numbers.later_of(null, F.lit(2.0))) == 2.0
     assert one(row, numbers.safe_ratio(F.lit(1.0), F.lit(0.0))) is None
     assert one(row, numbers.nan_to_null(F.lit(float("nan")))) is None
+
+
+def test_means_of_small_values_keep_their_digits(spark):
+    df = spark.createDataFrame([(0.00003,), (0.00005,), (None,)], "x double")
+    assert one(df, exact.exact_avg("x")) == pytest.approx(4e-5, abs=1e-15)
+    assert one(df, exact.exact_sum("x")) == pytest.approx(8e-5, abs=1e-15)
+
+
+def test_large_sums_do_not_overflow(spark):
+    df = spark.range(70_000).select(F.lit(1.4e10).alias("x"))
+    assert one(df, exact.exact_sum("x")) == 9.8e14
+    wide = spark.range(1000).select(F.lit(9e15).alias("x"))
+    assert one(wide, exact.exact_sum("x")) == pytest.approx(9e18, rel=1e-15)
+    assert one(wide, exact.exact_avg("x")) == 9e15
+
+
+def test_sums_do_not_depend_on_partitioning(spark):
+    df = spark.range(1000).select((F.rand(3) * 1000 - 500).alias("x"))
+    whole = df.collect()
+    again = spark.createDataFrame(whole[::-1], "x double").repartition(7)
+    assert one(again, exact.exact_sum("x")) == one(spark.createDataFrame(whole, "x double"), exact.exact_sum("x"))
