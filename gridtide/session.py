@@ -38,16 +38,32 @@ def local_session(cpus: str | None = None, app: str = "gridtide") -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder. A local one is made only where none is configured and driver and executors
+    are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if path is None:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = sc.getCheckpointDir()
+    if path is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whichever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).isDirectory()
+
+
 def working_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream state, under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

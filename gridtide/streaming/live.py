@@ -10,11 +10,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gridtide.functions.exact import exact_avg
 from gridtide.operators.dedup import latest_wins
-from gridtide.session import checkpoint_dir, working_dir
+from gridtide.session import checkpoint_dir, exists, is_folder, working_dir
 
 
 def read_files(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -24,6 +23,15 @@ def read_files(spark: SparkSession, path: str, schema, glob: str = "*.parquet",
     return r.parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, one file or a folder of files."""
+    schema = spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return read_files(spark, path, schema, files_per_batch=files_per_batch)
+    folder, _, name = path.rpartition("/")
+    return read_files(spark, folder, schema, name, files_per_batch)
+
+
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
@@ -94,10 +102,9 @@ def upsert_latest(keys: Sequence[str], order: Sequence[str], partition: str) ->
     def sink(batch: DataFrame, _i: int, path: str) -> None:
         spark = batch.sparkSession
         touched = batch.select(partition).distinct()
-        try:
+        both = batch
+        if exists(spark, path):
             both = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi").unionByName(batch)
-        except AnalysisException:  # the table does not exist yet
-            both = batch
         checkpoint_dir(spark)
         # the new content is materialised before the partitions it was read from are replaced
         merged = latest_wins(both, keys, order).checkpoint()
@@ -107,33 +114,34 @@ def upsert_latest(keys: Sequence[str], order: Sequence[str], partition: str) ->
 
 
 def revision_log(keys: Sequence[str], night: str, value: str, order: Sequence[str], eps: float) -> Callable[[DataFrame, int, str], None]:
-    """A foreachBatch sink that logs what each night's delivery changed.
+    """A foreachBatch sink that logs what each night's delivery changed against the night before it.
 
-    A batch is reduced to the last value per (key, night) before anything else, so a key with very many
-    deliveries stays small; the nights of a key are then compared with the one before, the first one with
-    the last value kept from earlier batches.  Events and kept values are written per batch number, so a
-    replayed batch replaces its own output.
+    A batch is reduced to the last value per (key, night) before anything else, so a key with very many deliveries stays
+    small.  Values and events are kept per (key, night), each batch writing its own part, so a replayed batch replaces its
+    output.  A batch writes anew the event of every night it brings and of the first night behind each of them, so a night
+    that comes late is compared with its own predecessor and corrects its successor.  ``current_events`` reads the log.
     """
     cols = [*keys, night, value]
 
     def sink(batch: DataFrame, i: int, path: str) -> None:
         spark = batch.sparkSession
-        nightly = latest_wins(batch, [*keys, night], order).select(*cols)
-        try:
-            kept = spark.read.parquet(f"{path}/kept").where(F.col("batch") < i)
-            kept = latest_wins(kept, keys, ["batch"]).select(*keys, F.col(value).alias("_kept"))
-            j = nightly.join(kept, list(keys), "left")
-        except AnalysisException:  # first batch
-            j = nightly.withColumn("_kept", F.lit(None).cast("double"))
+        new = latest_wins(batch, [*keys, night], order).select(*cols, F.lit(i).alias("batch"))
+        every = new
+        if exists(spark, f"{path}/values"):
+            kept = spark.read.schema(new.schema).parquet(f"{path}/values").where(F.col("batch") < i)
+            touched = new.select(*keys).distinct()
+            every = latest_wins(kept.join(touched, list(keys), "left_semi").unionByName(new), [*keys, night], ["batch"])
         w = Window.partitionBy(*keys).orderBy(night)
-        before = F.coalesce(F.lag(value).over(w), F.col("_kept"))
-        events = j.withColumn("before", before).withColumn("after", F.col(value)).withColumn(
-            "status",
-            F.when(F.col("before").isNull(), "appeared").when(F.abs(F.col("after") - F.col("before")) > eps, "revised"),
-        )
-        out = events.where(F.col("status").isNotNull()).select(*keys, night, "before", "after", "status", F.lit(i).alias("batch"))
-        last = latest_wins(nightly, keys, [night]).select(*cols, F.lit(i).alias("batch"))
-        for df, name in ((out, "events"), (last, "kept")):
+        own = F.col("batch") == i
+        seen = every.withColumn("before", F.lag(value).over(w)).withColumn("_hit", own | F.coalesce(F.lag(own).over(w), F.lit(False)))
+        status = F.when(F.col("before").isNull(), "appeared").when(F.abs(F.col(value) - F.col("before")) > eps, "revised")
+        events = seen.where("_hit").select(*keys, night, "before", F.col(value).alias("after"), status.alias("status"), F.lit(i).alias("batch"))
+        for df, name in ((events, "events"), (new, "values")):
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
 
     return sink
+
+
+def current_events(events: DataFrame, keys: Sequence[str], night: str) -> DataFrame:
+    """The newest word on each (key, night) of a revision log, without nights that changed nothing."""
+    return latest_wins(events, [*keys, night], ["batch"]).where(F.col("status").isNotNull()).drop("batch")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.streaming import live
-from gridtide.workload.bindings import load, xavg
+from gridtide.workload.bindings import xavg
 from gridtide.workload.registry import query
 
 
 def stream(spark, sf, name):
-    return live.read_files(spark, sf, load(spark, sf, name).schema, f"{name}.parquet")
+    return live.read_table(spark, f"{sf}/{name}.parquet", files_per_batch=1)
 
 
 @query(
@@ -54,7 +54,7 @@ def live_repeats(spark, sf):
 def live_revisions(spark, sf):
     s = stream(spark, sf, "events").select("event_type", "user_id", "value", "event_id", "ts", F.col("ts").cast("date").alias("night"))
     path = live.run_each_batch(s, "live_revisions", live.revision_log(["event_type", "user_id"], "night", "value", ["ts", "event_id"], 5.0))
-    return spark.read.parquet(f"{path}/events").drop("batch")
+    return live.current_events(spark.read.parquet(f"{path}/events"), ["event_type", "user_id"], "night")
 
 
 @query(

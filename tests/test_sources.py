@@ -95,10 +95,28 @@ def test_revision_log_across_batches(spark, tmp_path):
     sink(spark.createDataFrame([("a", 1, 10.0, 1), ("a", 1, 11.0, 2), ("b", 1, 1.0, 1)], cols), 0, path)
     for _ in range(2):  # a replayed batch replaces its own output
         sink(spark.createDataFrame([("a", 2, 14.0, 3), ("b", 2, 1.2, 3), ("c", 2, 1.0, 3)], cols), 1, path)
-    got = sorted((r.k, r.night, r.before, r.after, r.status) for r in spark.read.parquet(f"{path}/events").where("night = 2").collect())
+    log = live.current_events(spark.read.parquet(f"{path}/events"), ["k"], "night")
+    got = sorted((r.k, r.night, r.before, r.after, r.status) for r in log.where("night = 2").collect())
     assert got == [("a", 2, 11.0, 14.0, "revised"), ("c", 2, None, 1.0, "appeared")]
 
 
+def test_late_night_is_compared_with_its_own_predecessor(spark, tmp_path):
+    sink = live.revision_log(["k"], "night", "v", ["f"], 0.5)
+    path = str(tmp_path / "log")
+    for i, (night, v) in enumerate([(1, 10.0), (3, 20.0), (2, 11.0), (4, 20.0)]):
+        sink(spark.createDataFrame([("a", night, v, i)], "k string, night int, v double, f int"), i, path)
+    log = live.current_events(spark.read.parquet(f"{path}/events"), ["k"], "night").orderBy("night").collect()
+    assert [(r.night, r.before, r.after, r.status) for r in log] == [(1, None, 10.0, "appeared"), (2, 10.0, 11.0, "revised"), (3, 11.0, 20.0, "revised")]
+
+
+def test_stream_reads_a_folder_of_files_in_several_batches(spark, tmp_path):
+    at = str(tmp_path / "t.parquet")
+    spark.range(100).repartition(4).write.parquet(at)
+    seen = []
+    live.run_each_batch(live.read_table(spark, at, 1), "folder", lambda df, i, _: seen.append(df.count()), "append")
+    assert sum(seen) == 100 and len([n for n in seen if n]) == 4
+
+
 def test_session_windows_and_live_hours_hold_back_the_open_hour(spark, tmp_path):
     src = tmp_path / "src"
     t0 = dt.datetime(2024, 1, 1)
