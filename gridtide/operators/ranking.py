@@ -4,7 +4,7 @@
 first reduced to its distinct values with counts (map-side combined), the values are cut into ranges,
 and the cumulative count is built from bounded steps: counts per range, a running sum over the ranges of
 a group, and a running sum inside one range.  Ranges are logarithmic in the value and are then
-subdivided evenly between their exact minimum and maximum, so neither outliers nor a cluster far from
+subdivided evenly between their exact minimum and maximum, into as many pieces as their distinct values ask for, so neither outliers nor a cluster far from
 zero ends up in one range.  They depend only on the data, never on partitioning or sampling, which keeps
 task retries harmless.
 
@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from gridtide.functions import timecols as tc
 from gridtide.operators.joins import null_safe
 
-RANGES = 256
 PER_OCTAVE = 16
-SMALL = 10_000  # a range with fewer distinct values than this is not subdivided
+PER_RANGE = 1_000  # distinct values for which a range gets one more piece
 
 
 def _as_number(df: DataFrame, c: str) -> Column:
@@ -42,7 +41,6 @@ def ranked_values(
     keys: Sequence[str],
     value: str,
     extra: dict[str, Column] | None = None,
-    ranges: int = RANGES,
 ) -> DataFrame:
     """One row per (keys, distinct value): ``ties`` rows with it, ``below`` rows under it, ``n`` in the
     group.  ``extra`` adds aggregates (name -> aggregate Column) computed per distinct value."""
@@ -62,8 +60,9 @@ def ranked_values(
         .drop("_rv_c")
     )
     width = F.col("_rv_hi") - F.col("_rv_lo")
-    part = F.least(F.floor((F.col("_rv_x") - F.col("_rv_lo")) / width * F.lit(float(ranges))), F.lit(ranges - 1))
-    two = null_safe(one, o1, [*by, "_rv_b1"]).withColumn("_rv_b2", F.when((width > 0) & (F.col("_rv_d") > SMALL), part).otherwise(F.lit(0)).cast("int"))
+    pieces = F.ceil(F.col("_rv_d") / PER_RANGE)
+    part = F.least(F.floor((F.col("_rv_x") - F.col("_rv_lo")) / width * pieces), pieces - 1)
+    two = null_safe(one, o1, [*by, "_rv_b1"]).withColumn("_rv_b2", F.when(width > 0, part).otherwise(F.lit(0)).cast("bigint"))
     w2 = Window.partitionBy(*by, "_rv_b1").orderBy("_rv_b2").rowsBetween(Window.unboundedPreceding, -1)
     o2 = (
         two.groupBy(*by, "_rv_b1", "_rv_b2").agg(F.sum("ties").alias("_rv_c"))

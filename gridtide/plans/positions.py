@@ -191,10 +191,11 @@ def legs_to_zones(pairs: DataFrame, keys: Sequence[str], zone: str) -> DataFrame
 
 # ---------------------------------------------------------------- daily series and performance
 
-def daily_series(led: DataFrame, day: str, keys: Sequence[str], cols: Sequence[str], lo: Column, hi: Column) -> DataFrame:
-    """Daily sums on every calendar day of [lo, hi]; days without rows are zero."""
+def daily_series(led: DataFrame, day: str, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Daily sums on every calendar day from the ledger's first to its last one; days without rows are zero."""
     d = led.groupBy(*keys, day).agg(*[exact_sum(c).alias(c) for c in cols])
-    cal = d.select(*keys).distinct().withColumn(day, F.explode(F.sequence(lo, hi, F.expr("interval 1 day"))))
+    span = d.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))  # one row
+    cal = d.select(*keys).distinct().join(F.broadcast(span)).withColumn(day, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day")))).drop("_lo", "_hi")
     return cal.join(d, [*keys, day], "left").na.fill(0.0, list(cols))
 
 

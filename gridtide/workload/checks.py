@@ -269,7 +269,8 @@ def check_components(spark, sf):
 )
 def coverage_inventory(spark, sf):
     p = panel(spark, sf)
-    slots = load(spark, sf, "region").select(F.col("r_name").alias("zone"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("slot"))
+    # every zone with every slot that occurs: both lists are dimensions (zones x slots of a day)
+    slots = load(spark, sf, "region").select(F.col("r_name").alias("zone")).join(F.broadcast(p.agg(F.collect_set("slot").alias("s")))).select("zone", F.explode("s").alias("slot"))
     span = grid.bounds(p, [], "delivery_date")  # one row
     expected = grid.series_between(slots.join(F.broadcast(span)), "lo", "hi", "1 day", "delivery_date").withColumn("year", F.year("delivery_date"))
     return quality.coverage_inventory(expected, p, ["delivery_date", "zone", "slot"], ["zone", "year"])

@@ -20,7 +20,6 @@ RULES = (
     f"""rp as (select p.*, {xavg_over('gap', _W.format(n=365))} as s365, {xavg_over('gap', _W.format(n=28))} as s28, load_cost, supply_cost
       from panel p left join fees on year = year(delivery_date))""",
 )
-LO, HI = "1995-01-01", "2001-12-31"
 
 
 def rule_panel(spark, sf, override=None):
@@ -231,7 +230,7 @@ DAILY = ledger_sql(TWO, "led_two") + ", " + ledger_sql("-1.0e0", "led_sup") + ",
   alld as (select 'two_sided' as strategy, delivery_date, {xsum('pnl')} as pnl, {xsum('mwh')} as mwh from led_two group by 2
     union all select 'supply', delivery_date, {xsum('pnl')}, {xsum('mwh')} from led_sup group by 2
     union all select 'side', delivery_date, {xsum('pnl')}, {xsum('mwh')} from led_side group by 2),
-  cal as (select strategy, unnest(generate_series(date '{LO}', date '{HI}', interval 1 day))::date as delivery_date from (select distinct strategy from alld)),
+  cal as (select strategy, unnest(generate_series((select min(delivery_date) from alld), (select max(delivery_date) from alld), interval 1 day))::date as delivery_date from (select distinct strategy from alld)),
   daily as (select strategy, delivery_date, coalesce(pnl, 0.0e0) as pnl, coalesce(mwh, 0.0e0) as mwh from cal left join alld using (strategy, delivery_date))"""
 
 
@@ -244,7 +243,7 @@ def daily(spark, sf, override=None):
         x = F.when(F.col("gap").isNull(), 0.0).otherwise(r)
         cells.append(F.struct(F.lit(n).alias("strategy"), exact_sum(x * g - F.abs(x) * pos.side_cost(x)).alias("pnl"), exact_sum(F.abs(x)).alias("mwh")))
     d = p.groupBy("delivery_date").agg(F.array(*cells).alias("c")).select("delivery_date", F.explode("c").alias("c")).select("delivery_date", "c.*")
-    return pos.daily_series(d, "delivery_date", ["strategy"], ["pnl", "mwh"], F.lit(LO).cast("date"), F.lit(HI).cast("date"))
+    return pos.daily_series(d, "delivery_date", ["strategy"], ["pnl", "mwh"])
 
 
 @query("daily_series_on_calendar", oracle=with_(*RULES, DAILY) + " select * from daily")

@@ -25,9 +25,9 @@ def test_latest_wins_limits_rows_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
 
 
-@pytest.mark.parametrize("seed,small", [(1, ranking.SMALL), (2, 3)])
+@pytest.mark.parametrize("seed,small", [(1, ranking.PER_RANGE), (2, 3)])
 def test_ranks_and_quantiles_with_a_hot_value_and_outliers(spark, monkeypatch, seed, small):
-    monkeypatch.setattr(ranking, "SMALL", small)  # 3: nearly every range is subdivided
+    monkeypatch.setattr(ranking, "PER_RANGE", small)  # 3: nearly every range is subdivided
     rng = random.Random(seed)
     vals = [0.0] * 300 + [rng.gauss(0, 1) for _ in range(400)] + [1e9, -1e9, 5.0, 5.0] + [1e6 + rng.random() for _ in range(300)]
     rows = [("hot", float(v), i) for i, v in enumerate(vals)] + [("cold", 1.0, 0), (None, 2.0, 1), (None, 3.0, 2)]
