@@ -76,6 +76,12 @@ def read_json_records(spark: SparkSession, path: str, record: str) -> DataFrame:
     return body.select(F.explode("records").alias("r")).select("r.*")
 
 
+def read_json_files(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """As ``read_json_records`` for files of one such object per line, which split across tasks."""
+    body = spark.read.schema(f"records array<struct<{record}>>").json(path)
+    return body.select(F.explode("records").alias("r")).select("r.*")
+
+
 def read_fx_csv(spark: SparkSession, path: str) -> DataFrame:
     """Reference-rate CSV: typed, renamed, rows without an observation dropped."""
     raw = spark.read.option("header", "true").csv(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_sum
+from gridtide.session import working_dir
 from gridtide.sources import landing
 from gridtide.workload.bindings import FEED, feed, load, with_, xsum
 from gridtide.workload.registry import query
@@ -173,3 +174,73 @@ def fees_by_year(spark, sf):
     j = li.join(F.broadcast(fees(spark)), "year")
     cost = F.when(F.col("l_linestatus") == "F", F.col("supply_cost")).otherwise(F.col("load_cost"))
     return j.groupBy("l_linestatus", "year").agg(F.count(F.lit(1)).alias("n"), F.max(cost).alias("cost"))
+
+
+# ---------------------------------------------------------------- files written in a feed's shape, then read by the operator
+
+
+@query(
+    "landed_then_read",
+    oracle="""select event_type, 'feed' as _source, case when event_id % 2 = 0 then 'even' else 'odd' end as _request, max(ts) as _fetched_at, count(*) as rows,
+        count(case when event_id % 2 = 1 then value end) as with_extra from events group by 1, 2, 3""",
+)
+def landed_then_read(spark, sf):
+    # two requests, the second with one more column; an empty third one writes nothing
+    root, e = working_dir(spark, "landing"), load(spark, sf, "events")
+    stamp = F.col("ts")
+    landing.land(e.where("event_id % 2 = 0").select("event_id", "event_type", "ts"), root, "feed", "even", stamp)
+    landing.land(e.where("event_id % 2 = 1").select("event_id", "event_type", "ts", "value"), root, "feed", "odd", stamp)
+    landing.land(e.where("false"), root, "feed", "none", stamp)
+    raw = landing.read_raw(spark, f"{root}/feed")
+    return raw.groupBy("event_type", "_source", "_request").agg(
+        F.max("_fetched_at").alias("_fetched_at"), F.count(F.lit(1)).alias("rows"), F.count("value").alias("with_extra")
+    )
+
+
+@query("json_files", oracle="select event_id, event_type, cast(json_extract_string(props, '$.k') as int) as k from events")
+def json_files(spark, sf):
+    # one {"records": [...]} object per user and day
+    path, e = working_dir(spark, "json"), load(spark, sf, "events")
+    record = F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    body = e.groupBy("user_id", F.col("ts").cast("date").alias("d")).agg(F.collect_list(record).alias("records"))
+    body.select("records").write.option("compression", "gzip").json(path)
+    return landing.read_json_files(spark, path, "event_id long, event_type string, k int")
+
+
+@query(
+    "reference_rate_files",
+    oracle="""select o_orderdate::date as date, o_orderpriority as currency, 'EUR' as denominator, o_totalprice as rate, o_orderstatus as status from orders where o_orderstatus <> 'P'""",
+)
+def reference_rate_files(spark, sf):
+    # observations of status P are published empty and drop out
+    path, o = working_dir(spark, "rates"), load(spark, sf, "orders")
+    value = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("string"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    shape = o.select(day.alias("TIME_PERIOD"), F.col("o_orderpriority").alias("CURRENCY"), F.lit("EUR").alias("CURRENCY_DENOM"), value.alias("OBS_VALUE"), F.col("o_orderstatus").alias("OBS_STATUS"))
+    shape.write.option("header", "true").csv(path)
+    return landing.read_fx_csv(spark, path)
+
+
+@query(
+    "monthly_write_and_pruned_read",
+    oracle="""select o_orderkey, o_orderdate, case when o_orderdate >= timestamp '1997-03-01' and o_orderdate < timestamp '1997-04-01' then 2 else 1 end as version
+      from orders where o_orderdate >= timestamp '1997-01-15' and o_orderdate < timestamp '1997-05-02'""",
+)
+def monthly(spark, sf):
+    # all months, then one month again: only that one is replaced
+    path = working_dir(spark, "months")
+    o = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    landing.write_monthly(o.withColumn("version", F.lit(1)), "o_orderdate", path)
+    march = (F.col("o_orderdate") >= tc.ntz("1997-03-01 00:00:00")) & (F.col("o_orderdate") < tc.ntz("1997-04-01 00:00:00"))
+    landing.write_monthly(o.where(march).withColumn("version", F.lit(2)), "o_orderdate", path)
+    return landing.read_months(spark, path, "o_orderdate", "1997-01-15 00:00:00", "1997-05-02 00:00:00")
+
+
+@query(
+    "exported_then_read",
+    oracle="select o_orderkey, round(o_totalprice, 1) as o_totalprice, o_orderdate from orders",
+)
+def exported(spark, sf):
+    path = working_dir(spark, "export")
+    landing.export_rounded(load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), path, 1, ["o_orderkey"])
+    return landing.read_raw(spark, path)
