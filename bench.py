@@ -43,6 +43,15 @@ HEADLINE = (
     "random_days_placebo",
     "walk_forward_linear",
     "live_hourly_mean",
+    "walk_forward_trees",
+    "event_probability_trees",
+    "configuration_neighbours",
+    "pooled_rolling_cut",
+    "rolling_cut_filter",
+    "rolling_pool_rank_size",
+    "permuted_days_placebo",
+    "static_pairs",
+    "available_at_each_deadline",
 )
 
 
