@@ -6,10 +6,13 @@ one common order (frequent tokens last); lists of classes by these tokens lead t
 
 1. Within each list every class is compared with the smallest one of about its size. Such links are as many as list
    entries at most, and they join large groups of near copies.
-2. Lists that still hold several components go to the token-group matrix. Their classes are partitioned into groups of
-   similar ones (same first shared token, about `GROUP` each), and each group stores the union of its members' tokens. A query
-   class meets the groups of its lists; a group is opened only if the query's overlap with the union could reach a link
-   with a member of fitting size, and then all members of other components are compared exactly.
+2. Lists that still hold several components form the token-group matrix. Their classes are partitioned into groups of
+   similar ones (same first shared token, about the same size, about `GROUP` each), and each group stores the union of its
+   members' list tokens. A query class meets the groups of its lists; a group is opened only if the number of query tokens
+   in its union could still reach a link with a member of fitting size.
+3. Members of opened groups that belong to other components are compared: first by parity bitmaps of the sets, whose
+   Hamming distance is never above the sets' difference, then exactly: first each with the few that most others are
+   close to, then all pairs that these links left in different components.
 
 Pairs inside one component need no test, so no link between components is lost. Frequent tokens only shape the order, which
 any choice leaves exact: those with `HOT` or more classes, at most 2^18, counted over all documents in stretches of text.
@@ -25,17 +28,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.llm import kernel, tables
 
 WIDTH = 5
 GROUP = 64
+QUERIES = 2000
+HUBS = 3
 HOT, MOST_HOT = 8, 1 << 18
 STRETCH = 8
 PART = 2_000_000
-QUERIES = 1000
 BLOOM_BITS = 24
 
 
@@ -49,6 +53,11 @@ def prefix(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def fits(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be linked at all."""
+    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+
+
 def sets_of(column: pa.Array) -> list[np.ndarray]:
     words = kernel.words_of(column)
     return kernel.shingle_hashes(words, words.hashes(), WIDTH)
@@ -178,22 +187,26 @@ def _shared(part: pa.Table) -> pa.Table:
             leader[at:stop] = lead
             at = lead = stop
     listed = np.flatnonzero(np.repeat(many > 1, many))
-    pair = np.unique(np.stack((cls, cls[leader]))[:, cls != cls[leader]], axis=1) if len(cls) else np.zeros((2, 0), np.int64)
-    k = pair.shape[1]
+    led = np.flatnonzero(cls != cls[leader])
+    pair, at = np.unique(np.stack((cls[led], cls[leader[led]])), axis=1, return_index=True)
+    at = led[at]
+    none = pa.nulls(len(listed), pa.int64())
     return pa.table(
         {
-            "token": pa.concat_arrays([pa.array(token[listed].view(np.int64)), pa.nulls(k, pa.int64())]),
+            "token": pa.concat_arrays([pa.array(token[listed].view(np.int64)), pa.nulls(len(at), pa.int64())]),
             "class": pa.array(np.concatenate((cls[listed], pair[0]))),
-            "n": pa.array(np.concatenate((n[listed], pair[1]))),
+            "n": pa.array(np.concatenate((n[listed], n[at]))),
+            "other": pa.concat_arrays([none, pa.array(pair[1])]),
+            "m": pa.concat_arrays([none, pa.array(n[leader[at]])]),
         }
     )
 
 
 class _Packs:
-    """Whole sets of the classes that a Bloom filter may contain."""
+    """Whole sets, or their parity bitmaps, of the classes that a Bloom filter may contain."""
 
-    def __init__(self, bloom):
-        self.bloom = bloom
+    def __init__(self, bloom, bitmaps: bool):
+        self.bloom, self.bitmaps = bloom, bitmaps
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = self.bloom.value
@@ -205,7 +218,29 @@ class _Packs:
                 found &= (words[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
             own = [i for i in new_classes(classes) if found[i]]
             if own:
-                yield pa.record_batch({"class": pa.array(classes[own]), "tokens": pa.array([sets[i].tobytes() for i in own], pa.binary())})
+                packs = [parity(sets[i]) if self.bitmaps else sets[i].tobytes() for i in own]
+                yield pa.record_batch({"class": pa.array(classes[own]), "tokens": pa.array(packs, pa.binary())})
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A bit per cell of the hash range, two to four per token: whether the cell has an odd number of tokens."""
+    bits = max(int(2 * len(s) - 1).bit_length(), 6)
+    cell = (s >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bitmap: bytes, bits: int) -> int:
+    """The bitmap as a number, folded to so many cells."""
+    x = np.unpackbits(np.frombuffer(bitmap, np.uint8))
+    while len(x) > bits:
+        x = x[::2] ^ x[1::2]
+    return int.from_bytes(np.packbits(x).tobytes())
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Cells that differ, after folding the finer bitmap onto the coarser one."""
+    bits = 8 * min(len(a), len(b))
+    return (folded(a, bits) ^ folded(b, bits)).bit_count()
 
 
 def bloom_cells(classes: np.ndarray) -> list[np.ndarray]:
@@ -226,8 +261,19 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             keep.append(bool(linked(np.count_nonzero(y[at] == x), len(x), len(y))))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.record_batch({k: batch.column(k).filter(mask) for k in ("a", "b")})
+        yield _kept(batch, keep)
+
+
+def _sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both bitmaps -> pairs that can be linked: a link's sets differ in a seventh of both sizes at most."""
+    for batch in batches:
+        sizes = zip(*(batch.column(x).to_pylist() for x in ("na", "nb", "a_tokens", "b_tokens")), strict=True)
+        yield _kept(batch, [7 * distance(a, b) <= na + nb for na, nb, a, b in sizes])
+
+
+def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+    mask = pa.array(keep, pa.bool_())
+    return pa.record_batch({k: batch.column(k).filter(mask) for k in ("a", "b", "na", "nb")})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,42 +296,60 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("class"), F.col("b").alias("root"))
 
 
-def _group(part: pa.Table) -> pa.Table:
-    """One group: its members, and the union of their tokens."""
-    raw = part.column("tokens").to_pylist()
-    union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw]))
-    return pa.table(
-        {
-            "grp": part.column("grp").slice(0, 1),
-            "union": pa.array([union.tobytes()], pa.binary()),
-            "members": pa.array([part.column("class").to_numpy().tobytes()], pa.binary()),
-            "roots": pa.array([part.column("root").to_numpy().tobytes()], pa.binary()),
-            "sizes": pa.array([np.array([len(x) // 8 for x in raw], np.int64).tobytes()], pa.binary()),
-            "flat": pa.array([b"".join(raw)], pa.binary()),
-        }
-    )
+class Sets:
+    """The sets of classes, made anew from the texts: only classes that a Bloom filter may contain (2 MB), so little of the
+    corpus moves. Bitmaps of all listed classes are made once and written."""
 
+    def __init__(self, docs: DataFrame, listed: DataFrame):
+        self.docs = docs
+        self.bitmaps = tables.stored(self._of(listed, True), "parity-bitmaps")
 
-def _open(queries: pa.Table, groups: pa.Table) -> pa.Table:
-    """Queries of one group: bound by the union, then exact overlaps with the members of other components."""
-    out_a, out_b = [], []
-    for g in range(groups.num_rows):
-        union, members, roots, sizes, flat = (np.frombuffer(groups.column(x)[g].as_py(), t) for x, t in (("union", np.uint64), ("members", np.int64), ("roots", np.int64), ("sizes", np.int64), ("flat", np.uint64)))
-        begin = np.cumsum(sizes) - sizes
-        for q, root, raw in zip(*(queries.column(x).to_pylist() for x in ("class", "root", "tokens")), strict=True):
-            x = np.frombuffer(raw, np.uint64)
-            fits = (roots > root) & (4 * np.minimum(sizes, len(x)) >= 3 * np.maximum(sizes, len(x)))
-            if not fits.any():
-                continue
-            at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-            if 7 * np.count_nonzero(union[at] == x) < 3 * (len(x) + sizes[fits].min()):
-                continue
-            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-            shared = np.add.reduceat((x[at] == flat).astype(np.int64), begin)
-            hit = members[fits & linked(shared, len(x), sizes)].tolist()
-            out_a += [q] * len(hit)
-            out_b += hit
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    def _of(self, classes: DataFrame, bitmaps: bool) -> DataFrame:
+        words = classes.mapInArrow(_bloom_rows, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^18 rows at most
+        bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+        bloom[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        shared = self.docs.sparkSession.sparkContext.broadcast(bloom)
+        packs = self.docs.mapInArrow(_Packs(shared, bitmaps), "class long, tokens binary")
+        return packs.groupBy("class").agg(F.any_value("tokens").alias("tokens"))
+
+    @staticmethod
+    def _tried(pairs: DataFrame, packs: DataFrame, test, name: str) -> DataFrame:
+        a = packs.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens"))
+        b = packs.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "a_tokens", "b_tokens")
+        return tables.stored(both.mapInArrow(test, "a long, b long, na long, nb long"), name)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, na, nb) -> those that are linked, by bitmaps and then exactly."""
+        sifted = self._tried(pairs, self.bitmaps, _sift, "sifted-pairs")
+        return self.exact(sifted, self.whole(sifted))
+
+    def whole(self, pairs: DataFrame) -> DataFrame:
+        """The whole sets of the classes of pairs, written."""
+        return tables.stored(self._of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), False), "whole-sets")
+
+    def exact(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        return self._tried(pairs, whole, _verify, "links")
+
+
+def _open(queries: pa.Table, members: pa.Table) -> pa.Table:
+    """Queries of one group, and its members: pairs of different components whose bitmaps are close enough."""
+    rows = list(zip(*(members.column(x).to_pylist() for x in ("class", "n", "root", "tokens")), strict=True))
+    seen: dict[tuple[int, int], int] = {}  # folded bitmaps by (which row, bits)
+
+    def at(key: int, bitmap: bytes, bits: int) -> int:
+        if (key, bits) not in seen:
+            seen[key, bits] = folded(bitmap, bits)
+        return seen[key, bits]
+
+    out: list[tuple[int, int, int, int]] = []
+    for i, (q, n, root, own) in enumerate(zip(*(queries.column(x).to_pylist() for x in ("class", "n", "root", "tokens")), strict=True)):
+        for j, (c, m, r, other) in enumerate(rows):
+            if r > root and 4 * min(n, m) >= 3 * max(n, m):
+                bits = 8 * min(len(own), len(other))
+                if 7 * (at(-1 - i, own, bits) ^ at(j, other, bits)).bit_count() <= n + m:
+                    out.append((q, c, n, m))
+    return pa.table({x: pa.array([o[k] for o in out], pa.int64()) for k, x in enumerate(("a", "b", "na", "nb"))})
 
 
 def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -308,52 +372,76 @@ def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def shared_lists(part: pa.Table) -> pa.Table:
         return _shared(part)
 
-    found = tables.stored(packed.groupBy("part").applyInArrow(shared_lists, "token long, class long, n long"), "shared-lists")
-    lists = found.where("token is not null")
-    pairs = found.where("token is null").select(F.col("class").alias("a"), F.col("n").alias("b")).distinct()
-
-    words = lists.select("class").distinct().mapInArrow(_bloom_rows, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^18 rows at most
-    bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    bloom[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    packs = docs.mapInArrow(_Packs(sc.broadcast(bloom)), "class long, tokens binary")
-    packs = tables.stored(packs.groupBy("class").agg(F.any_value("tokens").alias("tokens")), "packed-sets")
-
-    def tested(wanted: DataFrame) -> DataFrame:
-        a = packs.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens"))
-        b = packs.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens"))
-        return wanted.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify, "a long, b long")
-
-    stars = tables.stored(tested(pairs), "star-links")
-    roots = components(stars)
-    links = stars.unionByName(group_links(lists, roots, packs))
-    return sets, components(links)
-
-
-def group_links(lists: DataFrame, roots: DataFrame, packs: DataFrame) -> DataFrame:
-    """Links between different components, by the token-group matrix."""
+    found = tables.stored(packed.groupBy("part").applyInArrow(shared_lists, "token long, class long, n long, other long, m long"), "shared-lists")
+    lists = found.where("token is not null").select("token", "class", "n")
+    stars = tables.stored(found.where("token is null").select(F.col("class").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("m").alias("nb")).distinct(), "star-pairs")
+    test = Sets(docs, lists.select("class").distinct())
+    links = test.links(stars)
+    near = open_pairs(mixed_lists(lists, components(links)), test.bitmaps)
+    whole = test.whole(near)
+    links = links.unionByName(test.exact(hub_pairs(near), whole))
+    roots = components(links)
+    rest = test.exact(apart(near, roots), whole)
+    return sets, roots if rest.isEmpty() else components(contracted(rest, roots))
+
+
+def mixed_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, class, n, root, band) of lists with several components."""
     rooted = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rows = tables.stored(rooted.join(mixed, "token").select("token", "class", "n", "root"), "mixed-lists")
-    member = rows.groupBy("class").agg(F.min("token").alias("token"), F.min("root").alias("root"))
-    many = member.groupBy("token").agg(F.ceil(F.count("*") / GROUP).alias("k"))
-    member = member.join(many, "token").select("class", "root", F.xxhash64("token", F.pmod(F.xxhash64("class"), F.col("k"))).alias("grp"))
-    member = tables.stored(member, "group-members")
-
-    def grouped(part: pa.Table) -> pa.Table:
-        return _group(part)
-
-    full = member.join(packs, "class").select("grp", "class", "root", "tokens")
-    groups = full.groupBy("grp").applyInArrow(grouped, "grp long, union binary, members binary, roots binary, sizes binary, flat binary")
-    by_token = rows.join(member.select("class", "grp"), "class").select("token", "grp").distinct()
-    meets = tables.stored(rows.select("token", "class", "root").join(by_token, "token").select("class", "root", "grp").distinct(), "query-groups")
-    spread = meets.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("k"))
-    queries = meets.join(spread, "grp").withColumn("salt", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")).drop("k").join(packs, "class")
-    copies = groups.join(spread, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
-
-    def opened(left: pa.Table, right: pa.Table) -> pa.Table:
+    band = F.floor(F.ln("n") / float(np.log(4 / 3)))
+    return tables.stored(rooted.join(mixed, "token").select("token", "class", "n", "root", band.alias("band")), "mixed-lists")
+
+
+def hub_pairs(near: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, na, nb), for each class those with the `HUBS` others that occur in most pairs."""
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
+    best = Window.partitionBy("a").orderBy(F.desc("degree"), "b")
+    few = both.join(degree, "b").withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS)
+    return tables.stored(few.select("a", "b", "na", "nb"), "hub-pairs")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    ra, rb = (roots.select(F.col("class").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    found = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return found.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"})
+
+
+def apart(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of different components."""
+    return tables.stored(_rooted(near, roots).where("root_a <> root_b").select("a", "b", "na", "nb"), "pairs-apart")
+
+
+def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between components that links join, and between the classes of a component and its root."""
+    between = _rooted(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    return between.unionByName(roots.select(F.col("class").alias("a"), F.col("root").alias("b")))
+
+
+def open_pairs(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(a, b, na, nb): classes of different components that the token-group matrix and the bitmaps leave. A group meets at
+    most about `QUERIES` queries in one task; it comes once for each such lot."""
+    member = rows.groupBy("class").agg(F.min("token").alias("token"), F.min("root").alias("root"), F.max("n").alias("n"), F.max("band").alias("band"))
+    many = member.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).alias("k"))
+    grp = F.xxhash64("token", "band", F.pmod(F.xxhash64("class"), F.col("k")))
+    member = tables.stored(member.join(many, ["token", "band"]).select("class", "n", "root", grp.alias("grp")), "group-members")
+    union = rows.select("token", "class").join(member, "class").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # Entries of the matrix: tokens of the query in the group's union. Only members between least and most can fit.
+    least, most = F.greatest("lo", F.ceil(F.col("n") * 3 / 4)), F.least("hi", F.floor(F.col("n") * 4 / 3))
+    met = rows.join(union, "token").where(least <= most).groupBy("class", "n", "root", "grp").agg(F.count("*").alias("k"), F.min(least).alias("lo"), F.max(most).alias("hi"))
+    reach = 7 * (F.col("k") + F.greatest(F.floor((F.col("n") * 3 + 3) / 4), F.floor((F.col("hi") * 3 + 3) / 4)) - 1) >= 3 * (F.col("n") + F.col("lo"))
+    opened = tables.stored(met.where(reach).select("class", "n", "root", "grp"), "opened-groups")
+    lots = opened.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("lots"))
+    queries = opened.join(lots, "grp").withColumn("lot", F.pmod(F.xxhash64("class"), F.col("lots")).cast("int")).drop("lots").join(bitmaps, "class")
+    copies = member.join(lots, "grp").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots").join(bitmaps, "class")
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])  # other attributes than those of the queries
+
+    def opening(left: pa.Table, right: pa.Table) -> pa.Table:
         return _open(left, right)
 
-    return queries.groupBy("grp", "salt").cogroup(copies.groupBy("grp", "salt")).applyInArrow(opened, "a long, b long")
+    pairs = queries.groupBy("grp", "lot").cogroup(copies.groupBy("grp", "lot")).applyInArrow(opening, "a long, b long, na long, nb long")
+    return tables.stored(pairs.distinct(), "open-pairs")
 
 
 def join(docs: DataFrame) -> DataFrame:

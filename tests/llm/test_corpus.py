@@ -72,7 +72,6 @@ def near_copies(seed, groups=12, size=9, length=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join_against_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(op10, "GROUP", 4)
-    monkeypatch.setattr(op10, "QUERIES", 3)
     rows = near_copies(seed)
     got = [tuple(r) for r in op10.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
     assert sorted(got) == sorted(brute_components(rows))
@@ -83,14 +82,14 @@ def test_join_on_documents(spark, small):
     assert sorted(tuple(r) for r in op10.join(small).collect()) == sorted(brute_components(rows))
 
 
-def test_open_compares_members_of_other_components():
-    import pyarrow as pa
-
-    sets = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4, 5], 3: [7, 8, 9, 10], 4: [1, 2, 3, 9]}
-    raw = {k: np.array(v, np.uint64).tobytes() for k, v in sets.items()}
-    member = pa.table({"grp": [5, 5, 5], "class": [2, 3, 4], "root": [20, 30, 40], "tokens": [raw[2], raw[3], raw[4]]})
-    query = pa.table({"class": [1, 1], "root": [10, 25], "tokens": [raw[1], raw[1]]})
-    assert op10._open(query, op10._group(member)).to_pylist() == [{"a": 1, "b": 2}]  # a root above 20 leaves member 2 to the other side
+def test_parity_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 1), (40, 50), (300, 900)):
+        common = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+        for _ in range(20):
+            x, y = (np.unique(np.concatenate((common, rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)))) for k in (n, m))
+            assert op10.distance(op10.parity(x), op10.parity(y)) <= len(np.setxor1d(x, y))
+            assert op10.distance(op10.parity(x), op10.parity(x)) == 0
 
 
 def test_join_stage_keeps_one_of_each(spark, odd):
