@@ -15,7 +15,8 @@ one common order (frequent tokens last); lists of classes by these tokens lead t
    close to, then all pairs that these links left in different components.
 
 Pairs inside one component need no test, so no link between components is lost. Frequent tokens only shape the order, which
-any choice leaves exact: those with `HOT` or more classes, at most 2^18, counted over all documents in stretches of text.
+any choice leaves exact: those with `HOT` or more classes and a 2^20th of all counts, counted over all documents in stretches
+of text.
 
 Defined results: null and empty texts and texts without words have no set, and are linked with nothing (component_id is
 their doc_id); fewer than five words make one shingle; a null doc_id never names a component unless no other member has
@@ -37,7 +38,7 @@ WIDTH = 5
 GROUP = 64
 QUERIES = 2000
 HUBS = 3
-HOT, MOST_HOT = 8, 1 << 18
+HOT, MOST_HOT = 8, 1 << 20
 STRETCH = 8
 PART = 2_000_000
 BLOOM_BITS = 24
@@ -362,7 +363,10 @@ def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = first.where(F.col("kind") == SETS).select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     tokens = first.where(F.col("kind") == TOKENS).groupBy(F.col("class").alias("token")).agg(F.sum("n").alias("n"))
     entries = tokens.where("token = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = tokens.where((F.col("token") != 0) & (F.col("n") >= HOT)).orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()  # the frequent ones, 4 MB at most
+    counted = tokens.where("token <> 0")
+    least = max(HOT, -(-counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // MOST_HOT))
+    hot = counted.where(F.col("n") >= least).toArrow()  # at most 2^20 rows: each has that share of all counts
+    hot = hot.sort_by([("n", "descending"), ("token", "ascending")])
     hashes = hot.column("token").to_numpy().view(np.uint64)
     rank = np.arange(len(hashes))[::-1]  # the most frequent come last
     order = np.argsort(hashes)
