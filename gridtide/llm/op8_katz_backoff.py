@@ -1,8 +1,9 @@
 """Language-model scores by Katz backoff with Good-Turing discounts.
 
-Tokens are the words of a text and one end. Counts of all training tokens give the unigram table. Tokens that make up at
-least 1/65,536 of the training tokens (so at most 65,536 of them) have numbers; the bigram table counts every pair of
-numbered neighbours (the start of a text counts as a neighbour). Other histories have no bigrams and back off with weight 1.
+Tokens are the words of a text and one end. Counts of all training tokens give the unigram table; the bigram table counts
+every pair of neighbours (the start of a text counts as a neighbour). Only histories that were never followed by anything
+back off with weight 1. Tokens that make up at least 1/65,536 of the training tokens (so at most 65,536 of them) have numbers;
+what is known of them as histories is broadcast. Numbers save lookups and change no result.
 
     P(w)     = d(c) c / N for a seen word; all unseen words together are one class with the mass that is left
     P(w | h) = s(h) d(c) c / C(h) if the pair was seen, else alpha(h) P(w)
@@ -12,8 +13,9 @@ d are Good-Turing discounts for counts up to 5 (from the table's counts of count
 not usable). s(h) keeps at least 1/(C(h)+1) for what follows h for the first time. Both levels sum to 1 exactly.
 
 Tables are written, and read by parts: tokens without a number and pairs that are not among the most frequent are sent to
-the part of the table that holds them (by hash), together with the row they belong to, packed per slice and part; parts hold some
-three million tokens, and no key has more than 1/65,536 of all. Sums of a row's tokens come back and are added up.
+the part of the table that holds them (by hash), together with the row they belong to, packed per slice and part. All pairs of a
+history without a number lie in that history's part, where its C, alpha and gains are computed. Parts hold some two million
+tokens, and no key has more than 1/65,536 of all. Sums of a row's tokens come back and are added up.
 
 Defined results: null counts as empty; an empty text has one token, the end; without training documents every token is
 unseen (n_known 0); null doc_id is not held out and not learned from; repeated rows are scored alike; other columns are
@@ -35,10 +37,13 @@ from gridtide.llm import kernel, tables
 
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 FREQUENT = 1 << 16
-PART = 3_000_000
+PART = 2_000_000
 KEPT = 1_000_000
 TOP = 5
-UNIGRAM, BIGRAM, ROWS = 0, 1, 2
+UNIGRAM, BIGRAM, RARE, ROWS = 0, 1, 2, 3
+#: Set in the ids of tokens without a number and in the keys of pairs that hold one: as signed numbers they are negative.
+TOP_BIT = np.uint64(1 << 63)
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,42 +58,44 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def numbers(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """1 + place among the frequent hashes, or -1."""
+    """Ids of tokens: 1 + place among the frequent hashes, or else the hash as a negative number."""
+    rare = (h | TOP_BIT).view(np.int64)
     if not len(frequent):
-        return np.full(len(h), -1)
+        return rare
     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-    return np.where(frequent[at] == h, at + 1, -1)
+    return np.where(frequent[at] == h, at + 1, rare)
 
 
 def histories(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The number of the token before; 0 at the start of a row."""
+    """The id of the token before; 0 at the start of a row."""
     out = np.empty(len(ids), ids.dtype)
     out[1:] = ids[:-1]
     out[first[:-1]] = 0
     return out
 
 
+def pair_keys(before: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Of two numbers, the number of the pair; otherwise a negative hash. `size` is the number of frequent tokens."""
+    mixed = kernel.mix(kernel.mix(before.view(np.uint64)) + word.view(np.uint64)) | TOP_BIT
+    return np.where((before >= 0) & (word >= 0), before * (size + 1) + word, mixed.view(np.int64))
+
+
 class _Count:
-    """Counts of tokens, or of pairs of frequent tokens, in this partition."""
+    """Counts of tokens in this partition."""
 
-    def __init__(self, frequent=None):
-        self.frequent = frequent
+    names = ("key",)
 
-    def keys(self, batch: pa.RecordBatch) -> np.ndarray:
-        h, _, first = tokens(batch.column("text"))
-        if self.frequent is None:
-            return h
-        frequent = self.frequent.value
-        ids = numbers(h, frequent)
-        before = histories(ids, first)
-        both = (ids > 0) & (before >= 0)
-        return (before[both] * (len(frequent) + 1) + ids[both]).astype(np.uint64)
+    def keys(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """What is counted, and the columns that it stands for."""
+        h = tokens(batch.column("text"))[0].view(np.int64)
+        return h, h
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in kernel.texts(batches):
-            held.append(np.unique(self.keys(batch), return_counts=True))
+            keys, *columns = self.keys(batch)
+            held.append(self._sum([(keys, np.ones(len(keys), np.int64), *columns)]))
             size += len(held[-1][0])
             if size > KEPT:
                 held = [self._sum(held)]
@@ -101,18 +108,47 @@ class _Count:
 
     @staticmethod
     def _sum(held):
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+        keys, n, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        return keys, np.bincount(at, n, len(keys)).astype(np.int64), *(x[first] for x in columns)
+
+    def _out(self, counted) -> pa.RecordBatch:
+        return pa.record_batch({name: pa.array(x) for name, x in zip(self.names, counted[2:], strict=True)} | {"n": pa.array(counted[1])})
+
+
+class _CountPairs(_Count):
+    """Counts of pairs of neighbours in this partition."""
+
+    names = ("before", "word")
+
+    def __init__(self, frequent):
+        self.frequent = frequent
+
+    def keys(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        h, _, first = tokens(batch.column("text"))
+        ids = numbers(h, self.frequent.value)
+        before = histories(ids, first)
+        return pair_keys(before, ids, len(self.frequent.value)), before, ids
 
-    @staticmethod
-    def _out(counted) -> pa.RecordBatch:
-        return pa.record_batch({"key": pa.array(counted[0].view(np.int64)), "n": pa.array(counted[1])})
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(key, n): the written table of counts of tokens over all rows."""
+    rows = docs.select("text").mapInArrow(_Count(), "key long, n long")
+    return tables.stored(rows.groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
 
-def counted(docs: DataFrame, name: str, frequent=None) -> DataFrame:
-    """(key, n): the written table of counts over all rows."""
-    rows = docs.select("text").mapInArrow(_Count(frequent), "key long, n long")
-    return tables.stored(rows.groupBy("key").agg(F.sum("n").alias("n")), name)
+
+def counted_pairs(docs: DataFrame, frequent, rare: DataFrame) -> DataFrame:
+    """(before, word, n, c): the written table of counts of pairs over all rows, with the word's own count c, which is 0
+    for numbered words. rare (key, n): unigrams without a number.
+
+    Pairs are dealt by `meet`, which is a rare word's id, else a rare history's id without its sign, else a hash of the pair:
+    pairs are summed and rare words find their counts after one shuffle, and no value of `meet` is frequent."""
+    word, before = F.col("word"), F.col("before")
+    meet = F.when(word < 0, word).when(before < 0, before.bitwiseAND(HIGHEST)).otherwise(F.xxhash64(before, word).bitwiseAND(HIGHEST))
+    rows = docs.select("text").mapInArrow(_CountPairs(frequent), "before long, word long, n long").withColumn("meet", meet)
+    summed = rows.repartition("meet").groupBy("meet", "before", "word").agg(F.sum("n").alias("n"))
+    words = rare.select(F.col("key").bitwiseOR(LOWEST).alias("meet"), F.col("n").alias("c"))
+    return tables.stored(summed.join(words, "meet", "left").select("before", "word", "n", F.coalesce("c", F.lit(0)).alias("c")), "bigrams")
 
 
 def discounts(table: DataFrame) -> np.ndarray:
@@ -149,8 +185,14 @@ class Unigrams:
         return np.log10((c + 1) / (self.total + 1 * (self.distinct + 1)))
 
 
+def backoff(count: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of histories with these counts, shares of seen pairs and unigram shares of the words seen: scale s(h), log alpha(h)."""
+    scale = np.minimum(1.0, count / (count + 1) / np.maximum(seen, 1e-300))
+    return scale, np.log10((1 - scale * seen) / np.maximum(1 - lower, 1e-12))
+
+
 class _Seen:
-    """Bigram rows with their history, discounted share and the unigram probability of their word."""
+    """Pairs with a numbered history -> the history, their discounted share and the unigram probability of their word."""
 
     def __init__(self, model):
         self.model = model
@@ -158,16 +200,15 @@ class _Seen:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = self.model.value
         for batch in batches:
-            key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-            before, word = key // (len(m["frequent"]) + 1), key % (len(m["frequent"]) + 1)
+            before, word, n, c = (batch.column(x).to_numpy() for x in ("before", "word", "n", "c"))
+            c = np.where(word >= 0, m["counts"][np.maximum(word, 0)], c)
             p = discounted(n, m["d2"]) / m["history"][before]
-            yield pa.record_batch(
-                {"key": batch.column("key"), "n": batch.column("n"), "history": pa.array(before), "p": pa.array(p), "lower": pa.array(10 ** m["log_uni"][word])}
-            )
+            yield pa.record_batch({"history": pa.array(before), "p": pa.array(p), "lower": pa.array(10 ** m["unigrams"].log_p(c))})
 
 
 class _Gain:
-    """Bigram rows -> what a seen pair adds to the log probability of backing off."""
+    """Pairs -> key, history, counts of pair and word, and what a seen pair adds to the log probability of backing off (0 where
+    the history has no number: its part of the table finds the gain)."""
 
     def __init__(self, model):
         self.model = model
@@ -175,15 +216,18 @@ class _Gain:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = self.model.value
         for batch in batches:
-            h = batch.column("history").to_numpy()
-            gain = np.log10(m["scale"][h] * batch.column("p").to_numpy()) - m["log_alpha"][h] - np.log10(batch.column("lower").to_numpy())
-            yield pa.record_batch({"key": batch.column("key"), "n": batch.column("n"), "gain": pa.array(gain)})
+            before, word, n, c = (batch.column(x).to_numpy() for x in ("before", "word", "n", "c"))
+            c = np.where(word >= 0, m["counts"][np.maximum(word, 0)], c)
+            h = np.maximum(before, 0)
+            gain = np.log10(m["scale"][h] * discounted(n, m["d2"]) / m["history"][h]) - m["log_alpha"][h] - m["unigrams"].log_p(c)
+            key = pair_keys(before, word, len(m["frequent"]))
+            yield pa.record_batch({"key": pa.array(key), "n": pa.array(n), "gain": pa.array(np.where(before >= 0, gain, 0.0)), "history": pa.array(before), "c": pa.array(c)})
 
 
 def learn(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     """The small part of the model (arrays over at most 65,537 numbers), the unigram and the bigram table."""
     sc = docs.sparkSession.sparkContext
-    uni = counted(docs, "unigrams")
+    uni = counted(docs)
     total, distinct = uni.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     d1 = discounts(uni)
     low = {r.n: r.k for r in uni.where(F.col("n") <= TOP).groupBy("n").agg(F.count("*").alias("k")).collect()}
@@ -194,38 +238,38 @@ def learn(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     order = np.argsort(hashes)
     frequent, n = hashes[order], n[order].astype(np.int64)
     ends = int(n[frequent == END].sum()) or (uni.where(F.col("key") == int(np.array([END]).view(np.int64)[0])).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
-    bi = counted(docs, "bigrams", sc.broadcast(frequent))
+    pairs = counted_pairs(docs, sc.broadcast(frequent), uni.where(F.col("n") * FREQUENT < total))
     history = np.concatenate(([max(ends, 1)], n)).astype(float)
     log_uni = np.concatenate(([0.0], unigrams.log_p(n)))
-    model = {"frequent": frequent, "counts": np.concatenate(([0], n)), "history": history, "log_uni": log_uni, "d2": discounts(bi), "unigrams": unigrams, "total": total}
-    rows = bi.mapInArrow(_Seen(sc.broadcast(model)), "key long, n long, history long, p double, lower double")
+    model = {"frequent": frequent, "counts": np.concatenate(([0], n)), "history": history, "log_uni": log_uni, "d2": discounts(pairs), "unigrams": unigrams, "total": total}
+    rows = pairs.where("before >= 0").mapInArrow(_Seen(sc.broadcast(model)), "history long, p double, lower double")
     sums = rows.groupBy("history").agg(F.sum("p").alias("p"), F.sum("lower").alias("lower")).toArrow()  # at most 65,537 rows
     seen, lower = np.zeros(len(history)), np.zeros(len(history))
     seen[sums.column("history").to_numpy()] = sums.column("p").to_numpy()
     lower[sums.column("history").to_numpy()] = sums.column("lower").to_numpy()
-    most = history / (history + 1)
-    scale = np.minimum(1.0, most / np.maximum(seen, 1e-300))
-    model |= {"scale": scale, "log_alpha": np.log10((1 - scale * seen) / np.maximum(1 - lower, 1e-12))}
-    gains = tables.stored(rows.mapInArrow(_Gain(sc.broadcast(model)), "key long, n long, gain double"), "bigram-gains")
-    heavy = gains.where(F.col("n") * FREQUENT >= total).toArrow()  # at most 65,536 rows
+    scale, log_alpha = backoff(history, seen, lower)
+    model |= {"scale": scale, "log_alpha": log_alpha}
+    gain, columns = _Gain(sc.broadcast(model)), "key long, n long, gain double, history long, c long"
+    heavy = pairs.where(F.col("n") * FREQUENT >= total).mapInArrow(gain, columns).toArrow()  # at most 65,536 rows, of numbers
     order = np.argsort(heavy.column("key").to_numpy())
     model |= {"heavy": heavy.column("key").to_numpy()[order], "heavy_gain": heavy.column("gain").to_numpy()[order]}
     model["parts"] = max(1, -(-total // PART))
-    return model, uni, gains
+    return model, uni, pairs.mapInArrow(gain, columns)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (kernel.mix(keys.view(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
 
-def packed(parts: int, kind: int, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """One row for each part of the table that holds some of the keys."""
-    part = part_of(keys, parts)
+def packed(parts: int, kind: int, keys: np.ndarray, values: np.ndarray, by: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """One row for each part of the table that holds some of the keys, which lie in the part of `by` where it is given; a key's
+    values are in the last axis."""
+    part = part_of(keys if by is None else by, parts)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)).tolist():
         at = order[edges[p] : edges[p + 1]]
-        yield p, kind, keys[at].tobytes(), values[at].tobytes()
+        yield p, kind, keys[at].tobytes(), values[..., at].tobytes()
 
 
 _PACKED = "part long, kind int, keys binary, vals binary"
@@ -237,15 +281,40 @@ def _record(listed: list[tuple], **more: pa.Array) -> pa.RecordBatch:
 
 
 class _Table:
-    """A table's rows packed by part."""
+    """A table's rows packed by part, some hundred thousand at a time."""
 
-    def __init__(self, parts: int, kind: int, value: str):
-        self.parts, self.kind, self.value = parts, kind, value
+    def __init__(self, parts: int, rows: int = 1 << 19):
+        self.parts, self.rows = parts, rows
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
-                yield _record(list(packed(self.parts, self.kind, batch.column("key").to_numpy(), batch.column(self.value).to_numpy().astype(float))))
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= self.rows:
+                yield _record(list(self._rows(pa.Table.from_batches(held))))
+                held = []
+        if held:
+            yield _record(list(self._rows(pa.Table.from_batches(held))))
+
+    def _rows(self, rows: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
+        raise NotImplementedError
+
+
+class _UnigramTable(_Table):
+    def _rows(self, rows: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
+        key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+        yield from packed(self.parts, UNIGRAM, (key.view(np.uint64) | TOP_BIT).view(np.int64), n)
+
+
+class _BigramTable(_Table):
+    """Gains of pairs with a numbered history; history and counts of other pairs, by history."""
+
+    def _rows(self, rows: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
+        key, gain, history, n, c = (rows.column(x).to_numpy() for x in ("key", "gain", "history", "n", "c"))
+        rare = history < 0
+        yield from packed(self.parts, BIGRAM, key[~rare], gain[~rare])
+        yield from packed(self.parts, RARE, key[rare], np.stack((history[rare], n[rare], c[rare])), history[rare])
 
 
 class _Ask:
@@ -263,11 +332,11 @@ class _Ask:
             h, row, first = tokens(batch.column("text"))
             ids = numbers(h, m["frequent"])
             before = histories(ids, first)
-            rows, named = batch.num_rows, ids > 0
+            rows, named = batch.num_rows, ids > 0  # a row's score takes the alphas of other histories with their unigrams
             score = np.where(before >= 0, m["log_alpha"][np.maximum(before, 0)], 0.0)
             score[named] += m["log_uni"][ids[named]]
-            pair = np.flatnonzero(named & (before >= 0))
-            key = before[pair] * (len(m["frequent"]) + 1) + ids[pair]
+            pair = np.arange(len(ids))
+            key = pair_keys(before, ids, len(m["frequent"]))
             if len(m["heavy"]):
                 place = np.minimum(np.searchsorted(m["heavy"], key), len(m["heavy"]) - 1)
                 hit = m["heavy"][place] == key
@@ -284,8 +353,10 @@ class _Ask:
             )
             batch_id = task + at
             out = [(batch_id % parts, ROWS, sums.tobytes(), b"")]
-            out += packed(parts, UNIGRAM, h[other], row[other].astype(_small(rows)))
-            out += packed(parts, BIGRAM, key.astype(np.int64), row[pair].astype(_small(rows)))
+            out += packed(parts, UNIGRAM, ids[other], row[other].astype(_small(rows)))
+            rare = before[pair] < 0
+            out += packed(parts, BIGRAM, key[~rare], row[pair[~rare]].astype(_small(rows)))
+            out += packed(parts, RARE, key[rare], row[pair[rare]].astype(_small(rows)), before[pair[rare]])
             ids_here = [batch.column("doc_id")] + [batch.column("doc_id").slice(0, 0)] * (len(out) - 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids_here]))), pa.int32()), batch.column("doc_id"))
             yield _record(out, batch=pa.array([batch_id] * len(out), pa.int64()), rows=pa.array([rows] * len(out), pa.int32()), doc_ids=lists)
@@ -299,15 +370,33 @@ def _small(rows: int) -> type:
 _SUMS = "batch long, rows int, doc_ids array<{kind}>, whole binary, at binary, known binary, base binary, score binary"
 
 
-def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams) -> pa.Table:
-    """All questions to one part of the tables: per slice one row with the sums of the rows that asked, packed."""
+def _known(table: pa.Table, uni: Unigrams, d2: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """One part of the tables: per kind the sorted keys and their values. Beside the unigrams' counts stand log alphas."""
     known = {}
-    for k in (UNIGRAM, BIGRAM):
+    for k, kind in ((UNIGRAM, np.int64), (BIGRAM, np.float64), (RARE, np.int64)):
         mine = table.filter(pc.equal(table.column("kind"), k))
         keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in mine.column("keys").to_pylist())])
-        vals = np.concatenate([np.zeros(0), *(np.frombuffer(x) for x in mine.column("vals").to_pylist())])
+        vals = [np.frombuffer(x, kind).reshape(3 if k == RARE else 1, -1) for x in mine.column("vals").to_pylist()]
+        vals = np.concatenate([np.zeros((3 if k == RARE else 1, 0), kind), *vals], axis=1)
         order = np.argsort(keys)
-        known[k] = keys[order], vals[order]
+        known[k] = keys[order], *vals[:, order]
+    keys, history, n, c = known[RARE]
+    found, at = np.unique(history, return_inverse=True)
+    count, mass, log_p = np.bincount(at, n, len(found)), discounted(n, d2), uni.log_p(c)
+    scale, log_alpha = backoff(count, np.bincount(at, mass, len(found)) / np.maximum(count, 1), np.bincount(at, 10**log_p, len(found)))
+    known[RARE] = keys, np.log10(scale[at] * mass / count[at]) - log_alpha[at] - log_p
+    keys, n = known[UNIGRAM]
+    alphas = np.zeros(len(keys))  # 0 for what never was a history
+    if len(found) and len(keys):
+        place = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+        alphas = np.where(found[place] == keys, log_alpha[place], 0.0)
+    known[UNIGRAM] = keys, n, alphas
+    return known
+
+
+def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams, d2: np.ndarray) -> pa.Table:
+    """All questions to one part of the tables: per slice one row with the sums of the rows that asked, packed."""
+    known = _known(table, uni, d2)
     asked = asked.sort_by([("batch", "ascending"), ("kind", "ascending")])
     kinds, batches, sizes = (asked.column(x).to_pylist() for x in ("kind", "batch", "rows"))
     out: list[list] = [[] for _ in range(8)]
@@ -322,7 +411,7 @@ def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams) -> pa.Table:
                 at += 1
                 continue
             key, row = np.frombuffer(raw, np.int64), np.frombuffer(asked.column("vals")[at].as_py(), _small(rows))
-            keys, vals = known[kinds[at]]
+            keys, vals, *alphas = known[kinds[at]]
             place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
             if kinds[at] == UNIGRAM:
@@ -330,7 +419,7 @@ def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams) -> pa.Table:
                 c[hit] = vals[place[hit]]
                 sums[0] += np.bincount(row[hit], minlength=rows)
                 sums[1] += np.bincount(row, uni.log_base(c), rows)
-                sums[2] += np.bincount(row, uni.log_p(c), rows)
+                sums[2] += np.bincount(row, uni.log_p(c), rows) + np.bincount(row[hit], alphas[0][place[hit]], rows)
             else:
                 sums[2] += np.bincount(row[hit], vals[place[hit]], rows)
             at += 1
@@ -365,12 +454,12 @@ def score(docs: DataFrame, model: dict, uni: DataFrame, gains: DataFrame) -> Dat
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", "text").mapInArrow(_Ask(sc.broadcast(model)), f"{_PACKED}, batch long, rows int, doc_ids array<{kind}>")
-    unnamed = uni.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_Table(model["parts"], UNIGRAM, "n"), _PACKED)
-    light = gains.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_Table(model["parts"], BIGRAM, "gain"), _PACKED)
-    unigrams = model["unigrams"]
+    unnamed = uni.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_UnigramTable(model["parts"]), _PACKED)
+    light = gains.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_BigramTable(model["parts"]), _PACKED)
+    unigrams, d2 = model["unigrams"], model["d2"]
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _answer(left, right, unigrams)
+        return _answer(left, right, unigrams, d2)
 
     def total(parts: pa.Table) -> pa.Table:
         return _total(parts)

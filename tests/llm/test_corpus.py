@@ -148,6 +148,49 @@ def test_katz_sums_to_one(spark):
     assert math.isclose(r.score, want, rel_tol=1e-9) and r.n_known == 4
 
 
+def katz(train, texts, d1, d2):
+    """log10 probability of each text by all pairs of the training texts, whatever their counts."""
+    seqs = [["<s>", *words(t), "</s>"] for t in train]
+    c, pairs, follows = Counter(w for s in seqs for w in s[1:]), Counter(p for s in seqs for p in zip(s, s[1:])), defaultdict(set)
+    for a, b in pairs:
+        follows[a].add(b)
+    n, count = sum(c.values()), Counter(a for s in seqs for a in s[:-1])
+    disc = lambda k, d: k * (d[k] if k <= op8.TOP else 1)
+    left = 1 - sum(disc(x, d1) for x in c.values()) / n
+    p = lambda w: disc(c[w], d1) / n if w in c else left
+
+    def log_p(a, b):
+        if not follows[a]:
+            return math.log10(p(b))
+        seen = sum(disc(pairs[a, w], d2) for w in follows[a]) / count[a]
+        s = min(1, count[a] / (count[a] + 1) / seen)
+        if b in follows[a]:
+            return math.log10(s * disc(pairs[a, b], d2) / count[a])
+        return math.log10((1 - s * seen) / (1 - sum(map(p, follows[a]))) * p(b))
+
+    return [sum(log_p(a, b) for a, b in zip(["<s>", *words(t)], [*words(t), "</s>"])) for t in texts]
+
+
+@pytest.mark.parametrize("frequent", (8, 64, 1 << 16))
+@pytest.mark.parametrize("part", (200, 1 << 20))
+def test_katz_pairs_of_rare_tokens(spark, monkeypatch, frequent, part):
+    """Scores are those of a count of all pairs, however few tokens have numbers and however many parts there are."""
+    monkeypatch.setattr(op8, "FREQUENT", frequent)
+    monkeypatch.setattr(op8, "PART", part)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(k)) if x < 10**6) for k in rng.integers(0, 30, 80)]
+    more = ["w1 new w2 w700", "", "new other", "w3 w3 w3 w50"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, uni, gains = op8.learn(docs)
+    if frequent < 100:
+        assert len(model["frequent"]) < uni.count()
+    got = op8.score(spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string"), model, uni, gains).collect()
+    want = katz(texts, texts + more, model["unigrams"].d, model["d2"])
+    assert len(got) == len(want)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF10}/documents.parquet").select("doc_id", "lang")
     share = op7.query(spark, SF10).where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
