@@ -106,6 +106,26 @@ def test_syncmers():
             assert len(a) == (len(kmers) or int(bool(t)))
 
 
+def own_likeness(pairs):
+    got = op9_closed_syncmers.anchors(pa.array([t for pair in pairs for t in pair]))
+    return [op9_closed_syncmers.likeness(a, b) for a, b in zip(got[::2], got[1::2])]
+
+
+@pytest.mark.parametrize("every, least", ((10, 0.45), (20, 0.65)))
+def test_likeness_of_scattered_edits(spark, every, least):
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r.text]
+    texts = [w for w in texts if 30 <= len(w) <= 600][:60]
+    got = own_likeness([(" ".join(w), " ".join("changed" if i % every == every - 1 else x for i, x in enumerate(w))) for w in texts])
+    assert len(got) == 60 and min(got) > 0 and sum(got) / 60 >= least
+
+
+def test_likeness_of_short_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r.text]
+    texts = [t[:120] for t in texts if len(t) >= 120 and len(t[:120].encode()) < 200]
+    got = own_likeness([(t, op9_closed_syncmers.edited(t, "Replaced by other words of the next text, whatever they are.")) for t in texts])
+    assert min(got) > 0 and sum(got) / len(got) >= 0.5
+
+
 def test_fingerprints(spark, odd):
     got = op9_closed_syncmers.fingerprints(odd).collect()
     import xxhash  # noqa: F401  the order of equal ids is by Spark's own hash, so only distinct ids are compared
