@@ -18,6 +18,8 @@ NAMES = (
     "op8_katz_backoff",
     "op9_closed_syncmers",
     "op10_token_groups",
+    "op11_recursive_splitting",
+    "op12_multi_index",
 )
 
 

@@ -11,7 +11,7 @@ QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 LABELS = [(1, 1, 0), (7, 1, 1), (None, 1, 1), (8, 0, 0), (5, None, None), (99, 1, 1)]
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (None, "nothing at all"), (4, "...")]
 
-ONE_ROW_EACH = ("op1_tree_bpe", "op2_importance_resampling", "op5_toxic_spans", "op6_licence_automaton", "op7_language_filters", "op8_katz_backoff", "op9_closed_syncmers", "op10_token_groups")
+ONE_ROW_EACH = ("op1_tree_bpe", "op2_importance_resampling", "op5_toxic_spans", "op6_licence_automaton", "op7_language_filters", "op8_katz_backoff", "op9_closed_syncmers", "op10_token_groups", "op11_recursive_splitting", "op12_multi_index")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
