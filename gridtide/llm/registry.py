@@ -20,6 +20,7 @@ NAMES = (
     "op10_token_groups",
     "op11_recursive_splitting",
     "op12_multi_index",
+    "op13_nra_search",
 )
 
 
