@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtide.functions import timecols as tc
+from gridtide.functions.exact import exact_sum
 from gridtide.operators.joins import null_safe
 
 PER_OCTAVE = 16
@@ -181,10 +182,10 @@ def trimmed_sums(df: DataFrame, keys: Sequence[str], value: str, ks: Sequence[in
     Only the k largest rows per task survive to the shuffle (WindowGroupLimit); the total is a plain
     aggregate.
     """
-    total = df.groupBy(*keys).agg(F.sum(value).alias("total"))
+    total = df.groupBy(*keys).agg(exact_sum(value).alias("total"))
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last())
     top = df.select(*keys, value).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(ks))
-    best = top.groupBy(*keys).agg(*[F.sum(F.when(F.col("_r") <= k, F.col(value))).alias(f"_b{k}") for k in ks])
+    best = top.groupBy(*keys).agg(*[exact_sum(F.when(F.col("_r") <= k, F.col(value))).alias(f"_b{k}") for k in ks])
     j = total.join(best, list(keys), "left")
     return j.select(*keys, "total", *[(F.col("total") - F.coalesce(f"_b{k}", F.lit(0.0))).alias(f"{out}{k}") for k in ks])
 

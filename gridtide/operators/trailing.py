@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridtide.functions.exact import (
     exact_sum_over, fixed, mean_of, sliding_avg, sliding_count, sliding_share,
 )
+from gridtide.operators import pools
 
 
 def day_index(day: Column | str) -> Column:
@@ -58,11 +59,6 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], day: str, value: str, days
     return df.withColumn(out, sliding_avg(value, by_day(keys, day), -days, -1))
 
 
-def trailing_quantile(df: DataFrame, keys: Sequence[str], day: str, value: str, days: int, q: float, out: str) -> DataFrame:
-    w = days_window(keys, day, -days, -1)
-    return df.withColumn(out, F.call_function("percentile", F.col(value), F.lit(q)).over(w))
-
-
 def trailing_rank(
     df: DataFrame, keys: Sequence[str], day: str, value: str, out: str, days: int = 365, min_obs: int = 60
 ) -> DataFrame:
@@ -88,19 +84,8 @@ def trailing_rank(
 
 
 def pooled_rolling_cut(scores: DataFrame, day: str, score: str, days: int, k: float, out: str) -> DataFrame:
-    """Per day, the (1-k) quantile of every entity's score on the previous ``days`` days.
-
-    Returns one row per day.  Each day's scores are first packed as value counts, so the window over
-    the calendar carries at most the distinct scores of ``days`` days.
-    """
-    per_value = scores.where(F.col(score).isNotNull()).groupBy(day, score).agg(F.count(F.lit(1)).alias("_c"))
-    shifted = per_value.select(
-        F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days), F.expr("interval 1 day"))).alias(day),
-        F.col(score),
-        F.col("_c"),
-    )
-    cut = shifted.groupBy(day).agg(F.call_function("percentile", F.col(score), F.lit(1 - k), F.col("_c")).alias(out))
-    return scores.select(day).distinct().join(cut, day, "left")
+    """Per day, the (1-k) quantile of every entity's score on the previous ``days`` days: one row per day."""
+    return pools.rolling_quantile(pools.Pool(scores, day, score, days), scores, day, 1 - k, out).drop("n")
 
 
 def masked_trailing(

@@ -21,12 +21,11 @@ METRICS = {
         " hour_utc, area, price_eur from {hourly}) where {where}"
     ),
 }
-# A sum in units of 10^-10 and a mean, as in gridtide.functions.exact.
-EXACT_SUM = (
-    "cast(cast(sum(cast(floor({c}) as decimal(20,0))*cast(10000000000 as decimal(11,0))"
-    "+cast(floor(({c}-floor({c}))*1e10D+0.5D) as decimal(11,0))) as string) as double)"
-)
-EXACT_AVG = EXACT_SUM + "/(cast(count({c}) as double)*1e10D)"
+# A sum and a mean of doubles in units of 2^-60, as in gridtide.functions.exact.
+_UNITS = "(cast(cast({c} as bigint) as decimal(20,0))*cast(1152921504606846976 as decimal(19,0)) + cast(cast(({c}-cast({c} as bigint))*1152921504606846976D as bigint) as decimal(19,0)))"
+_SUM = f"cast(cast(sum({_UNITS}) as string) as double)"
+EXACT_SUM = _SUM + "/1152921504606846976D"
+EXACT_AVG = _SUM + "/(cast(count({c}) as double)*1152921504606846976D)"
 
 
 def answer(spark: SparkSession, metric: str, area: str, lo: str, hi: str, view: str) -> DataFrame:

@@ -169,12 +169,11 @@ def day_net(spark, sf):
 
 @query(
     "net_without_best_days",
-    oracle=with_(_DAY_NET) + """, r as (select *, row_number() over (partition by zone, year order by net desc) as rn from day_net)
-      select zone, year, round(sum(net), 6) as total, round(sum(net) - sum(net) filter (where rn <= 3), 6) as without_best_3, round(sum(net) - sum(net) filter (where rn <= 5), 6) as without_best_5 from r group by 1, 2""",
+    oracle=with_(_DAY_NET) + f""", r as (select *, row_number() over (partition by zone, year order by net desc) as rn from day_net)
+      select zone, year, {xsum('net')} as total, {xsum('net')} - {xsum('case when rn <= 3 then net end')} as without_best_3, {xsum('net')} - {xsum('case when rn <= 5 then net end')} as without_best_5 from r group by 1, 2""",
 )
 def without_best(spark, sf):
-    t = ranking.trimmed_sums(day_net(spark, sf), ["zone", "year"], "net", [3, 5])
-    return t.select("zone", "year", *[F.round(c, 6).alias(c) for c in ("total", "without_best_3", "without_best_5")])
+    return ranking.trimmed_sums(day_net(spark, sf), ["zone", "year"], "net", [3, 5])
 
 
 @query(

@@ -258,14 +258,12 @@ def perf_sql(group: str, src: str = "daily") -> str:
       select {group}, {xsum('pnl')} as net, count(*) as days, 100.0e0 * {xsum('pnl')} / 500000.0e0 * 365.0e0 / count(*) as return_pct,
         round(case when stddev_samp(pnl) > 0 then avg(pnl) / stddev_samp(pnl) * sqrt(365.0e0) end, 7) as sharpe, min(drawdown) as max_drawdown, min(pnl) as worst_day_pnl,
         arg_min(delivery_date, (pnl, delivery_date)) as worst_day, max(pnl) as best_day_pnl, arg_max(delivery_date, (pnl, -(delivery_date - date '1970-01-01'))) as best_day,
-        round(sum(pnl) - sum(pnl) filter (where rk <= 3), 6) as net_without_best_3, round(sum(pnl) - sum(pnl) filter (where rk <= 5), 6) as net_without_best_5,
+        {xsum('pnl')} - {xsum('case when rk <= 3 then pnl end')} as net_without_best_3, {xsum('pnl')} - {xsum('case when rk <= 5 then pnl end')} as net_without_best_5,
         {xsum('mwh')} / count(*) as mwh_per_day, {xsum('pnl')} / nullif({xsum('mwh')}, 0) as usd_per_mwh from dd group by {group})"""
 
 
 def _rounded(df):
-    return df.withColumn("sharpe", F.round("sharpe", 7)).withColumn("net_without_best_3", F.round("net_without_best_3", 6)).withColumn(
-        "net_without_best_5", F.round("net_without_best_5", 6)
-    )
+    return df.withColumn("sharpe", F.round("sharpe", 7))
 
 
 @query("performance", oracle=with_(*RULES, DAILY) + " select * from " + perf_sql("strategy"))

@@ -145,7 +145,7 @@ QUESTIONS: dict[str, tuple[str, str]] = {
         "select area, count(*) as n, max(solar_mwh) as high from power_context where solar_mwh > 0 group by area",
     ),
     "consumption_total": (
-        f"select area, {_SUM.format(c='consumption_mwh')}/1e10D as total from power_context group by area",
+        f"select area, {_SUM.format(c='consumption_mwh')} as total from power_context group by area",
         f"select area, {xsum('consumption_mwh')} as total from power_context group by area",
     ),
     "first_and_last_hour": (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_avg_over, exact_sum
-from gridtide.operators import grid, ranking, trailing
+from gridtide.operators import grid, pools, ranking, trailing
 from gridtide.workload.bindings import FEED, PANEL, feed, load, panel, with_, xavg, xavg_over, xmean, xsum, xsum_over, xunits
 from gridtide.workload.registry import query
 
@@ -114,13 +114,8 @@ def pooled_cut(spark, sf):
 )
 def pool_rank_size(spark, sf):
     d = days_(spark, sf)
-    # at most one value per series and day: a day's pool is bounded by the series list
-    pool = d.groupBy("day").agg(F.collect_list("v").alias("_p"))
-    w = trailing.days_window([F.lit(0)], "day", -30, -1)
-    hist = pool.withColumn("_hist", F.flatten(F.collect_list("_p").over(w))).select("day", "_hist")
-    j = d.join(hist, "day")
-    less = F.size(F.filter("_hist", lambda x: x < F.col("v"))).cast("double")
-    return j.select("series", "day", F.when(F.size("_hist") > 0, 1.0 - less / F.size("_hist").cast("double")).alias("size"))
+    ranked = pools.rolling_rank(pools.Pool(d, "day", "v", 30), d.drop("n"), "day", "v")
+    return ranked.select("series", "day", F.when(F.col("n") > 0, 1.0 - F.col("less").cast("double") / F.col("n").cast("double")).alias("size"))
 
 
 _W28 = "partition by zone, slot order by delivery_date range between interval 28 day preceding and interval 1 day preceding"
@@ -142,6 +137,14 @@ def trailing_stats(spark, sf):
 _V = f"""v as (select l_linestatus as series, l_shipdate::date as day, l_shipdate::date + 1 + (l_suppkey % 5)::int as usable, l_extendedprice*(l_tax-l_discount)/1000.0e0 as x from lineitem)"""
 
 
+def public_values(spark, sf):
+    day = F.col("l_shipdate").cast("date")
+    return load(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("series"), day.alias("day"), F.date_add(day, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("usable"),
+        (F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount")) / 1000.0).alias("x"),
+    )
+
+
 @query(
     "trailing_mean_of_public_rows",
     oracle=with_(_V) + f""", d as (select distinct day as d from v), s as (select distinct series from v)
@@ -149,16 +152,24 @@ _V = f"""v as (select l_linestatus as series, l_shipdate::date as day, l_shipdat
       select series, d as decision_day, case when n > 0 then {xmean('sx', 'n')} end as x_60d, n as n_usable from j""",
 )
 def public_rows(spark, sf):
-    li = load(spark, sf, "lineitem")
-    day = F.col("l_shipdate").cast("date")
-    v = li.select(
-        F.col("l_linestatus").alias("series"), day.alias("day"), F.date_add(day, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("usable"),
-        (F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount")) / 1000.0).alias("x"),
-    )
+    v = public_values(spark, sf)
     decisions = v.select(F.col("day").alias("decision_day")).distinct()
     return trailing.masked_trailing(v, ["series"], "day", "usable", "x", decisions, "decision_day", 60)
 
 
+@query(
+    "quantiles_of_public_rows",
+    oracle=with_(_V) + """, d as (select distinct series, day as d from v)
+      , j as (select d.series, d.d, round(quantile_cont(v.x, 0.9), 9) as q90_60d, count(v.x) as n from d left join v on v.series = d.series and v.day >= d.d - 60 and v.day <= d.d - 1 and v.usable <= d.d group by 1, 2)
+      select series, d as decision_day, q90_60d, n as n_usable from j""",
+)
+def public_quantiles(spark, sf):
+    v = public_values(spark, sf)
+    pool = pools.Pool(v, "day", "x", 60, ["series"], "usable")
+    q = pools.rolling_quantile(pool, v.select("series", F.col("day").alias("decision_day")), "decision_day", 0.9, "q90_60d")
+    return q.select("series", "decision_day", F.round("q90_60d", 9).alias("q90_60d"), F.col("n").alias("n_usable"))
+
+
 @query(
     "shift_by_true_hours",
     oracle=with_(_HOURS) + " select a.area, a.hour_utc, a.v, b.v as v_2h_ago from h a left join h b on a.area = b.area and b.hour_utc = a.hour_utc - interval 2 hour",

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import exact, names, numbers
@@ -119,6 +120,37 @@ def test_large_sums_do_not_overflow(spark):
     assert one(wide, exact.exact_avg("x")) == 9e15
 
 
+def test_sums_of_values_without_units(spark):
+    nan, inf = float("nan"), float("inf")
+
+    def both(*values):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        return str(one(df, exact.exact_sum("x"))), str(one(df, exact.exact_avg("x")))
+
+    assert both(nan, 1.0) == ("nan", "nan") and both(inf, 1.0, None) == ("inf", "inf")
+    assert both(inf, -inf) == ("nan", "nan") and both(-inf, 2.0) == ("-inf", "-inf")
+    assert both(1e19, 1.0) == ("1e+19", "5e+18") and both(1e300, 1e300) == ("2e+300", "1e+300")
+    assert both(None, None) == ("None", "None") and both() == ("None", "None")
+
+
+def test_sums_are_rounded_once(spark):
+    import math
+    from fractions import Fraction
+
+    values = [0.1] * 10 + [1 / 3, -2e9 / 7, 123456.789, -0.25, 5e-2]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert one(df, exact.exact_sum("x")) == float(sum(map(Fraction, values))) == math.fsum(values)
+    tiny = spark.createDataFrame([(3e-11,), (3e-11,)], "x double")
+    assert one(tiny, exact.exact_avg("x")) == pytest.approx(3e-11, abs=2**-60)
+    window = Window.partitionBy(F.lit(1))
+    assert df.select(exact.exact_sum_over("x", window)).first()[0] == math.fsum(values)
+
+
+def test_units_of_a_value_without_units_are_an_error(spark):
+    with pytest.raises(Exception, match="no exact units"):
+        spark.createDataFrame([(float("nan"),)], "x double").select(exact.fixed("x")).collect()
+
+
 def test_sums_do_not_depend_on_partitioning(spark):
     df = spark.range(1000).select((F.rand(3) * 1000 - 500).alias("x"))
     whole = df.collect()
