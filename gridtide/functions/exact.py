@@ -1,14 +1,12 @@
 """Order-independent sums and means.
 
 Adding doubles gives a result that depends on the order in which partitions are merged, so the same query can differ in
-its last bits between two runs.  Here a value is a whole number of units of 2^-60: exact for every double between 2^-8 and
-2^53, and within 2^-60 below.  Units are added as whole numbers, so the result does not depend on partitioning or retries, and
+its last bits between two runs.  Here a value is a whole number of units of 2^-50: exact for every double from 8 to
+10^18, and within 2^-50 below.  Units are added as whole numbers, so the result does not depend on partitioning or retries, and
 it is rounded to a double once (a mean twice: when its sum becomes a double, and when that is divided).  Sums of units have room
-for 8 * 10^19.
+for 8 * 10^22.
 
-Aggregates add four bigints (the whole part, and the rest in pieces of 20 bits, which leaves room for 8 * 10^12 rows of a
-group) and make one decimal of them per group.  NaN, infinities and values of 2^53 and more have no units; aggregates add them
-as doubles beside the others, so NaN stays NaN and infinities stay infinite.
+NaN, infinities and values of 10^18 and more have no units; an aggregate that meets one is the plain sum or mean of doubles.
 """
 
 from __future__ import annotations
@@ -18,39 +16,24 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNITS = 2**60
-PIECE = 20
+UNITS = 2**50
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _split(x: Column) -> tuple[Column, Column, Column]:
-    """Whole part and rest in units (bigints, null where the value has no units), and the value where it has none."""
-    plain = F.abs(x) < F.lit(float(2**53))
-    whole = F.when(plain, x.try_cast("bigint"))
-    rest = ((x - whole.cast("double")) * F.lit(float(UNITS))).try_cast("bigint")
-    return whole, rest, F.when(~plain, x)
-
-
-def _decimal(whole: Column, rest: Column) -> Column:
-    return whole.cast("decimal(20,0)") * F.lit(UNITS).cast("decimal(19,0)") + rest
+def _units(x: Column) -> Column:
+    """The value in units (decimal), null where it has none."""
+    whole = x.try_cast("bigint")
+    rest = ((x - whole) * F.lit(float(UNITS))).try_cast("bigint")
+    return whole.try_cast("decimal(18,0)") * F.lit(UNITS).cast("decimal(16,0)") + rest.cast("decimal(16,0)")
 
 
 def fixed(c: Column | str) -> Column:
-    """The value as a whole number of units (decimal); an error for NaN, infinities and values of 2^53 and more."""
-    whole, rest, other = _split(_col(c).cast("double"))
-    return F.when(other.isNull(), _decimal(whole, rest.cast("decimal(19,0)"))).otherwise(F.raise_error(F.concat(F.lit("no exact units: "), other.cast("string"))))
-
-
-def _sums(c: Column | str, over: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """Sum of units, and the plain sum of the values that have none."""
-    whole, rest, other = _split(_col(c).cast("double"))
-    low = F.lit(2**PIECE - 1)
-    pieces = [F.shiftright(rest, 2 * PIECE), F.shiftright(rest, PIECE).bitwiseAND(low), rest.bitwiseAND(low)]
-    parts = [over(F.sum(p)).cast("decimal(20,0)") * F.lit(2 ** (PIECE * k)).cast("decimal(17,0)") for k, p in zip((2, 1, 0), pieces, strict=True)]
-    return _decimal(over(F.sum(whole)), parts[0] + parts[1] + parts[2]), over(F.sum(other))
+    """The value as a whole number of units (decimal); an error for NaN, infinities and values of 10^18 and more."""
+    x = _col(c).cast("double")
+    return F.when(x.isNotNull(), F.coalesce(_units(x), F.raise_error(F.lit("no exact units for this value")).cast("decimal(38,0)")))
 
 
 def as_double(units: Column) -> Column:
@@ -73,31 +56,33 @@ def mean_of(units: Column, n: Column) -> Column:
     return as_double(units) / (n.cast("double") * F.lit(float(UNITS)))
 
 
-def _total(sums: tuple[Column, Column]) -> Column:
-    units, other = sums
-    return F.when(other.isNull(), value_of(units)).otherwise(other + F.coalesce(value_of(units), F.lit(0.0)))
+def _sum(c: Column | str, over: Callable[[Column], Column]) -> Column:
+    x = _col(c).cast("double")
+    has_units = over(F.max(F.abs(x))) < F.lit(float(10**18))  # NaN is above all
+    return F.when(has_units, value_of(over(F.sum(_units(x))))).otherwise(over(F.sum(x)))
 
 
-def _mean(sums: tuple[Column, Column], n: Column) -> Column:
-    units, other = sums
-    return F.when(other.isNull(), mean_of(units, n)).otherwise(_total(sums) / n.cast("double"))
+def _mean(c: Column | str, over: Callable[[Column], Column]) -> Column:
+    x = _col(c).cast("double")
+    has_units = over(F.max(F.abs(x))) < F.lit(float(10**18))
+    return F.when(has_units, mean_of(over(F.sum(_units(x))), over(F.count(x)))).otherwise(over(F.avg(x)))
 
 
 def exact_sum(c: Column | str) -> Column:
-    return _total(_sums(c, lambda a: a))
+    return _sum(c, lambda a: a)
 
 
 def exact_avg(c: Column | str) -> Column:
     """Mean of the non-null values; null for an empty set."""
-    return _mean(_sums(c, lambda a: a), F.nullif(F.count(_col(c)), F.lit(0)))
+    return _mean(c, lambda a: a)
 
 
 def exact_sum_over(c: Column | str, window) -> Column:
-    return _total(_sums(c, lambda a: a.over(window)))
+    return _sum(c, lambda a: a.over(window))
 
 
 def exact_avg_over(c: Column | str, window) -> Column:
-    return _mean(_sums(c, lambda a: a.over(window)), F.nullif(F.count(_col(c)).over(window), F.lit(0)))
+    return _mean(c, lambda a: a.over(window))
 
 
 def _prefix_difference(agg: Column, ordered, first: int, last: int) -> Column:

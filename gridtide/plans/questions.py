@@ -21,11 +21,11 @@ METRICS = {
         " hour_utc, area, price_eur from {hourly}) where {where}"
     ),
 }
-# A sum and a mean of doubles in units of 2^-60, as in gridtide.functions.exact.
-_UNITS = "(cast(cast({c} as bigint) as decimal(20,0))*cast(1152921504606846976 as decimal(19,0)) + cast(cast(({c}-cast({c} as bigint))*1152921504606846976D as bigint) as decimal(19,0)))"
+# A sum and a mean of doubles in units of 2^-50, as in gridtide.functions.exact.
+_UNITS = "(cast(cast({c} as bigint) as decimal(18,0))*cast(1125899906842624 as decimal(16,0)) + cast(cast(({c}-cast({c} as bigint))*1125899906842624D as bigint) as decimal(16,0)))"
 _SUM = f"cast(cast(sum({_UNITS}) as string) as double)"
-EXACT_SUM = _SUM + "/1152921504606846976D"
-EXACT_AVG = _SUM + "/(cast(count({c}) as double)*1152921504606846976D)"
+EXACT_SUM = _SUM + "/1125899906842624D"
+EXACT_AVG = _SUM + "/(cast(count({c}) as double)*1125899906842624D)"
 
 
 def answer(spark: SparkSession, metric: str, area: str, lo: str, hi: str, view: str) -> DataFrame:

@@ -14,9 +14,9 @@ from gridtide.plans.studies import _uniform
 
 # ---------------------------------------------------------------- calendars and masks
 
-def month_calendar(bounds: DataFrame) -> DataFrame:
+def month_calendar(bounds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """First days of every month touched by [lo, hi]."""
-    return bounds.select(F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("interval 1 month"))).alias("period"))
+    return bounds.select(*keys, F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("interval 1 month"))).alias("period"))
 
 
 def quarter_calendar(bounds: DataFrame) -> DataFrame:

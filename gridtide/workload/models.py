@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.functions.exact import exact_sum
-from gridtide.plans import models
-from gridtide.workload.bindings import with_, xsum
+from gridtide.plans import models, walks
+from gridtide.workload.bindings import ZONE, with_, xsum
 from gridtide.workload.positions import RULES, rule_panel
 from gridtide.workload.registry import query
 
@@ -22,21 +22,64 @@ def rows(spark, sf, features=FEATURES, label=None):
     return models.prepared(p, features, label if label is not None else models.clipped_target("gap"))
 
 
-# one feature and ordinary least squares: the walk can be checked with the SQL regression functions
-_PER = "per as (select * from (values (date '1999-01-01', date '2000-01-01'), (date '2000-01-01', date '2001-01-01'), (date '2001-01-01', date '2002-01-01')) t(s, e))"
+# One feature, its missing indicator and ordinary least squares: the SQL regression functions can follow every refit.
+def _per(months: int) -> str:
+    unit = {1: "month", 3: "quarter"}[months]
+    return (
+        f"per as (select p::date as s, (p + interval {months} month)::date as e from (select unnest(generate_series(date_trunc('{unit}', min(delivery_date)),"
+        f" date_trunc('{unit}', max(delivery_date)), interval {months} month)) as p from rp))"
+    )
+
+
+_TAUGHT = f"taught as (select *, (label_published_at at time zone 'UTC') at time zone '{ZONE}' as lp from rp)"
+_MAY = "delivery_date <= s - 2 and lp <= (s - 1) + interval 5 hour"
+
+
+def _fit(y: str = "gap", x: str = "s28", window: int | None = None, name: str = "fit", group: str = "") -> str:
+    back = f" and delivery_date >= s - interval {window} month" if window else ""
+    by = f"{group}, " if group else ""
+    return (
+        f"{name} as (select s, e, {by}count(*) as n, regr_slope({y}, {x}) as b, regr_intercept({y}, {x}) as a, avg({y}) filter (where {x} is null) as m"
+        f" from per join taught on {_MAY}{back} group by all having count(*) >= 30)"
+    )
+
+
+def _says(f: str = "", x: str = "s28") -> str:
+    """What a fit predicts: rows without the feature get the mean of such rows, or the intercept where there were none."""
+    return f"case when {x} is not null then {f}a + {f}b * {x} else coalesce({f}m, {f}a) end"
 
 
-def _fit(extra: str = "true", y: str = "gap", lo: str = "", name: str = "fit") -> str:
-    return f"{name} as (select s, e, regr_slope({y}, s28) as b, regr_intercept({y}, s28) as a, count(*) as n from per join rp on s28 is not null and delivery_date <= s - 2 {lo} and {extra} group by 1, 2)"
+_IN = "delivery_date >= s and delivery_date < e"
+
+
+def learned(spark, sf, label=None, features=(ONE,), panel_=None, **options):
+    """The panel and its walk-forward models."""
+    p = rule_panel(spark, sf)
+    p = panel_(p) if panel_ else p
+    return p, walks.fits(p, DAY, "label_published_at", ZONE, list(features), F.col("gap") if label is None else label, **options)
 
 
 @query(
     "walk_forward_linear",
-    oracle=with_(*RULES, _PER, _fit()) + " select delivery_date, zone, slot, s as period, round(a + b * s28, 6) as pred from rp join fit on delivery_date >= s and delivery_date < e where s28 is not null",
+    oracle=with_(*RULES, _per(1), _TAUGHT, _fit()) + f" select delivery_date, zone, slot, s as period, round({_says()}, 6) as pred from rp join fit on {_IN}",
 )
 def walk_linear(spark, sf):
-    w = models.walk_forward(rows(spark, sf, [ONE]), DAY, PERIODS, models.linear, "pred")
-    return w.select(*KEYS, "period", F.round("pred", 6).alias("pred"))
+    p, models_ = learned(spark, sf)
+    return walks.predicted(p, models_, DAY, [ONE], "pred").select(*KEYS, "period", F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "recency_weighted_fit",
+    oracle=with_(*RULES, _per(3), _TAUGHT)
+    + f""", w as (select s, e, power(2.0e0, datediff('month', date '1970-01-01', delivery_date) / 12.0e0) as w, s28 as x, gap as y from per join taught on {_MAY} and delivery_date >= s - interval 60 month),
+      t as (select s, e, count(*) as n, sum(w * y) filter (where x is null) / sum(w) filter (where x is null) as m,
+        sum(w) filter (where x is not null) as w0, sum(w * x) as wx, sum(w * x * x) as wxx, sum(w * y) filter (where x is not null) as wy, sum(w * x * y) as wxy from w group by 1, 2 having count(*) >= 30),
+      c as (select *, (w0 * wxy - wx * wy) / (w0 * wxx - wx * wx) as b from t), fit as (select *, (wy - b * wx) / w0 as a from c)
+      select delivery_date, zone, slot, s as period, round({_says()}, 6) as pred from rp join fit on {_IN}""",
+)
+def recency(spark, sf):
+    p, models_ = learned(spark, sf, months=3, windows=(60,), half_life=12)
+    return walks.predicted(p, models_, DAY, [ONE], "pred", 3).select(*KEYS, "period", F.round("pred", 6).alias("pred"))
 
 
 @query("walk_forward_trees")
@@ -63,43 +106,47 @@ def quantile_cells(spark, sf):
 
 @query(
     "conditional_grid_scores",
-    oracle=with_(*RULES) + """, f as (select regr_slope(gap, y_da) as b, regr_intercept(gap, y_da) as a from rp where delivery_date <= date '2000-12-30')
-      select delivery_date, zone, slot, m as multiple, y_da * m as level, round(a + b * (y_da * m), 6) as cond from rp cross join f cross join (select unnest([0.5e0, 1.0e0, 2.0e0]) as m) where delivery_date >= date '2001-01-01' and delivery_date < date '2002-01-01'""",
+    oracle=with_(*RULES, _per(3), _TAUGHT, _fit(x="y_da")) + f""", k as (select unnest([0.25e0, 0.5e0, 0.75e0, 0.9e0, 1.0e0, 1.1e0, 1.25e0, 1.5e0, 2.0e0]) as multiple)
+      select delivery_date, zone, slot, multiple, y_da * multiple as level, round(a + b * (y_da * multiple), 6) as cond from rp join fit on {_IN} cross join k""",
 )
 def conditional_grid(spark, sf):
-    p = rule_panel(spark, sf).select(*KEYS, F.col("y_da").alias("da_level"), "gap")
-    g = models.conditional_grid(p, DAY, KEYS, "da_level", ["da_level"], models.clipped_target("gap"), PERIODS[2], models.linear, [0.5, 1.0, 2.0])
-    return g.withColumn("cond", F.round("cond", 6))
+    p, models_ = learned(spark, sf, features=["da_level"], panel_=lambda q: q.withColumn("da_level", F.col("y_da")), months=3)
+    multiples = F.array(*[F.lit(m) for m in (0.25, 0.5, 0.75, 0.9, 1.0, 1.1, 1.25, 1.5, 2.0)])
+    grid = p.withColumn("multiple", F.explode(multiples)).withColumn("da_level", F.col("da_level") * F.col("multiple"))
+    scored = walks.predicted(grid, models_, DAY, ["da_level"], "cond", 3)
+    return scored.select(*KEYS, "multiple", F.col("da_level").alias("level"), F.round("cond", 6).alias("cond"))
 
 
 @query(
     "last_models_ensemble",
-    oracle=with_(*RULES, _PER, _fit()) + """, u as (select r.delivery_date, r.zone, r.slot, f.a + f.b * r.s28 as pred from rp r join per p on r.delivery_date >= p.s and r.delivery_date < p.e join fit f on f.s <= p.s and f.s >= p.s - interval 1 year where r.s28 is not null)
+    oracle=with_(*RULES, _per(3), _TAUGHT, _fit()) + f""", u as (select delivery_date, zone, slot, {_says("f.")} as pred from rp join per p on {_IN.replace("s and", "p.s and").replace("< e", "< p.e")} join fit f on f.s <= p.s and f.s >= p.s - interval 9 month)
       select delivery_date, zone, slot, round(avg(pred), 6) as pred, count(*) as models from u group by 1, 2, 3""",
 )
 def ensemble(spark, sf):
-    x = models.last_models_ensemble(rows(spark, sf, [ONE]), DAY, KEYS, PERIODS, models.linear, "pred", 2)
-    return x.withColumn("pred", F.round("pred", 6))
+    p, models_ = learned(spark, sf, months=3)
+    mean = walks.last_models(models_, [], 4)
+    return walks.predicted(p, mean, DAY, [ONE], "pred", 3).select(*KEYS, F.round("pred", 6).alias("pred"), "models")
 
 
 @query(
     "multi_length_windows",
-    oracle=with_(*RULES, _PER, _fit(name="f0"), _fit(lo="and delivery_date >= s - 365", name="f1"), _fit(lo="and delivery_date >= s - 1095", name="f3")) + """,
-      f as (select * from f0 union all select * from f1 union all select * from f3)
-      select delivery_date, zone, slot, round(avg(a + b * s28), 6) as pred, count(*) as models from rp join f on delivery_date >= s and delivery_date < e where s28 is not null group by 1, 2, 3""",
+    oracle=with_(*RULES, _per(1), _TAUGHT, *[_fit(window=n, name=f"f{n}") for n in (12, 24, 36, 60)]) + f""", fit as (select * from f12 union all select * from f24 union all select * from f36 union all select * from f60)
+      select delivery_date, zone, slot, round(avg({_says()}), 6) as pred, count(*) as models from rp join fit on {_IN} group by 1, 2, 3""",
 )
 def multi_length(spark, sf):
-    x = models.multi_length(rows(spark, sf, [ONE]), DAY, KEYS, PERIODS, models.linear, "pred", [None, 365, 1095])
-    return x.withColumn("pred", F.round("pred", 6))
+    p, models_ = learned(spark, sf, windows=(12, 24, 36, 60))
+    x = walks.predicted(p, walks.mean_of_windows(models_, []), DAY, [ONE], "pred")
+    return x.select(*KEYS, F.round("pred", 6).alias("pred"), "models")
 
 
 @query(
     "zone_specialist_fit",
-    oracle=with_(*RULES, _PER, _fit("zone = 'ASIA'")) + " select delivery_date, zone, slot, s as period, round(a + b * s28, 6) as pred from rp join fit on delivery_date >= s and delivery_date < e where s28 is not null and zone = 'ASIA'",
+    oracle=with_(*RULES, _per(3), _TAUGHT, _fit(group="zone")) + f" select delivery_date, zone, slot, s as period, round({_says()}, 6) as pred from rp join fit using (zone) where {_IN}",
 )
 def specialist(spark, sf):
-    w = models.walk_forward(rows(spark, sf, [ONE]), DAY, PERIODS, models.linear, "pred", only=F.col("zone") == "ASIA")
-    return w.select(*KEYS, "period", F.round("pred", 6).alias("pred"))
+    p, models_ = learned(spark, sf, months=3, keys=["zone"])
+    x = walks.predicted(p, models_, DAY, [ONE], "pred", 3, ["zone"])
+    return x.select(*KEYS, "period", F.round("pred", 6).alias("pred"))
 
 
 @query(
@@ -114,13 +161,14 @@ def residuals(spark, sf):
 
 @query(
     "decomposed_target",
-    oracle=with_(*RULES, _PER, _fit(y="gap - 0.1e0 * y_da", name="f1"), _fit(y="0.1e0 * y_da", name="f2")) + """
-      select delivery_date, zone, slot, round(f1.a + f1.b * s28 + f2.a + f2.b * s28, 6) as pred from rp join f1 on delivery_date >= f1.s and delivery_date < f1.e join f2 on f2.s = f1.s where s28 is not null""",
+    oracle=with_(*RULES, _per(3), _TAUGHT, _fit(y="gap - 0.1e0 * y_da", name="f1"), _fit(y="0.1e0 * y_da", name="f2")) + f"""
+      select delivery_date, zone, slot, round({_says("f1.")} + {_says("f2.")}, 6) as pred from rp join f1 on {_IN} join f2 using (s)""".replace("f1 on delivery_date >= s and delivery_date < e", "f1 on delivery_date >= f1.s and delivery_date < f1.e"),
 )
 def decomposed(spark, sf):
-    p = rule_panel(spark, sf).drop("n_trades", "load_cost", "supply_cost")
-    parts = {"rest": F.col("gap") - 0.1 * F.col("y_da"), "level": 0.1 * F.col("y_da")}
-    return models.decomposed(p, DAY, KEYS, PERIODS, [ONE], parts, models.linear, "pred").withColumn("pred", F.round("pred", 6))
+    p, rest = learned(spark, sf, F.col("gap") - 0.1 * F.col("y_da"), months=3)
+    _, level = learned(spark, sf, 0.1 * F.col("y_da"), months=3)
+    whole = walks.sum_of_parts([rest, level], [])
+    return walks.predicted(p, whole, DAY, [ONE], "pred", 3).select(*KEYS, F.round("pred", 6).alias("pred"))
 
 
 @query(
