@@ -1,8 +1,8 @@
-"""Model jobs on Spark MLlib: walk-forward fits, windows, ensembles, residual and part models.
+"""Model jobs on Spark MLlib: walk-forward tree fits, residuals, conditional quantiles and day classifiers.
 
-A refit is a distributed MLlib fit on the rows a period may learn from; the driver only loops over
-the few periods.  The panel is cut from its lineage once (reliable checkpoint) so that the fits do not
-recompute its joins and windows.
+A refit is a distributed MLlib fit on the rows a period may learn from; the driver only loops over the years of the data.  The
+panel is cut from its lineage once (reliable checkpoint) so that the fits do not recompute its joins and windows.  Missing
+features count as zero with an indicator of their own, so every row gets a prediction.  Linear models are in ``plans.walks``.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.functions import timecols as tc
 from gridtide.functions.numbers import clip
 from gridtide.operators.quality import refuse_labels
+from gridtide.plans import walks
 from gridtide.session import checkpoint_dir
 
 CLIP = 250.0
@@ -42,12 +44,31 @@ def tree_classifier(depth: int = 3, rounds: int = 10) -> Estimator:
     )
 
 
-def prepared(df: DataFrame, features: Sequence[str], label: Column) -> DataFrame:
-    """Rows with all features present, a feature vector and the label; checkpointed for reuse."""
+def prepared(df: DataFrame, features: Sequence[str], label: Column, learnable: Column | None = None) -> DataFrame:
+    """Rows with a feature vector, the label and ``_from``, the first day on which a fit may use the row (null: never; all
+    rows from the beginning if not given); checkpointed for reuse."""
     refuse_labels(features)
     checkpoint_dir(df.sparkSession)
-    rows = df.dropna(subset=list(features)).withColumn("_label", label.cast("double"))
-    return VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows).checkpoint()
+    z = walks.design(features)[1:]
+    names = [f"_x{i}" for i in range(len(z))]
+    first = F.lit("0001-01-01").cast("date") if learnable is None else learnable
+    rows = df.select("*", label.cast("double").alias("_label"), first.alias("_from"), *[x.alias(n) for n, x in zip(names, z, strict=True)])
+    return VectorAssembler(inputCols=names, outputCol="_features").transform(rows).drop(*names).checkpoint()
+
+
+def learnable_from(day: str, published: str, zone: str) -> Column:
+    """First day on which a fit may use a row: two days after its own, and a day after its label was public by the deadline."""
+    usable = tc.first_usable_day(published, zone)
+    return F.when(F.col(published).isNotNull(), F.greatest(F.date_add(day, GAP_DAYS), F.date_add(usable, 1)))
+
+
+def year_periods(rows: DataFrame, day: str) -> list[tuple[str, str]]:
+    """Calendar years of the rows that have something to learn from; one row comes to the driver."""
+    lo, hi = rows.agg(F.min(F.when(F.col("_label").isNotNull(), F.col("_from"))), F.max(day)).first()
+    if lo is None or hi is None:
+        return []
+    first = lo.year if (lo.month, lo.day) == (1, 1) else lo.year + 1
+    return [(f"{y:04d}-01-01", f"{y + 1:04d}-01-01") for y in range(first, hi.year + 1)]
 
 
 def clipped_target(gap: str, bound: float = CLIP) -> Column:
@@ -65,61 +86,18 @@ def _score(model, rows: DataFrame) -> DataFrame:
     return out
 
 
-def may_train(day: str, period_start: str, window_days: int | None = None) -> Column:
-    """Rows a period may learn from: up to two days before it, optionally only the last ``window_days``."""
-    start = F.lit(period_start).cast("date")
-    ok = F.col("_label").isNotNull() & (F.col(day) <= F.date_sub(start, GAP_DAYS))
-    return ok if window_days is None else ok & (F.col(day) >= F.date_sub(start, window_days))
+def may_train(period_start: str) -> Column:
+    """Rows a period may learn from."""
+    return F.col("_label").isNotNull() & (F.col("_from") <= F.lit(period_start).cast("date"))
 
 
-def walk_forward(
-    rows: DataFrame, day: str, periods: Sequence[tuple[str, str]], make: Callable[[], Estimator], out: str,
-    window_days: int | None = None, only: Column | None = None,
-) -> DataFrame:
-    """One fit per period [start, end), predictions for that period only."""
+def walk_forward(rows: DataFrame, day: str, periods: Sequence[tuple[str, str]], make: Callable[[], Estimator], out: str) -> DataFrame:
+    """One fit per period [start, end), predictions for all rows of that period."""
     parts = []
     for start, end in periods:
-        train = rows.where(may_train(day, start, window_days))
         test = rows.where((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) < F.lit(end).cast("date")))
-        if only is not None:
-            train, test = train.where(only), test.where(only)
-        parts.append(_score(make().fit(train), test).withColumn("period", F.lit(start).cast("date")))
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_pred", out).drop("_features", "_label")
-
-
-def multi_length(
-    rows: DataFrame, day: str, keys: Sequence[str], periods: Sequence[tuple[str, str]], make: Callable[[], Estimator], out: str,
-    lengths: Sequence[int | None],
-) -> DataFrame:
-    """Mean prediction over training windows of several lengths (None = everything earlier)."""
-    parts = [walk_forward(rows, day, periods, make, out, n).select(*keys, out) for n in lengths]
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.avg(out).alias(out), F.count(F.lit(1)).alias("models"))
-
-
-def last_models_ensemble(
-    rows: DataFrame, day: str, keys: Sequence[str], periods: Sequence[tuple[str, str]], make: Callable[[], Estimator], out: str, last: int = 4
-) -> DataFrame:
-    """Each period is predicted by the models of itself and up to ``last - 1`` periods before it; mean."""
-    models = [make().fit(rows.where(may_train(day, start))) for start, _ in periods]
-    parts = []
-    for i, (start, end) in enumerate(periods):
-        test = rows.where((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) < F.lit(end).cast("date")))
-        for m in models[max(0, i - last + 1) : i + 1]:
-            parts.append(_score(m, test).select(*keys, F.col("_pred").alias(out)))
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.avg(out).alias(out), F.count(F.lit(1)).alias("models"))
-
-
-def conditional_grid(
-    rows: DataFrame, day: str, keys: Sequence[str], price: str, features: Sequence[str], label: Column, period: tuple[str, str],
-    make: Callable[[], Estimator], multiples: Sequence[float],
-) -> DataFrame:
-    """Predicted gap at multiples of a known price: the period's rows are scored once per multiple."""
-    base = prepared(rows, features, label)
-    model = make().fit(base.where(may_train(day, period[0])))
-    test = base.where((F.col(day) >= F.lit(period[0]).cast("date")) & (F.col(day) < F.lit(period[1]).cast("date"))).drop("_features")
-    grid = test.withColumn("multiple", F.explode(F.array(*[F.lit(float(m)) for m in multiples]))).withColumn(price, F.col(price) * F.col("multiple"))
-    scored = _score(model, VectorAssembler(inputCols=list(features), outputCol="_features").transform(grid))
-    return scored.select(*keys, "multiple", F.col(price).alias("level"), F.col("_pred").alias("cond"))
+        parts.append(_score(make().fit(rows.where(may_train(start))), test).withColumn("period", F.lit(start).cast("date")))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_pred", out).drop("_features", "_label", "_from")
 
 
 def quantile_cells(rows: DataFrame, cell: Sequence[str], period: Column, value: str, probs: dict[str, float]) -> DataFrame:
@@ -138,24 +116,17 @@ def fold_residuals(
     for f in folds:
         model = make().fit(r.where((F.col("_fold") != f) & F.col("_label").isNotNull()))
         parts.append(_score(model, r.where((F.col("_fold") == f) & F.col("_label").isNotNull())))
-    return reduce(DataFrame.unionByName, parts).withColumn(out, F.col("_label") - F.col("_pred")).drop("_features")
-
-
-def decomposed(
-    df: DataFrame, day: str, keys: Sequence[str], periods: Sequence[tuple[str, str]], features: Sequence[str], parts: dict[str, Column],
-    make: Callable[[], Estimator], out: str,
-) -> DataFrame:
-    """Model each part of a target and add the predictions."""
-    preds = []
-    for _name, target in parts.items():
-        preds.append(walk_forward(prepared(df, features, target), day, periods, make, out).select(*keys, out))
-    return reduce(DataFrame.unionByName, preds).groupBy(*keys).agg(F.sum(out).alias(out))
+    return reduce(DataFrame.unionByName, parts).withColumn(out, F.col("_label") - F.col("_pred")).drop("_features", "_from")
 
 
-def bad_day_target(days: DataFrame, day: str, pnl: str, train_before: str, q: float) -> DataFrame:
-    """1 for days in the worst quantile; the cut comes from training days only (a bounded calendar)."""
-    cut = days.where(F.col(day) < F.lit(train_before).cast("date")).agg(F.percentile(pnl, q).alias("_cut"))
-    return days.join(F.broadcast(cut)).withColumn("bad_day", (F.col(pnl) <= F.col("_cut")).cast("double")).drop("_cut")
+def bad_day_target(days: DataFrame, day: str, pnl: str, learnable: str, q: float) -> DataFrame:
+    """Per year with earlier days, 1 for the days in the worst quantile of the days that were learnable when it began:
+    (period, bad_day) for all days up to its end.  One row per calendar day and later year."""
+    span = days.agg(F.year(F.min(learnable)).alias("_a"), F.year(F.max(day)).alias("_b"))  # one row
+    years = days.join(F.broadcast(span)).withColumn("period", F.explode(F.sequence(F.year(day), F.col("_b"))))
+    years = years.withColumn("period", F.make_date("period", F.lit(1), F.lit(1))).drop("_a", "_b")
+    cut = years.where(F.col(learnable) <= F.col("period")).groupBy("period").agg(F.percentile(pnl, q).alias("_cut"))
+    return years.join(cut, "period").withColumn("bad_day", (F.col(pnl) <= F.col("_cut")).cast("double")).drop("_cut")
 
 
 def configuration_neighbours(config: dict[str, Sequence]) -> list[dict]:

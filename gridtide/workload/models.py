@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.exact import exact_sum
@@ -13,13 +16,13 @@ from gridtide.workload.registry import query
 DAY = "delivery_date"
 KEYS = [DAY, "zone", "slot"]
 FEATURES = ["s28", "s365", "da_level"]
-PERIODS = (("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01"), ("2001-01-01", "2002-01-01"))
 ONE = "s28"
 
 
 def rows(spark, sf, features=FEATURES, label=None):
     p = rule_panel(spark, sf).drop("n_trades", "load_cost", "supply_cost").withColumn("da_level", F.col("y_da"))
-    return models.prepared(p, features, label if label is not None else models.clipped_target("gap"))
+    learnable = models.learnable_from(DAY, "label_published_at", ZONE)
+    return models.prepared(p, features, label if label is not None else models.clipped_target("gap"), learnable)
 
 
 # One feature, its missing indicator and ordinary least squares: the SQL regression functions can follow every refit.
@@ -84,23 +87,34 @@ def recency(spark, sf):
 
 @query("walk_forward_trees")
 def walk_trees(spark, sf):
-    w = models.walk_forward(rows(spark, sf), DAY, PERIODS[1:], lambda: models.tree_regressor(3, 5), "pred")
+    r = rows(spark, sf)
+    w = models.walk_forward(r, DAY, models.year_periods(r, DAY), lambda: models.tree_regressor(3, 5), "pred")
     return w.select(*KEYS, "period", F.round("pred", 6).alias("pred"))
 
 
 @query("event_probability_trees")
 def event_trees(spark, sf):
-    w = models.walk_forward(rows(spark, sf, label=models.event_target("gap", 2.0)), DAY, PERIODS[2:], lambda: models.tree_classifier(2, 5), "p_event")
+    r = rows(spark, sf, label=models.event_target("gap", 2.0))
+    w = models.walk_forward(r, DAY, models.year_periods(r, DAY), lambda: models.tree_classifier(2, 5), "p_event")
     return w.select(*KEYS, "period", F.round("p_event", 6).alias("p_event"))
 
 
+# First day on which a fit may use a row, and the first year that begins then or later.
+_FROM = """fr as (select *, greatest(delivery_date + 2, (case when lp <= lp::date + interval 5 hour then lp::date else lp::date + 1 end) + 1) as learnable from taught)"""
+
+
+def _year_from(c: str) -> str:
+    return f"(year({c}) + case when {c} = date_trunc('year', {c}) then 0 else 1 end)"
+
+
 @query(
     "quantile_cells",
-    oracle=with_(*RULES) + " select zone, slot, year(delivery_date)::int + 1 as period, round(quantile_cont(gap, 0.1), 11) as q10, round(quantile_cont(gap, 0.5), 11) as q50, round(quantile_cont(gap, 0.9), 11) as q90, count(gap) as n from rp where gap is not null group by 1, 2, 3",
+    oracle=with_(*RULES, _TAUGHT, _FROM) + f" select zone, slot, {_year_from('learnable')}::int as period, round(quantile_cont(gap, 0.1), 11) as q10, round(quantile_cont(gap, 0.5), 11) as q50, round(quantile_cont(gap, 0.9), 11) as q90, count(gap) as n from fr where gap is not null group by 1, 2, 3",
 )
 def quantile_cells(spark, sf):
-    p = rule_panel(spark, sf).select("zone", "slot", DAY, "gap")
-    q = models.quantile_cells(p, ["zone", "slot"], F.year(DAY) + 1, "gap", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    p = rule_panel(spark, sf).select("zone", "slot", DAY, "label_published_at", "gap")
+    year = F.year(walks.first_taught_period(F.col(DAY), F.col("label_published_at"), ZONE, 12))
+    q = models.quantile_cells(p, ["zone", "slot"], year, "gap", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
     return q.select("zone", "slot", "period", *[F.round(c, 11).alias(c) for c in ("q10", "q50", "q90")], "n")
 
 
@@ -151,8 +165,8 @@ def specialist(spark, sf):
 
 @query(
     "out_of_fold_residuals",
-    oracle=with_(*RULES) + """, f as (select k, regr_slope(gap, s28) as b, regr_intercept(gap, s28) as a from rp cross join range(3) t(k) where s28 is not null and gap is not null and year(delivery_date) % 3 <> k group by 1)
-      select delivery_date, zone, slot, round(gap - (a + b * s28), 6) as residual from rp join f on year(delivery_date) % 3 = k where s28 is not null and gap is not null""",
+    oracle=with_(*RULES) + f""", f as (select k, regr_slope(gap, s28) as b, regr_intercept(gap, s28) as a, avg(gap) filter (where s28 is null) as m from rp cross join range(3) t(k) where gap is not null and year(delivery_date) % 3 <> k group by 1)
+      select delivery_date, zone, slot, round(gap - ({_says()}), 6) as residual from rp join f on year(delivery_date) % 3 = k where gap is not null""",
 )
 def residuals(spark, sf):
     x = models.fold_residuals(rows(spark, sf, [ONE]), F.year(DAY) % 3, [0, 1, 2], models.linear)
@@ -171,26 +185,32 @@ def decomposed(spark, sf):
     return walks.predicted(p, whole, DAY, [ONE], "pred", 3).select(*KEYS, F.round("pred", 6).alias("pred"))
 
 
+def day_results(spark, sf):
+    from gridtide.functions.exact import exact_avg
+
+    d = rule_panel(spark, sf).groupBy(DAY).agg(
+        exact_sum(-F.col("gap")).alias("pnl"), exact_avg("s28").alias("score"), exact_avg("s365").alias("long_score"), F.count(F.lit(1)).alias("n_rows"),
+        F.max("label_published_at").alias("published"),
+    )
+    return d.withColumn("learnable", models.learnable_from(DAY, "published", ZONE)).drop("published")
+
+
 @query(
     "bad_day_labels",
-    oracle=with_(*RULES) + f""", d as (select delivery_date, {xsum('-gap')} as pnl from rp group by 1), c as (select quantile_cont(pnl, 0.05) as c from d where delivery_date < date '1999-01-01')
-      select delivery_date, pnl, case when pnl <= c then 1.0e0 else 0.0e0 end as bad_day from d, c""",
+    oracle=with_(*RULES, _TAUGHT, _FROM) + f""", d as (select delivery_date, {xsum('-gap')} as pnl, max(learnable) as learnable from fr group by 1), y as (select unnest(range(min(year(delivery_date)), max(year(delivery_date)) + 1)) as y from d),
+      c as (select make_date(y::bigint, 1, 1) as period, quantile_cont(pnl, 0.05) as c from y join d on learnable <= make_date(y::bigint, 1, 1) group by 1)
+      select period, delivery_date, pnl, case when pnl <= c then 1.0e0 else 0.0e0 end as bad_day from d join c on year(delivery_date) <= year(period)""",
 )
 def bad_days(spark, sf):
-    d = rule_panel(spark, sf).groupBy(DAY).agg(exact_sum(-F.col("gap")).alias("pnl"))
-    return models.bad_day_target(d, DAY, "pnl", "1999-01-01", 0.05)
+    return models.bad_day_target(day_results(spark, sf), DAY, "pnl", "learnable", 0.05).select("period", DAY, "pnl", "bad_day")
 
 
 @query("bad_day_classifier")
 def bad_day_classifier(spark, sf):
-    from gridtide.functions.exact import exact_avg
-
-    d = rule_panel(spark, sf).groupBy(DAY).agg(
-        exact_sum(-F.col("gap")).alias("pnl"), exact_avg("s28").alias("score"), exact_avg("s365").alias("long_score"), F.count(F.lit(1)).alias("n_rows")
-    )
-    lab = models.bad_day_target(d, DAY, "pnl", "1999-01-01", 0.05)
-    r = models.prepared(lab, ["score", "long_score"], F.col("bad_day"))
-    w = models.walk_forward(r, DAY, PERIODS[2:], lambda: models.tree_classifier(2, 5), "p_bad")
+    labelled = models.bad_day_target(day_results(spark, sf), DAY, "pnl", "learnable", 0.05)
+    r = models.prepared(labelled, ["score", "long_score"], F.col("bad_day"), F.col("learnable"))
+    parts = [models.walk_forward(r.where(F.col("period") == F.lit(p[0]).cast("date")).drop("period"), DAY, [p], lambda: models.tree_classifier(2, 5), "p_bad") for p in models.year_periods(r, DAY)]
+    w = reduce(DataFrame.unionByName, parts)
     return w.select(DAY, "period", F.round("p_bad", 6).alias("p_bad"))
 
 
@@ -198,9 +218,10 @@ def bad_day_classifier(spark, sf):
 def neighbours(spark, sf):
     # one of two settings flipped at a time, each a full refit of the last period
     r = rows(spark, sf)
+    periods = models.year_periods(r, DAY)[-1:]
     out = None
     for c in models.configuration_neighbours({"depth": (2, 3), "rounds": (3, 5)}):
-        w = models.walk_forward(r, DAY, PERIODS[2:], lambda c=c: models.tree_regressor(c["depth"], c["rounds"]), "pred")
+        w = models.walk_forward(r, DAY, periods, lambda c=c: models.tree_regressor(c["depth"], c["rounds"]), "pred")
         e = w.groupBy(F.lit(f"depth {c['depth']} rounds {c['rounds']}").alias("configuration")).agg(
             F.round(F.avg(F.abs(F.col("gap") - F.col("pred"))), 6).alias("mae"), F.count(F.lit(1)).alias("rows")
         )
