@@ -31,13 +31,13 @@ def asof_backward(
     values: Sequence[str],
     tie_break: str,
     tolerance_seconds: int | None = None,
+    slot_seconds: int = 300,
 ) -> DataFrame:
-    """Each left row with the newest right row at or before it (same key).
+    """Each left row with the newest right row at or before it (same key; null keys match each other).
 
-    Both sides are unioned and the last right row is carried forward.  The carry runs inside
-    (key, day) partitions; what was last known before a day comes from a second, much smaller pass
-    over one row per (key, day).  A key with a very large share of the rows is therefore split by day
-    instead of being sorted in one task.
+    Both sides are unioned and the last right row is carried forward on three levels: inside a slot of
+    ``slot_seconds`` of a (key, day), over the slots of a day (one row per slot), and over the days of a key (one row per
+    day).  A key or a single (key, day) with a very large share of the rows is therefore split, and not sorted in one task.
     """
     payload = F.struct(F.col(right_ts).alias("_rts"), F.col(tie_break).alias("_rtb"), *[F.col(v) for v in values])
     r = right.select(*keys, F.col(right_ts).alias("_ts"), payload.alias("_r"), F.lit(None).cast(left.schema.simpleString()).alias("_l"))
@@ -47,24 +47,25 @@ def asof_backward(
         F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_l"),
     )
-    both = r.unionByName(l).withColumn("_day", tc.day_of("_ts"))
+    slot = F.floor(tc.epoch_seconds("_ts") / F.lit(slot_seconds))
+    both = r.unionByName(l).withColumn("_day", tc.day_of("_ts")).withColumn("_slot", slot)
+    at = [*keys, "_day", "_slot"]
     # right rows sort before left rows at the same instant, so an exact match counts
     order = [F.col("_ts"), F.col("_r").isNull(), F.col("_r._rtb")]
-    day_w = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    in_slot = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # plain max of the struct of non-null right rows: newest stamp, then largest tie-break
-    per_day = r.withColumn("_day", tc.day_of("_ts")).groupBy(*keys, "_day").agg(
-        F.max(F.struct("_r._rts", "_r._rtb", "_r")).alias("_m")
-    )
-    all_days = both.select(*keys, "_day").distinct()
-    prev_w = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = all_days.join(per_day, [*keys, "_day"], "left").withColumn(
-        "_before", F.last(F.col("_m._r"), ignorenulls=True).over(prev_w)
-    ).select(*keys, "_day", "_before")
+    newest = F.max(F.when(F.col("_r").isNotNull(), F.struct("_r._rts", "_r._rtb", "_r")))
+    per_slot = both.groupBy(*at).agg(newest.alias("_m"))
+    per_day = per_slot.groupBy(*keys, "_day").agg(F.max("_m").alias("_m"))
+    earlier_days = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_slots = Window.partitionBy(*keys, "_day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    days = per_day.withColumn("_before_day", F.last("_m", ignorenulls=True).over(earlier_days)).drop("_m")
+    slots = per_slot.withColumn("_before_slot", F.last("_m", ignorenulls=True).over(earlier_slots)).drop("_m")
+    before = F.coalesce("_before_slot", "_before_day")
+    known = null_safe(slots, days, [*keys, "_day"]).select(*at, before["_r"].alias("_before"))
     out = (
-        both.withColumn("_in_day", F.last("_r", ignorenulls=True).over(day_w))
-        .where(F.col("_l").isNotNull())
-        .join(carried, [*keys, "_day"], "left")
-        .withColumn("_hit", F.coalesce("_in_day", "_before"))
+        null_safe(both.withColumn("_in_slot", F.last("_r", ignorenulls=True).over(in_slot)).where(F.col("_l").isNotNull()), known, at, "left")
+        .withColumn("_hit", F.coalesce("_in_slot", "_before"))
     )
     if tolerance_seconds is not None:
         out = out.withColumn(
@@ -73,52 +74,85 @@ def asof_backward(
     return out.select("_l.*", F.col("_hit._rts").alias(f"asof_{right_ts}"), *[F.col(f"_hit.{v}").alias(f"asof_{v}") for v in values])
 
 
-def interval_overlap(
-    points: DataFrame,
-    intervals: DataFrame,
-    start: str,
-    end: str,
-    point_day: str,
-    horizon: tuple[Column, Column],
-) -> DataFrame:
-    """Days joined with the half-open intervals [start, end) that cover them; a null end is open.
+def _span(points: DataFrame, point_day: str) -> DataFrame:
+    """First and last asked day: one row."""
+    return points.agg(F.min(point_day).alias("_lo"), F.max(point_day).alias("_hi"))
+
+
+def _levels() -> Column:
+    """Levels of a binary tree over the days from ``_lo`` to ``_hi``."""
+    return F.ceil(F.log2(F.datediff("_hi", "_lo") + F.lit(1.0))).cast("int")
+
+
+def _shift(op: str, x: Column, by: Column) -> Column:
+    return F.call_function(op, x, by)
 
-    Every interval is cut into calendar months (clipped to the horizon) and the month is the equi key,
-    with the exact condition kept as a residual: no nested-loop join, and a long interval makes one
-    row per month, not one per day.
+
+def interval_nodes(points: DataFrame, intervals: DataFrame, start: str, end: str, point_day: str) -> DataFrame:
+    """The intervals [start, end), cut to the span of the points, once per tree node (``_level``, ``_node``) that makes them up.
+
+    Level k has nodes of 2^k days.  An interval is the disjoint union of at most two nodes of each level, so it makes some
+    twice log2(days) rows whether it lasts a week, a decade or is still open (a null end), and a day lies in one of them only.
     """
-    lo, hi = horizon
-    s = F.greatest(F.coalesce(F.col(start), lo), lo)
-    e = F.least(F.coalesce(F.col(end), F.date_add(hi, 1)), F.date_add(hi, 1))
-    cut = (
-        intervals.withColumn("_s", s)
-        .withColumn("_e", e)
-        .where(F.col("_s") < F.col("_e"))
-        .withColumn(
-            "_month",
-            F.explode(F.sequence(tc.month_start("_s"), tc.month_start(F.date_sub("_e", 1)), F.expr("interval 1 month"))),
-        )
-    )
-    pts = points.withColumn("_month", tc.month_start(point_day))
-    return (
-        pts.join(cut, "_month")
-        .where((F.col(point_day) >= F.col("_s")) & (F.col(point_day) < F.col("_e")))
-        .drop("_month", "_s", "_e")
-    )
+    s = F.greatest(F.datediff(F.coalesce(F.col(start), F.col("_lo")), "_lo"), F.lit(0))
+    e = F.least(F.datediff(F.coalesce(F.col(end), F.date_add("_hi", 1)), "_lo"), F.datediff("_hi", "_lo") + 1)
 
+    def nodes(k: Column) -> Column:
+        left = _shift("shiftright", F.col("_s") + _shift("shiftleft", F.lit(1), k) - 1, k)
+        right = _shift("shiftright", F.col("_e"), k)
+        node = lambda n: F.struct(k.alias("level"), n.alias("node"))
+        odd = left % 2
+        return F.array(F.when((left < right) & (odd == 1), node(left)), F.when((left + odd < right) & (right % 2 == 1), node(right - 1)))
 
-def active_counts(
-    intervals: DataFrame, start: str, end: str, keys: Sequence[str], horizon: tuple[Column, Column]
+    cut = intervals.join(F.broadcast(_span(points, point_day))).withColumn("_s", s).withColumn("_e", e).where(F.col("_s") < F.col("_e"))
+    every = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), _levels()), nodes)), lambda n: n.isNotNull())
+    return cut.withColumn("_n", F.explode(every)).select(*intervals.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+
+
+def point_nodes(points: DataFrame, point_day: str) -> DataFrame:
+    """The points once per tree node that holds their day: one of each level."""
+    day = F.datediff(point_day, "_lo")
+    up = F.transform(F.sequence(F.lit(0), _levels()), lambda k: F.struct(k.alias("level"), _shift("shiftright", F.col("_d"), k).alias("node")))
+    placed = points.where(F.col(point_day).isNotNull()).join(F.broadcast(_span(points, point_day))).withColumn("_d", day)
+    return placed.withColumn("_n", F.explode(up)).select(*points.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+
+
+def interval_overlap(points: DataFrame, intervals: DataFrame, start: str, end: str, point_day: str) -> DataFrame:
+    """Days joined with the half-open intervals that cover them; a null end is open, a null start was always there.
+
+    An equi join on tree nodes: each pair meets in one node only, so there is no residual condition, and many long intervals
+    or a crowded month do not meet in one key.
+    """
+    right = interval_nodes(points, intervals, start, end, point_day)
+    return point_nodes(points, point_day).join(right, ["_level", "_node"]).drop("_level", "_node")
+
+
+def interval_summary(
+    points: DataFrame, intervals: DataFrame, start: str, end: str, point_day: str, keys: Sequence[str], aggregates: dict[str, tuple[Column, str]]
 ) -> DataFrame:
+    """Per day and key, aggregates of the intervals that cover the day: (keys, day, name ...), without a row per pair.
+
+    ``aggregates`` maps a name to an aggregate over intervals and the function (``sum``, ``min`` or ``max``) that merges it.
+    Intervals are aggregated per tree node first; a day then merges the few nodes that hold it.
+    """
+    per_node = interval_nodes(points, intervals, start, end, point_day).groupBy(*keys, "_level", "_node").agg(*[a.alias(n) for n, (a, _) in aggregates.items()])
+    met = point_nodes(points.select(point_day).distinct(), point_day).join(per_node, ["_level", "_node"])
+    return met.groupBy(point_day, *keys).agg(*[F.call_function(merge, F.col(n)).alias(n) for n, (_, merge) in aggregates.items()])
+
+
+def active_counts(intervals: DataFrame, start: str, end: str, keys: Sequence[str], span: DataFrame | None = None) -> DataFrame:
     """How many intervals cover each day, per key, without materialising one row per covered day.
 
-    Starts add one and ends take one away; the running sum over the calendar is the number open.  The
-    window runs over one row per (key, day), after the deltas are aggregated.
+    Days run from the first start to the last start or end of all intervals, or over ``span`` (one row: lo, hi).  Starts add
+    one and ends take one away; the running sum over the calendar is the number open.  The window runs over one row per
+    (key, day), after the deltas are aggregated.
     """
-    lo, hi = horizon
-    s = F.greatest(F.coalesce(F.col(start), lo), lo)
-    e = F.least(F.coalesce(F.col(end), F.date_add(hi, 1)), F.date_add(hi, 1))
-    base = intervals.withColumn("_s", s).withColumn("_e", e).where(F.col("_s") < F.col("_e"))
+    if span is None:
+        span = intervals.agg(F.min(start).alias("lo"), F.greatest(F.max(start), F.max(end)).alias("hi"))
+    s = F.greatest(F.coalesce(F.col(start), F.col("lo")), F.col("lo"))
+    e = F.least(F.coalesce(F.col(end), F.date_add("hi", 1)), F.date_add("hi", 1))
+    placed = intervals.select(*keys, start, end).join(F.broadcast(span))
+    base = placed.withColumn("_s", s).withColumn("_e", e).where(F.col("_s") < F.col("_e"))
     deltas = base.select(
         *keys,
         F.explode(
@@ -128,10 +162,10 @@ def active_counts(
             )
         ).alias("x"),
     ).groupBy(*keys, F.col("x.day").alias("day")).agg(F.sum("x.d").alias("_d"))
-    days = base.select(*keys).distinct().withColumn("day", F.explode(F.sequence(lo, hi, F.expr("interval 1 day"))))
+    days = placed.select(*keys, "lo", "hi").distinct().select(*keys, F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("day"))
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        days.join(deltas, [*keys, "day"], "left")
+        null_safe(days, deltas, [*keys, "day"], "left")
         .withColumn("active", F.sum(F.coalesce("_d", F.lit(0))).over(w))
         .drop("_d")
     )

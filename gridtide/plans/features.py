@@ -154,10 +154,10 @@ def contrast(weather: DataFrame, load: DataFrame, keys: Sequence[str], day: str,
 
 
 def outage_features(
-    outages: DataFrame, start: str, end: str, cls: str, classes: Sequence[str], horizon: tuple[Column, Column]
+    outages: DataFrame, start: str, end: str, cls: str, classes: Sequence[str]
 ) -> DataFrame:
     """Per day: open outages in total and by class, those ending the next day and those starting that day."""
-    counts = joins.active_counts(outages, start, end, [cls], horizon)
+    counts = joins.active_counts(outages, start, end, [cls])
     wide = counts.groupBy("day").agg(
         F.sum("active").alias("n_active"), *[F.sum(F.when(F.col(cls) == c, F.col("active")).otherwise(0)).alias(f"n_{c}") for c in classes]
     )
@@ -168,9 +168,10 @@ def outage_features(
     )
 
 
-def site_indicators(outages: DataFrame, start: str, end: str, site: str, sites: Sequence[str], horizon: tuple[Column, Column]) -> DataFrame:
+def site_indicators(outages: DataFrame, start: str, end: str, site: str, sites: Sequence[str]) -> DataFrame:
     """0/1 per day and listed site: any open outage there."""
-    c = joins.active_counts(outages.where(F.col(site).isin(list(sites))), start, end, [site], horizon)
+    span = outages.agg(F.min(start).alias("lo"), F.greatest(F.max(start), F.max(end)).alias("hi"))
+    c = joins.active_counts(outages.where(F.col(site).isin(list(sites))), start, end, [site], span)
     return c.groupBy("day").agg(*[F.max(((F.col(site) == s) & (F.col("active") > 0)).cast("int")).alias(f"out_{s}") for s in sites])
 
 

@@ -125,13 +125,13 @@ def contrast(spark, sf):
     return features.contrast(weather(spark, sf), ld, ["point"], "day", "tmean_f", "load")
 
 
-def _horizon():
-    return F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date")
+# All days from the first start to the last start or end.
+_ALL_DAYS = "d as (select unnest(generate_series(min(s), greatest(max(s), max(e)), interval 1 day))::date as day from i)"
 
 
 @query(
     "outage_features",
-    oracle=f"""with {_INTERVALS}, d as (select unnest(generate_series(date '1995-01-01', date '2001-12-31', interval 1 day))::date as day),
+    oracle=f"""with {_INTERVALS}, {_ALL_DAYS},
       st as (select s as day, count(*) as n, count(*) filter (where o_orderpriority = '1-URGENT') as u, count(*) filter (where o_orderpriority = '5-LOW') as l from i group by 1),
       en as (select e as day, count(*) as n, count(*) filter (where o_orderpriority = '1-URGENT') as u, count(*) filter (where o_orderpriority = '5-LOW') as l from i where e is not null group by 1)
       select day, (sum(coalesce(st.n, 0)) over w - sum(coalesce(en.n, 0)) over w)::bigint as n_active, (sum(coalesce(st.u, 0)) over w - sum(coalesce(en.u, 0)) over w)::bigint as "n_1-URGENT",
@@ -139,13 +139,13 @@ def _horizon():
       from d left join st using (day) left join en using (day) left join en e2 on e2.day = d.day + 1 window w as (order by d.day rows unbounded preceding)""",
 )
 def outage_features(spark, sf):
-    return features.outage_features(intervals(spark, sf), "s", "e", "o_orderpriority", ["1-URGENT", "5-LOW"], _horizon())
+    return features.outage_features(intervals(spark, sf), "s", "e", "o_orderpriority", ["1-URGENT", "5-LOW"])
 
 
 @query(
     "site_indicators",
     oracle=f"""with i as (select o_orderdate::date as s, o_orderdate::date + (1 + o_custkey % 3)::int as e, o_orderstatus || '_' || left(o_orderpriority, 1) as site from orders),
-      d as (select unnest(generate_series(date '1995-01-01', date '2001-12-31', interval 1 day))::date as day),
+      {_ALL_DAYS},
       a as (select distinct site, day from d join i on s <= day and e > day)
       select d.day, (exists (select 1 from a where a.site = 'F_1' and a.day = d.day))::int as "out_F_1", (exists (select 1 from a where a.site = 'P_5' and a.day = d.day))::int as "out_P_5" from d""",
 )
@@ -156,7 +156,7 @@ def site_indicators(spark, sf):
         s.alias("s"), F.date_add(s, (F.col("o_custkey") % 3 + 1).cast("int")).alias("e"),
         F.concat("o_orderstatus", F.lit("_"), F.substring("o_orderpriority", 1, 1)).alias("site"),
     )
-    return features.site_indicators(i, "s", "e", "site", ["F_1", "P_5"], _horizon())
+    return features.site_indicators(i, "s", "e", "site", ["F_1", "P_5"])
 
 
 @query(

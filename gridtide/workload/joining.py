@@ -123,29 +123,35 @@ def intervals(spark, sf):
 
 @query(
     "interval_overlap_join",
-    oracle=f"""with {_INTERVALS}, d as (select distinct o_orderdate::date as day from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1995-07-01')
+    oracle=f"""with {_INTERVALS}, d as (select distinct o_orderdate::date as day from orders)
       select day, o_orderpriority, count(*) as active, min(o_orderkey) as first_key from d join i on s <= day and (e is null or e > day) group by 1, 2""",
 )
 def interval_overlap(spark, sf):
-    lo, hi = F.lit("1995-01-01").cast("date"), F.lit("1995-06-30").cast("date")
-    days = load(spark, sf, "orders").where(
-        (F.col("o_orderdate") >= tc.ntz("1995-01-01 00:00:00")) & (F.col("o_orderdate") < tc.ntz("1995-07-01 00:00:00"))
-    ).select(F.col("o_orderdate").cast("date").alias("day")).distinct()
-    x = joins.interval_overlap(days, intervals(spark, sf), "s", "e", "day", (lo, hi))
-    return x.groupBy("day", "o_orderpriority").agg(F.count(F.lit(1)).alias("active"), F.min("o_orderkey").alias("first_key"))
+    days = load(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    aggregates = {"active": (F.count(F.lit(1)), "sum"), "first_key": (F.min("o_orderkey"), "min")}
+    return joins.interval_summary(days, intervals(spark, sf), "s", "e", "day", ["o_orderpriority"], aggregates)
+
+
+@query(
+    "closed_intervals_at_month_starts",
+    oracle=f"""with {_INTERVALS}, d as (select distinct date_trunc('month', o_orderdate)::date as day from orders)
+      select day, o_orderkey, o_orderpriority, e - day as days_left from d join i on s <= day and e > day""",
+)
+def intervals_at_months(spark, sf):
+    days = load(spark, sf, "orders").select(F.trunc("o_orderdate", "MM").alias("day")).distinct()
+    x = joins.interval_overlap(days, intervals(spark, sf).where("e is not null"), "s", "e", "day")
+    return x.select("day", "o_orderkey", "o_orderpriority", F.datediff("e", "day").cast("bigint").alias("days_left"))
 
 
 @query(
     "active_interval_counts",
-    oracle=f"""with {_INTERVALS}, p as (select distinct o_orderpriority from orders), d as (select unnest(generate_series(date '1995-01-01', date '2001-12-31', interval 1 day))::date as day),
+    oracle=f"""with {_INTERVALS}, p as (select distinct o_orderpriority from orders), d as (select unnest(generate_series(min(s), greatest(max(s), max(e)), interval 1 day))::date as day from i),
       st as (select o_orderpriority, s as day, count(*) as c from i group by 1, 2), en as (select o_orderpriority, e as day, count(*) as c from i where e is not null group by 1, 2)
       select o_orderpriority, day, (sum(coalesce(st.c, 0)) over w - sum(coalesce(en.c, 0)) over w)::bigint as active from p cross join d
       left join st using (o_orderpriority, day) left join en using (o_orderpriority, day) window w as (partition by o_orderpriority order by day rows unbounded preceding)""",
 )
 def active_counts(spark, sf):
-    return joins.active_counts(
-        intervals(spark, sf), "s", "e", ["o_orderpriority"], (F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
-    )
+    return joins.active_counts(intervals(spark, sf), "s", "e", ["o_orderpriority"])
 
 
 @query(
@@ -245,11 +251,13 @@ def key_union(spark, sf):
 
 @query(
     "expected_minus_present",
-    oracle="""select d::date as d from generate_series(date '1995-01-01', date '2001-12-31', interval 1 day) t(d) except select o_orderdate::date from orders""",
+    oracle="""with o as (select o_orderdate::date as d from orders where o_totalprice > 400000)
+      select unnest(generate_series(min(d), max(d), interval 1 day))::date as d from o except select d from o""",
 )
 def expected_minus_present(spark, sf):
-    expected = spark.sql("select explode(sequence(date'1995-01-01', date'2001-12-31', interval 1 day)) as d")
-    return setops.missing_keys(expected, load(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")), ["d"])
+    present = load(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_orderdate").cast("date").alias("d"))
+    expected = present.agg(F.explode(F.sequence(F.min("d"), F.max("d"), F.expr("interval 1 day"))).alias("d"))
+    return setops.missing_keys(expected, present, ["d"])
 
 
 @query("shared_days", oracle="select o_orderdate::date as d from orders where o_totalprice > 450000 intersect select l_shipdate::date from lineitem where l_quantity > 49")
@@ -261,13 +269,13 @@ def shared_days(spark, sf):
 
 @query(
     "table_equality",
-    oracle="""with a as (select * from orders where o_orderdate < timestamp '2000-01-01'), b as (select o_orderkey, o_custkey, case when o_totalprice > 499000 then 'X' else o_orderstatus end as o_orderstatus,
-        o_totalprice, o_orderdate, o_orderpriority from orders where o_orderdate < timestamp '2000-01-01')
+    oracle="""with a as (select * from orders), b as (select o_orderkey, o_custkey, case when o_totalprice > 499000 then 'X' else o_orderstatus end as o_orderstatus,
+        o_totalprice, o_orderdate, o_orderpriority from orders)
       select (select count(*) from a) as rows_left, (select count(*) from b) as rows_right,
         (select count(*) from ((select * from a except all select * from b) union all (select * from b except all select * from a))) as different_hashes,
         (select count(*) from (select * from a except all select * from b)) = 0 as equal""",
 )
 def table_equality(spark, sf):
-    o = load(spark, sf, "orders").where(F.col("o_orderdate") < tc.ntz("2000-01-01 00:00:00"))
+    o = load(spark, sf, "orders")
     changed = o.withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 499000, "X").otherwise(F.col("o_orderstatus")))
     return setops.table_summary(o, changed)

@@ -84,11 +84,63 @@ def test_open_intervals_agree_between_join_and_counting(spark):
         [("x", d("2023-12-20"), d("2024-01-03")), ("x", d("2024-01-02"), None), ("y", d("2024-02-01"), d("2024-02-01")), ("y", None, d("2024-01-02"))],
         "c string, s date, e date",
     )
-    lo, hi = F.lit("2024-01-01").cast("date"), F.lit("2024-02-10").cast("date")
     days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-02-10', interval 1 day)) as day")
-    a = joins.interval_overlap(days, iv, "s", "e", "day", (lo, hi)).groupBy("day", "c").agg(F.count("*").alias("n")).toPandas()
-    b = joins.active_counts(iv, "s", "e", ["c"], (lo, hi)).where("active > 0").toPandas()
-    assert {(r.day, r.c): r.n for r in a.itertuples()} == {(r.day, r.c): r.active for r in b.itertuples()}
+    a = joins.interval_overlap(days, iv, "s", "e", "day").groupBy("day", "c").agg(F.count("*").alias("n")).toPandas()
+    span = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    b = joins.active_counts(iv, "s", "e", ["c"], span).where("active > 0").toPandas()
+    c = joins.interval_summary(days, iv, "s", "e", "day", ["c"], {"n": (F.count("*"), "sum")}).toPandas()
+    assert {(r.day, r.c): r.n for r in a.itertuples()} == {(r.day, r.c): r.active for r in b.itertuples()} == {(r.day, r.c): r.n for r in c.itertuples()}
+
+
+def test_intervals_of_a_crowded_month_meet_in_many_nodes(spark):
+    """Most intervals in one month, some open or very long: all pairs as listed, few rows per interval, no crowded key."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    first = dt.date(2020, 1, 1)
+    day = lambda i: first + dt.timedelta(days=int(i))
+    rows = []
+    for i in range(600):
+        s = int(rng.integers(700, 730)) if i % 10 else int(rng.integers(-50, 1400))
+        rows.append((i, None if i % 97 == 0 else day(s), None if i % 31 == 0 else day(s + int(rng.choice([0, 1, 5, 20, 900])))))
+    points = spark.createDataFrame([(day(i),) for i in range(0, 1000, 3)] + [(None,)], "day date")
+    iv = spark.createDataFrame(rows, "id int, s date, e date")
+    got = sorted((r.day, r.id) for r in joins.interval_overlap(points, iv, "s", "e", "day").collect())
+    asked = [day(i) for i in range(0, 1000, 3)]
+    assert got == sorted((d, i) for d in asked for i, s, e in rows if (s is None or s <= d) and (e is None or d < e))
+    nodes = joins.interval_nodes(points, iv, "s", "e", "day")
+    assert nodes.groupBy("id").count().agg(F.max("count")).first()[0] <= 20
+    assert nodes.groupBy("_level", "_node").count().agg(F.max("count")).first()[0] <= 250
+
+
+def test_as_of_with_one_crowded_day(spark):
+    """All but a few rows in one (key, day): the newest row before each, by listing, with and without a tolerance."""
+    import bisect
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    t0 = dt.datetime(2024, 3, 5)
+
+    def stamps(n):
+        some = [t0 + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 86_400, n)]
+        return some + [t0 + dt.timedelta(days=d, seconds=5) for d in (-3, 2, 9)]
+
+    right = [("a", t, i) for i, t in enumerate(stamps(500))] + [("b", t0, -1), (None, t0, -2)]
+    left = [("a", t, i) for i, t in enumerate(stamps(700))] + [("c", t0, -1), (None, t0 + dt.timedelta(days=40), -2), ("a", t0 - dt.timedelta(days=9), -3)]
+    lf, rf = spark.createDataFrame(left, "k string, t timestamp_ntz, id int"), spark.createDataFrame(right, "k string, u timestamp_ntz, v int")
+    known = {}
+    for k, u, v in sorted(right, key=lambda r: r[1:]):
+        known.setdefault(k, []).append((u, v))
+    for tolerance in (None, 60):
+        got = {(r.k, r.id): (r.asof_u, r.asof_v) for r in joins.asof_backward(lf, rf, ["k"], "t", "u", ["v"], "v", tolerance, slot_seconds=120).collect()}
+        assert len(got) == len(left)
+        for k, t, i in left:
+            at = bisect.bisect_right(known.get(k, []), (t, 1 << 30)) - 1
+            hit = known[k][at] if at >= 0 else (None, None)
+            if tolerance is not None and hit[0] is not None and (t - hit[0]).total_seconds() > tolerance:
+                hit = (None, None)
+            assert got[k, i] == hit
 
 
 def test_local_days_have_23_24_25_hours(spark):
