@@ -4,15 +4,15 @@ A document's set is its distinct shingles of five words (64-bit hashes). Documen
 a digest of the set. Two sets can only be linked if they share a token among the first n - ceil(0.75 n) + 1 of their tokens in
 one common order (frequent tokens last); lists of classes by these tokens lead to all candidates:
 
-1. Within each list every class is compared with the smallest one of about its size. Such links are as many as list
-   entries at most, and they join large groups of near copies.
+1. Within each list every class is compared with the smallest one of about its size; each class keeps the pair of its longest
+   list and the one with the smallest name (two rows a class), tested by parity bitmaps of the sets, whose Hamming distance
+   is never above the sets' difference, and then exactly. They join most of a large group of near copies.
 2. Lists that still hold several components form the token-group matrix. Their classes are partitioned into groups of
    similar ones (same first shared token, about the same size, about `GROUP` each), and each group stores the union of its
    members' list tokens. A query class meets the groups of its lists; a group is opened only if the number of query tokens
    in its union could still reach a link with a member of fitting size.
-3. Members of opened groups that belong to other components are compared: first by parity bitmaps of the sets, whose
-   Hamming distance is never above the sets' difference, then exactly: first each with the few that most others are
-   close to, then all pairs that these links left in different components.
+3. Opened groups are compared by bitmaps first, which leaves the classes that are close to one of another component; these
+   come again with their whole sets, and each task gives a forest of verified links, fewer than it has classes.
 
 Pairs inside one component need no test, so no link between components is lost. Frequent tokens only shape the order, which
 any choice leaves exact: those with `HOT` or more classes and a 2^20th of all counts, counted over all documents in stretches
@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import kernel, tables
@@ -37,7 +37,6 @@ from gridtide.llm import kernel, tables
 WIDTH = 5
 GROUP = 64
 QUERIES = 2000
-HUBS = 3
 HOT, MOST_HOT = 8, 1 << 20
 STRETCH = 8
 PART = 2_000_000
@@ -145,21 +144,23 @@ class _Lists:
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(self.parts + 1))
             some = np.flatnonzero(np.diff(edges))
-            names, sizes = classes[own].tobytes(), np.array([len(sets[i]) for i in own], np.int64).tobytes()
+            names, sizes = classes[own], np.array([len(sets[i]) for i in own], np.int64)
             cut = [order[edges[p] : edges[p + 1]] for p in some.tolist()]
+            mine = [np.unique(owner[x], return_inverse=True) for x in cut]  # classes with tokens in the part
             yield pa.record_batch(
                 {
                     "part": pa.array(some, pa.int64()),
                     "tokens": pa.array([tokens[x].tobytes() for x in cut], pa.binary()),
-                    "owners": pa.array([owner[x].tobytes() for x in cut], pa.binary()),
-                    "classes": pa.array([names] * len(cut), pa.binary()),
-                    "sizes": pa.array([sizes] * len(cut), pa.binary()),
+                    "owners": pa.array([place.astype(np.uint32).tobytes() for _, place in mine], pa.binary()),
+                    "classes": pa.array([names[who].tobytes() for who, _ in mine], pa.binary()),
+                    "sizes": pa.array([sizes[who].tobytes() for who, _ in mine], pa.binary()),
                 }
             )
 
 
 def _shared(part: pa.Table) -> pa.Table:
-    """Lists of one part with two or more classes: entries (token, class, n), and the pairs of step 1 (token null)."""
+    """Lists of one part with two or more classes: entries (token, class, n), and the pairs of step 1 (token null) with the
+    length of the longest list that gives them."""
     tokens, classes, sizes = [], [], []
     for t, o, c, s in zip(*(part.column(x).to_pylist() for x in ("tokens", "owners", "classes", "sizes")), strict=True):
         owner = np.frombuffer(o, np.uint32)
@@ -189,6 +190,8 @@ def _shared(part: pa.Table) -> pa.Table:
             at = lead = stop
     listed = np.flatnonzero(np.repeat(many > 1, many))
     led = np.flatnonzero(cls != cls[leader])
+    length = np.repeat(many, many)
+    led = led[np.argsort(-length[led], kind="stable")]
     pair, at = np.unique(np.stack((cls[led], cls[leader[led]])), axis=1, return_index=True)
     at = led[at]
     none = pa.nulls(len(listed), pa.int64())
@@ -199,6 +202,7 @@ def _shared(part: pa.Table) -> pa.Table:
             "n": pa.array(np.concatenate((n[listed], n[at]))),
             "other": pa.concat_arrays([none, pa.array(pair[1])]),
             "m": pa.concat_arrays([none, pa.array(n[leader[at]])]),
+            "length": pa.concat_arrays([none, pa.array(length[at])]),
         }
     )
 
@@ -323,19 +327,16 @@ class Sets:
     def links(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b, na, nb) -> those that are linked, by bitmaps and then exactly."""
         sifted = self._tried(pairs, self.bitmaps, _sift, "sifted-pairs")
-        return self.exact(sifted, self.whole(sifted))
+        return self._tried(sifted, self.whole(sifted.select(F.explode(F.array("a", "b")).alias("class"))), _verify, "links")
 
-    def whole(self, pairs: DataFrame) -> DataFrame:
-        """The whole sets of the classes of pairs, written."""
-        return tables.stored(self._of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), False), "whole-sets")
-
-    def exact(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        return self._tried(pairs, whole, _verify, "links")
+    def whole(self, classes: DataFrame) -> DataFrame:
+        """The whole sets of the classes, written."""
+        return tables.stored(self._of(classes.distinct(), False), "whole-sets")
 
 
 def _open(queries: pa.Table, members: pa.Table) -> pa.Table:
-    """Queries of one group, and its members: pairs of different components whose bitmaps are close enough."""
-    rows = list(zip(*(members.column(x).to_pylist() for x in ("class", "n", "root", "tokens")), strict=True))
+    """Queries of one group, and its members: those that are close by bitmaps to one of another component (asks: queries)."""
+    rows = list(zip(*(members.column(x).to_pylist() for x in ("n", "root", "tokens")), strict=True))
     seen: dict[tuple[int, int], int] = {}  # folded bitmaps by (which row, bits)
 
     def at(key: int, bitmap: bytes, bits: int) -> int:
@@ -343,14 +344,40 @@ def _open(queries: pa.Table, members: pa.Table) -> pa.Table:
             seen[key, bits] = folded(bitmap, bits)
         return seen[key, bits]
 
-    out: list[tuple[int, int, int, int]] = []
-    for i, (q, n, root, own) in enumerate(zip(*(queries.column(x).to_pylist() for x in ("class", "n", "root", "tokens")), strict=True)):
-        for j, (c, m, r, other) in enumerate(rows):
+    asks, met = np.zeros(len(queries), bool), np.zeros(len(rows), bool)
+    for i, (n, root, own) in enumerate(zip(*(queries.column(x).to_pylist() for x in ("n", "root", "tokens")), strict=True)):
+        for j, (m, r, other) in enumerate(rows):
             if r > root and 4 * min(n, m) >= 3 * max(n, m):
                 bits = 8 * min(len(own), len(other))
                 if 7 * (at(-1 - i, own, bits) ^ at(j, other, bits)).bit_count() <= n + m:
-                    out.append((q, c, n, m))
-    return pa.table({x: pa.array([o[k] for o in out], pa.int64()) for k, x in enumerate(("a", "b", "na", "nb"))})
+                    asks[i] = met[j] = True
+    kept = [t.select(["grp", "lot", "class", "root"]).filter(pa.array(mask)) for t, mask in ((queries, asks), (members, met))]
+    sides = [t.append_column("asks", pa.array(np.full(len(t), asks, bool))) for t, asks in zip(kept, (True, False), strict=True)]
+    return pa.concat_tables(sides)
+
+
+def _forest(group: pa.Table) -> pa.Table:
+    """Close queries and members of one opened group with their whole sets: verified links (a, b) that join the components."""
+    rows = [(c, r, np.frombuffer(t, np.uint64), q) for c, r, t, q in zip(*(group.column(x).to_pylist() for x in ("class", "root", "tokens", "asks")), strict=True)]
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = x = top.get(top[x], top[x])
+        return x
+
+    out: list[tuple[int, int]] = []
+    members = [r for r in rows if not r[3]]
+    for a, root, own, _ in (r for r in rows if r[3]):
+        for b, other_root, other, _ in members:
+            if other_root > root and 4 * min(len(own), len(other)) >= 3 * max(len(own), len(other)):
+                x, y = find(root), find(other_root)
+                if x != y:
+                    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                    if linked(np.count_nonzero(other[at] == own), len(own), len(other)):
+                        top[max(x, y)] = min(x, y)
+                        out.append((a, b))
+    return pa.table({x: pa.array([o[k] for o in out], pa.int64()) for k, x in enumerate("ab")})
 
 
 def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,19 +403,24 @@ def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def shared_lists(part: pa.Table) -> pa.Table:
         return _shared(part)
 
-    found = tables.stored(packed.groupBy("part").applyInArrow(shared_lists, "token long, class long, n long, other long, m long"), "shared-lists")
+    found = tables.stored(packed.groupBy("part").applyInArrow(shared_lists, "token long, class long, n long, other long, m long, length long"), "shared-lists")
     lists = found.where("token is not null").select("token", "class", "n")
-    stars = tables.stored(found.where("token is null").select(F.col("class").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("m").alias("nb")).distinct(), "star-pairs")
+    stars = tables.stored(star_pairs(found.where("token is null")), "star-pairs")
     test = Sets(docs, lists.select("class").distinct())
     links = test.links(stars)
-    near = open_pairs(mixed_lists(lists, components(links)), test.bitmaps)
-    whole = test.whole(near)
-    links = links.unionByName(test.exact(hub_pairs(near), whole))
     roots = components(links)
-    rest = test.exact(apart(near, roots), whole)
+    rest = open_links(mixed_lists(lists, roots), test)
     return sets, roots if rest.isEmpty() else components(contracted(rest, roots))
 
 
+def star_pairs(found: DataFrame) -> DataFrame:
+    """For each class its pair of the longest list and that with the smallest name: (a, b, na, nb)."""
+    pair = lambda *first: F.struct(*first, F.col("other").alias("b"), F.col("m").alias("nb"))
+    best = found.groupBy(F.col("class").alias("a"), F.col("n").alias("na")).agg(F.max(pair("length")).alias("x"), F.min(pair()).alias("y"))
+    both = F.explode(F.array_distinct(F.array(F.struct("x.b", "x.nb"), F.struct("y.b", "y.nb"))))
+    return best.select("a", "na", both.alias("p")).select("a", "p.b", "na", "p.nb")
+
+
 def mixed_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """(token, class, n, root, band) of lists with several components."""
     rooted = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -397,35 +429,22 @@ def mixed_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return tables.stored(rooted.join(mixed, "token").select("token", "class", "n", "root", band.alias("band")), "mixed-lists")
 
 
-def hub_pairs(near: DataFrame) -> DataFrame:
-    """Of the pairs (a, b, na, nb), for each class those with the `HUBS` others that occur in most pairs."""
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
-    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
-    best = Window.partitionBy("a").orderBy(F.desc("degree"), "b")
-    few = both.join(degree, "b").withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS)
-    return tables.stored(few.select("a", "b", "na", "nb"), "hub-pairs")
-
-
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     ra, rb = (roots.select(F.col("class").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     found = pairs.join(ra, "a", "left").join(rb, "b", "left")
     return found.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"})
 
 
-def apart(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of different components."""
-    return tables.stored(_rooted(near, roots).where("root_a <> root_b").select("a", "b", "na", "nb"), "pairs-apart")
-
-
 def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges between components that links join, and between the classes of a component and its root."""
     between = _rooted(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
     return between.unionByName(roots.select(F.col("class").alias("a"), F.col("root").alias("b")))
 
 
-def open_pairs(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(a, b, na, nb): classes of different components that the token-group matrix and the bitmaps leave. A group meets at
-    most about `QUERIES` queries in one task; it comes once for each such lot."""
+def open_links(rows: DataFrame, test: Sets) -> DataFrame:
+    """(a, b): verified links that join the components of `rows` as all links between them do. A group meets at most about
+    `QUERIES` queries in one task; it comes once for each such lot."""
+    bitmaps = test.bitmaps
     member = rows.groupBy("class").agg(F.min("token").alias("token"), F.min("root").alias("root"), F.max("n").alias("n"), F.max("band").alias("band"))
     many = member.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).alias("k"))
     grp = F.xxhash64("token", "band", F.pmod(F.xxhash64("class"), F.col("k")))
@@ -444,8 +463,14 @@ def open_pairs(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def opening(left: pa.Table, right: pa.Table) -> pa.Table:
         return _open(left, right)
 
-    pairs = queries.groupBy("grp", "lot").cogroup(copies.groupBy("grp", "lot")).applyInArrow(opening, "a long, b long, na long, nb long")
-    return tables.stored(pairs.distinct(), "open-pairs")
+    marked = queries.groupBy("grp", "lot").cogroup(copies.groupBy("grp", "lot")).applyInArrow(opening, "grp long, lot int, class long, root long, asks boolean")
+    close = tables.stored(marked, "close-classes")
+
+    def verifying(group: pa.Table) -> pa.Table:
+        return _forest(group)
+
+    whole = close.join(test.whole(close.select("class")), "class")
+    return tables.stored(whole.groupBy("grp", "lot").applyInArrow(verifying, "a long, b long"), "forest")
 
 
 def join(docs: DataFrame) -> DataFrame:

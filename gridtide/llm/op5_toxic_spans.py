@@ -311,16 +311,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those whose score is 0.5 or more; learned from the given documents and labels."""
+    """Documents without those whose score is 0.5 or more; learned from the given documents and labels. Without labels of both
+    kinds nothing can be learned, and all documents stay."""
     model = training(tables.documents(spark, sf_dir), tables.table(spark, sf_dir, "labels"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_Keep(shared), docs.schema)
 
 
 class _Keep(_Score):
-    """The rows whose prediction is 0, unchanged."""
+    """The rows whose prediction is 0, unchanged; all rows where no model was fitted."""
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "logistic" not in self.model.value:
+            yield from batches
+            return
         for batch in kernel.texts(batches):
             (scored,) = super().__call__([batch.select(["text"])])
             yield batch.filter(pc.equal(scored.column("predicted"), 0))

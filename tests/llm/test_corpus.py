@@ -82,6 +82,46 @@ def test_join_on_documents(spark, small):
     assert sorted(tuple(r) for r in op10.join(small).collect()) == sorted(brute_components(rows))
 
 
+def test_a_large_group_of_near_copies_gives_few_rows(spark, monkeypatch):
+    """Near copies of one text, a third linked with each other and the rest apart: every table of pairs stays linear."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for p in rng.choice(60, int(rng.integers(0, 5)), replace=False):
+            w[p] = f"n{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(w)))
+    kept, stored = {}, op10.tables.stored
+
+    def spy(df, name):
+        out = stored(df, name)
+        kept[name] = max(out.count(), kept.get(name, 0))
+        return out
+
+    monkeypatch.setattr(op10.tables, "stored", spy)
+    got = op10.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_components(rows))
+    assert kept["star-pairs"] <= 2 * len(rows)
+    assert kept.get("forest", 0) < kept["close-classes"] <= kept["opened-groups"] + kept["group-members"]
+
+
+def test_forest_of_an_opened_group():
+    """Verified links of members of different components, no more than there are components to join."""
+    import pyarrow as pa
+
+    sets = [np.arange(k, k + 40, dtype=np.uint64) for k in (0, 1, 2, 3, 200)]
+    rows = [(c, c, s.tobytes(), asks) for asks in (True, False) for c, s in enumerate(sets)]
+    got = op10._forest(pa.table({k: pa.array([r[i] for r in rows]) for i, k in enumerate(("class", "root", "tokens", "asks"))}))
+    assert len(got) == 3 and {x for p in got.to_pylist() for x in p.values()} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("kinds", [[], [1], [0]])
+def test_toxicity_stage_without_both_kinds_of_labels_keeps_all(spark, place, odd, kinds):
+    labels = [(i, 1, k) for i in (1, 7, 8, 9) for k in kinds]
+    assert op5.stage(spark, odd, place(odd, labels)).count() == odd.count()
+
+
 def test_parity_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(7)
     for n, m in ((1, 1), (40, 50), (300, 900)):
