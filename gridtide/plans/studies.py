@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,35 +268,73 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)
 
 
+GRID = float(2**24)
+CHUNK = 1_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 32-bit numbers."""
+    x = (x ^ (x >> 16)) * 2246822507 & 0xFFFFFFFF
+    x = (x ^ (x >> 13)) * 3266489909 & 0xFFFFFFFF
+    return x ^ (x >> 16)
+
+
+def _drawn(seed: int, tag: int, draw: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) that depend only on seed, tag, draw and block."""
+    mask = np.uint64(0xFFFFFFFF)
+    first = _mixed(np.uint64(8 * seed + tag) & mask ^ draw.astype(np.uint64))
+    return _mixed((first[:, None] + k.astype(np.uint64)[None, :]) & mask) / 4294967296.0
+
+
+def resampled_means(position: np.ndarray, value: np.ndarray, n: int, draws: np.ndarray, mean_block: float, seed: int) -> np.ndarray:
+    """Means of one series under the given draws (nan where a draw meets none of its days)."""
+    total, days = np.zeros(n), np.zeros(n)
+    np.add.at(total, position, value)
+    np.add.at(days, position, 1.0)
+    twice = [np.concatenate(([0.0], np.cumsum(np.concatenate((x, x))))) for x in (total, days)]  # running sums, once around and again
+    many = math.ceil(n * (2.0 / mean_block)) + 64
+    k = np.arange(many)
+    length = np.ones((len(draws), many), np.int64)
+    if mean_block > 1:
+        length = np.floor(np.log(1 - _drawn(seed, 1, draws, k)) / math.log(1 - 1 / mean_block)).astype(np.int64) + 1
+    begin = np.minimum(np.cumsum(length, axis=1) - length, n)
+    size = np.minimum(length, n - begin)
+    size[:, -1] = n - begin[:, -1]
+    start = np.floor(_drawn(seed, 2, draws, k) * n).astype(np.int64)
+    sums = [(x[start + size] - x[start]).sum(axis=1) for x in twice]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return sums[0] / sums[1]
+
+
 def bootstrap_means(
     daily: DataFrame, keys: Sequence[str], position: str, value: str, draws: int, mean_block: float, seed: int
 ) -> DataFrame:
     """Stationary bootstrap: the mean of every resampled series, one row per (keys, draw).
 
-    ``position`` numbers the days 0..n-1.  Blocks start at a hashed day, continue circularly and end with
-    probability 1/mean_block; the same draws serve every series.  A draw is a bounded list of days, so
-    its index path is a window over the calendar; the values come in by an equi join.
-    mean_block = 1 is the plain day bootstrap.
+    ``position`` numbers the days 0..n-1.  Blocks start at a hashed day, continue circularly and have geometric lengths of mean
+    ``mean_block`` (1 is the plain day bootstrap); the same draws serve every series.  A block is the difference of two running
+    sums of the series, so a draw costs one look-up per block end and not one row per day.  Twice the expected number of blocks
+    and 64 more are drawn; should they not fill the n days, the last one does.
+
+    A task has one series, whose length the calendar bounds, and ``CHUNK`` draws.  Values are rounded to 2^-24, so that running
+    sums are exact, in any order, up to 5 * 10^8.
     """
-    n = daily.agg((F.max(position) + 1).alias("_n"))  # one row
-    path = (
-        daily.sparkSession.range(draws).withColumnRenamed("id", "draw").repartition("draw").join(F.broadcast(n))
-        .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint") - 1)))
-        .withColumn("_new", (F.col("_k") == 0) | (_uniform(F.lit(seed), F.lit("new"), F.col("draw"), F.col("_k")) < F.lit(1.0 / mean_block)))
-        .withColumn("_start", F.when(F.col("_new"), F.floor(_uniform(F.lit(seed), F.lit("start"), F.col("draw"), F.col("_k")) * F.col("_n"))))
-    )
-    w = Window.partitionBy("draw").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    index = (
-        path.withColumn("_s", F.last("_start", ignorenulls=True).over(w))
-        .withColumn("_sk", F.last(F.when(F.col("_new"), F.col("_k")), ignorenulls=True).over(w))
-        .withColumn("_i", (F.col("_s") + F.col("_k") - F.col("_sk")) % F.col("_n"))
-    )
-    # a day drawn several times in one draw is fetched once
-    counts = index.groupBy("draw", F.col("_i").alias(position)).agg(F.count(F.lit(1)).alias("_c"))
-    v = daily.select(*keys, F.col(position).cast("bigint").alias(position), fixed(value).alias("_v"))
-    return counts.join(v, position).groupBy(*keys, "draw").agg(
-        mean_of(F.sum(F.col("_c") * F.col("_v")), F.sum("_c")).alias("boot_mean")
-    )
+    keys = list(keys)
+    n = daily.agg((F.max(position) + 1).cast("bigint").alias("_n"))  # one row
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // CHUNK)))
+    rounded_value = F.floor(F.col(value) * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID)
+    rows = daily.where(F.col(value).isNotNull()).select(*keys, F.col(position).cast("bigint").alias("_i"), rounded_value.alias("_v"))
+    rows = rows.join(F.broadcast(n)).withColumn("_chunk", chunks)
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema.fields)
+
+    def resample(group: pa.Table) -> pa.Table:
+        first = group.column("_chunk")[0].as_py() * CHUNK
+        draw = np.arange(first, min(first + CHUNK, draws))
+        means = resampled_means(group.column("_i").to_numpy(), group.column("_v").to_numpy(), group.column("_n")[0].as_py(), draw, mean_block, seed)
+        same = {k: pa.repeat(group.column(k)[0], len(draw)) for k in keys}
+        return pa.table(same | {"draw": pa.array(draw), "boot_mean": pa.array(means, mask=np.isnan(means))})
+
+    return rows.groupBy(*keys, "_chunk").applyInArrow(resample, own + "draw long, boot_mean double")
 
 
 def bootstrap_summary(means: DataFrame, keys: Sequence[str], level: float = 0.95) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
@@ -215,43 +217,57 @@ def calibration(spark, sf):
 
 # ---------------------------------------------------------------- resampling
 
-def positioned(spark, sf):
-    d = day_net(spark, sf).where("year = 1999")
-    return d.withColumn("i", F.datediff("delivery_date", F.lit("1999-01-01").cast("date")))
-
+DRAWS = 10_000
 
-def _boot_sql(draws: int, block: str, seed: int) -> str:
-    u = lambda tag: f"(('0x' || substr(md5('{seed}|{tag}|' || draw || '|' || k), 1, 8))::bigint::double / 4294967296.0e0)"
-    return _DAY_NET + f""", dn as (select zone, (delivery_date - date '1999-01-01')::bigint as i, net from day_net where year = 1999),
-      n as (select max(i) + 1 as n from dn), dr as (select unnest(range({draws})) as draw),
-      path as (select draw, n, unnest(range(n)) as k from dr, n),
-      st as (select *, k = 0 or {u('new')} < {block} as nw, floor({u('start')} * n)::bigint as s from path),
-      ix as (select draw, k, n, last_value(case when nw then s end ignore nulls) over w as s, last_value(case when nw then k end ignore nulls) over w as sk from st window w as (partition by draw order by k rows unbounded preceding)),
-      jj as (select draw, (s + k - sk) % n as i from ix),
-      bm as (select zone, draw, {xmean('sum(' + xunits('net') + ')', 'count(*)')} as boot_mean from jj join dn using (i) group by 1, 2)"""
 
-
-@query("stationary_bootstrap_means", oracle=with_(_boot_sql(200, "1.0e0/7.0e0", 20261006)) + " select zone, draw, boot_mean from bm")
+def positioned(spark, sf):
+    """All days of all zones, numbered from the first."""
+    d = day_net(spark, sf)
+    first = d.agg(F.min("delivery_date").alias("_a"))  # one row
+    return d.join(F.broadcast(first)).withColumn("i", F.datediff("delivery_date", "_a")).drop("_a")
+
+
+def _boot_sql(block: float, seed: int) -> str:
+    length = f"floor(ln(1 - u1) / {math.log(1 - 1 / block)!r}e0)::bigint + 1" if block > 1 else "1"
+    return _DAY_NET + f""", dn as (select zone, (delivery_date - (select min(delivery_date) from day_net))::bigint as i, floor(net * 16777216.0e0 + 0.5e0) / 16777216.0e0 as v from day_net),
+      n as (select max(i) + 1 as n from dn), dr as (select unnest(range({DRAWS})) as draw), k as (select unnest(range(ceil(n * {2.0 / block!r}e0)::bigint + 64)) as k, n from n),
+      d0 as (select draw, x1, xor(x2a, x2a >> 16) as x2 from (select draw, xor(x1c, x1c >> 16) as x1, ((xor(x2b, x2b >> 13)::hugeint * 3266489909) & 4294967295)::bigint as x2a
+        from (select draw, ((xor(x1b, x1b >> 13)::hugeint * 3266489909) & 4294967295)::bigint as x1c, x2b from (select draw, ((xor(t1, t1 >> 16)::hugeint * 2246822507) & 4294967295)::bigint as x1b,
+          ((xor(t2, t2 >> 16)::hugeint * 2246822507) & 4294967295)::bigint as x2b from (select draw, xor({8 * seed + 1}, draw) as t1, xor({8 * seed + 2}, draw) as t2 from dr))))),
+      m0 as (select draw, k, n, (x1 + k) & 4294967295 as y1, (x2 + k) & 4294967295 as y2 from d0, k),
+      m1 as (select draw, k, n, ((xor(y1, y1 >> 16)::hugeint * 2246822507) & 4294967295)::bigint as y1, ((xor(y2, y2 >> 16)::hugeint * 2246822507) & 4294967295)::bigint as y2 from m0),
+      m2 as (select draw, k, n, ((xor(y1, y1 >> 13)::hugeint * 3266489909) & 4294967295)::bigint as y1, ((xor(y2, y2 >> 13)::hugeint * 3266489909) & 4294967295)::bigint as y2 from m1),
+      m3 as (select draw, k, n, xor(y1, y1 >> 16) / 4294967296.0e0 as u1, xor(y2, y2 >> 16) / 4294967296.0e0 as u2 from m2),
+      b as (select draw, k, n, {length} as len, floor(u2 * n)::bigint as a from m3),
+      c as (select *, sum(len) over (partition by draw order by k) - len as fr from b), d as (select draw, n, a, least(len, n - fr) as len from c where fr < n),
+      ends as (select draw, a as j, -1 as c from d union all select draw, least(a + len, n), 1 from d union all select draw, a + len - n, 1 from d where a + len > n),
+      grid as (select zone, unnest(range(n + 1)) as j from (select distinct zone from dn), n),
+      vals as (select g.zone, g.j, coalesce(v, 0) as v, case when v is null then 0 else 1 end as c from grid g left join dn on dn.zone = g.zone and dn.i = g.j - 1),
+      pre as (select zone, j, sum(v) over (partition by zone order by j rows unbounded preceding) as s, sum(c) over (partition by zone order by j rows unbounded preceding) as m from vals),
+      bm as (select zone, draw, sum(c * s) / sum(c * m) as boot_mean from ends join pre using (j) group by 1, 2)"""
+
+
+@query("stationary_bootstrap_means", oracle=with_(_boot_sql(7.0, 2026)) + " select zone, draw, boot_mean from bm")
 def boot_means(spark, sf):
-    return studies.bootstrap_means(positioned(spark, sf), ["zone"], "i", "net", 200, 7.0, 20261006)
+    return studies.bootstrap_means(positioned(spark, sf), ["zone"], "i", "net", DRAWS, 7.0, 2026)
 
 
 @query(
     "bootstrap_interval_and_p",
-    oracle=with_(_boot_sql(300, "1.0e0/7.0e0", 11)) + """
+    oracle=with_(_boot_sql(7.0, 11)) + """
       select zone, round(quantile_cont(boot_mean, 0.025), 8) as lo, round(quantile_cont(boot_mean, 0.975), 8) as hi,
         least(1.0e0, 2 * least((count(*) filter (where boot_mean <= 0) + 1) / (count(*) + 1.0e0), (count(*) filter (where boot_mean >= 0) + 1) / (count(*) + 1.0e0))) as p_two_sided, round(stddev_samp(boot_mean), 8) as se,
         case when quantile_cont(boot_mean, 0.025) > 0 then 'pays' when quantile_cont(boot_mean, 0.975) < 0 then 'doesn''t pay' else 'inconclusive' end as verdict from bm group by 1""",
 )
 def boot_interval(spark, sf):
-    m = studies.bootstrap_means(positioned(spark, sf), ["zone"], "i", "net", 300, 7.0, 11)
+    m = studies.bootstrap_means(positioned(spark, sf), ["zone"], "i", "net", DRAWS, 7.0, 11)
     s = studies.bootstrap_summary(m, ["zone"]).withColumn("verdict", studies.verdict(F.col("lo"), F.col("hi")))
     return s.select("zone", *[F.round(c, 8).alias(c) for c in ("lo", "hi", "se")], "p_two_sided", "verdict")
 
 
-@query("day_bootstrap_means", oracle=with_(_boot_sql(100, "1.0e0/1.0e0", 5)) + " select zone, draw, boot_mean from bm")
+@query("day_bootstrap_means", oracle=with_(_boot_sql(1.0, 5)) + " select zone, draw, boot_mean from bm")
 def day_boot(spark, sf):
-    return studies.bootstrap_means(positioned(spark, sf), ["zone"], "i", "net", 100, 1.0, 5)
+    return studies.bootstrap_means(positioned(spark, sf), ["zone"], "i", "net", DRAWS, 1.0, 5)
 
 
 @query(
