@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,28 +114,32 @@ def border_leg(spread: Column) -> Column:
     return F.when(spread >= both, LOAD).when(spread <= -both, SUPPLY).otherwise(NONE)
 
 
+def _positive(values: Column, earned: Callable[[Column], Column]) -> Column:
+    return F.transform(values, lambda v: earned(v) > 0)
+
+
 def limit_bid(levels: Column, cond: Column) -> Column:
-    """(side, limit) from the predicted gap at a grid of day-ahead levels.
+    """(side, limit) of one bid from the gap predicted at each of a grid of day-ahead levels.
 
-    Supply bids the lowest level from which it is profitable at every higher level; load the highest
-    level up to which it is profitable at every lower one.  The larger predicted profit at the middle
-    level decides, supply on ties.
+    A side can bid if its profit after costs is positive from its limit on outwards: for supply at all levels from the limit up
+    (the lowest such limit), for load at all levels down from it (the highest).  If both can, the profit at the middle level
+    decides, and supply wins a tie.  A grid with a missing level or prediction gives no bid.
     """
-    pairs = F.array_sort(F.arrays_zip(levels.alias("lv"), cond.alias("cd")))
-    lv = F.transform(pairs, lambda x: x["lv"])
-    cd = F.transform(pairs, lambda x: x["cd"])
-    ps = F.transform(cd, lambda c: -c - F.col("supply_cost") > 0)
-    pl = F.transform(cd, lambda c: c - F.col("load_cost") > 0)
-    keep = lambda flags: F.filter(F.zip_with(lv, flags, lambda a, b: F.when(b, a)), lambda v: v.isNotNull())
-    s_lim = F.array_min(keep(trailing.all_above(lv, ps)))
-    l_lim = F.array_max(keep(trailing.all_below(lv, pl)))
-    mid = F.element_at(cd, (F.floor(F.size(cd) / 2) + 1).cast("int"))
-    es, el = -mid - F.col("supply_cost"), mid - F.col("load_cost")
-    whole = F.forall(lv, lambda v: v.isNotNull()) & F.forall(cd, lambda v: v.isNotNull())
-    side = (
-        F.when(~whole, NONE).when(s_lim.isNotNull() & (l_lim.isNull() | (es >= el)), SUPPLY).when(l_lim.isNotNull(), LOAD).otherwise(NONE)
-    )
-    return F.struct(side.alias("side"), F.when(side < 0, s_lim).when(side > 0, l_lim).alias("limit"))
+    grid = F.array_sort(F.arrays_zip(levels.alias("level"), cond.alias("gap")))
+    at, gap = F.transform(grid, lambda g: g["level"]), F.transform(grid, lambda g: g["gap"])
+    profit = {SUPPLY: lambda g: -g - F.col("supply_cost"), LOAD: lambda g: g - F.col("load_cost")}
+    open_ended = {SUPPLY: trailing.all_above, LOAD: trailing.all_below}
+    outermost = {SUPPLY: F.array_min, LOAD: F.array_max}
+    limit, central = {}, {}
+    for side, earned in profit.items():
+        pays = open_ended[side](at, _positive(gap, earned))
+        allowed = F.filter(F.arrays_zip(at.alias("level"), pays.alias("pays")), lambda z: z["pays"])
+        limit[side] = outermost[side](F.transform(allowed, lambda z: z["level"]))
+        central[side] = earned(F.element_at(gap, (F.floor(F.size(gap) / 2) + 1).cast("int")))
+    known = F.forall(grid, lambda g: g["level"].isNotNull() & g["gap"].isNotNull())
+    supply_first = limit[LOAD].isNull() | (central[SUPPLY] >= central[LOAD])
+    chosen = F.when(~known, NONE).when(limit[SUPPLY].isNotNull() & supply_first, SUPPLY).when(limit[LOAD].isNotNull(), LOAD).otherwise(NONE)
+    return F.struct(chosen.alias("side"), F.when(chosen == SUPPLY, limit[SUPPLY]).when(chosen == LOAD, limit[LOAD]).alias("limit"))
 
 
 def cleared(side: Column, limit: Column, price: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.exact import exact_avg
 from gridtide.operators.dedup import latest_wins
-from gridtide.session import checkpoint_dir, exists, is_folder, working_dir
+from gridtide.operators.joins import null_safe
+from gridtide.session import exists, is_folder, working_dir
 
 
 def read_files(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -60,13 +61,16 @@ def outage_sessions(readings: DataFrame, keys: Sequence[str], ts: str, gap: str,
 
 
 def late_settlements(versions: DataFrame, key: str, ts: str, settled: str, live: str, max_days: int) -> DataFrame:
-    """Running newest settled and newest live hour per key; rows where the lag exceeds the promise
-    (update mode: an alarm is re-issued when it changes)."""
+    """Running newest settled and newest live hour per key, their lag in days and whether it is late.
+
+    Update mode: a key comes again with every change, so an alarm (``late``) that a later settlement ends is withdrawn; the
+    newest row of a key counts.  A key that has nothing settled yet has no lag and is not late.
+    """
     x = versions.groupBy(key).agg(
         F.max(F.when(F.col(settled), F.col(ts))).alias("settled_hi"), F.max(F.when(F.col(live), F.col(ts))).alias("live_hi")
     )
     lag = F.datediff("live_hi", "settled_hi")
-    return x.withColumn("lag_days", lag).where(lag > max_days)
+    return x.withColumn("lag_days", lag).withColumn("late", F.coalesce(lag > max_days, F.lit(False)))
 
 
 # ---------------------------------------------------------------- sinks
@@ -96,23 +100,35 @@ def run_each_batch(stream: DataFrame, name: str, sink: Callable[[DataFrame, int,
 
 
 def upsert_latest(keys: Sequence[str], order: Sequence[str], partition: str) -> Callable[[DataFrame, int, str], None]:
-    """A foreachBatch sink: replace the partitions a batch touches by old and new rows with the latest
-    fetch of each key.  The same batch may be replayed without changing the result."""
+    """A foreachBatch sink that keeps the latest fetch of each key in a table of versioned partitions.
+
+    A batch writes the partitions it touches, old and new rows merged, into a folder of its own and then, last, a commit of its
+    number.  Readers (``upserted``) see committed versions only, so a crash in between leaves the table as it was, and a
+    replayed batch writes its own folder anew and reads only batches before it.
+    """
 
-    def sink(batch: DataFrame, _i: int, path: str) -> None:
+    def sink(batch: DataFrame, i: int, path: str) -> None:
         spark = batch.sparkSession
-        touched = batch.select(partition).distinct()
         both = batch
-        if exists(spark, path):
-            both = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi").unionByName(batch)
-        checkpoint_dir(spark)
-        # the new content is materialised before the partitions it was read from are replaced
-        merged = latest_wins(both, keys, order).checkpoint()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        if exists(spark, f"{path}/commits"):
+            touched = batch.select(partition).distinct()
+            both = upserted(spark, path, partition, before=i).select(*batch.columns).join(touched, partition, "left_semi").unionByName(batch)
+        latest_wins(both, keys, order).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/versions/batch={i}")
+        spark.range(1).select(F.lit(i).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/of={i}")
 
     return sink
 
 
+def upserted(spark: SparkSession, path: str, partition: str, before: int | None = None) -> DataFrame:
+    """The rows of a versioned table: of every partition the newest committed version (of the batches ``before`` one)."""
+    commits = spark.read.parquet(f"{path}/commits").select(F.col("batch").cast("int").alias("batch"))
+    if before is not None:
+        commits = commits.where(F.col("batch") < before)
+    versions = spark.read.parquet(f"{path}/versions").join(commits, "batch", "left_semi")
+    newest = versions.groupBy(partition).agg(F.max("batch").alias("batch"))
+    return null_safe(versions, newest, [partition, "batch"]).drop("batch")
+
+
 def revision_log(keys: Sequence[str], night: str, value: str, order: Sequence[str], eps: float) -> Callable[[DataFrame, int, str], None]:
     """A foreachBatch sink that logs what each night's delivery changed against the night before it.
 

@@ -33,7 +33,7 @@ def live_latest(spark, sf):
     s = stream(spark, sf, "lineitem").withColumn("block", F.floor(F.col("l_orderkey") / 5000).cast("int"))
     order = [c.split()[0] for c in _REST.split(", ")]
     path = live.run_each_batch(s, "live_latest", live.upsert_latest(["l_orderkey", "l_linenumber"], order, "block"))
-    return spark.read.schema(s.schema).parquet(path)
+    return live.upserted(spark, path, "block").select(*s.columns)
 
 
 @query("live_without_repeats", oracle="select user_id, event_type, count(*) as n from (select distinct user_id, event_type, date_trunc('day', ts) as d from events) group by 1, 2")
@@ -59,14 +59,14 @@ def live_revisions(spark, sf):
 
 @query(
     "live_late_settlement",
-    oracle="""with x as (select l_returnflag, max(l_shipdate) filter (where l_linestatus = 'F') as settled_hi, max(l_shipdate) filter (where l_linestatus = 'O') as live_hi from lineitem group by 1)
-      select *, date_diff('day', settled_hi, live_hi)::int as lag_days from x where date_diff('day', settled_hi, live_hi) > -1000""",
+    oracle="""with x as (select l_suppkey, max(l_shipdate) filter (where l_linestatus = 'F') as settled_hi, max(l_shipdate) filter (where l_linestatus = 'O') as live_hi from lineitem group by 1)
+      select *, date_diff('day', settled_hi, live_hi)::int as lag_days from x where date_diff('day', settled_hi, live_hi) > 16""",
 )
 def live_late(spark, sf):
     s = stream(spark, sf, "lineitem").select(
-        "l_returnflag", "l_shipdate", (F.col("l_linestatus") == "F").alias("s"), (F.col("l_linestatus") == "O").alias("r")
+        "l_suppkey", "l_shipdate", (F.col("l_linestatus") == "F").alias("s"), (F.col("l_linestatus") == "O").alias("r")
     )
-    x = live.late_settlements(s, "l_returnflag", "l_shipdate", "s", "r", -1000)
+    x = live.late_settlements(s, "l_suppkey", "l_shipdate", "s", "r", 16)
 
     def sink(batch, i, path):
         # one row per key and batch: each batch is its own partition, so a replay replaces it
@@ -75,7 +75,7 @@ def live_late(spark, sf):
     path = live.run_each_batch(x, "live_late", sink)
     from gridtide.operators.dedup import latest_wins
 
-    return latest_wins(spark.read.parquet(path), ["l_returnflag"], ["batch"]).drop("batch")
+    return latest_wins(spark.read.parquet(path), ["l_suppkey"], ["batch"]).where("late").drop("batch", "late")
 
 
 @query(

@@ -83,9 +83,45 @@ def test_stream_upsert_is_replayable(spark, tmp_path):
     cols = "k int, f int, v string, part int"
     one = spark.createDataFrame([(1, 1, "old", 0), (2, 1, "keep", 1)], cols)
     two = spark.createDataFrame([(1, 2, "new", 0)], cols)
-    for b in (one, two, two):
-        sink(b, 0, path)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "keep")]
+    for i, b in ((0, one), (1, two), (1, two)):
+        sink(b, i, path)
+    assert sorted((r.k, r.v) for r in live.upserted(spark, path, "part").collect()) == [(1, "new"), (2, "keep")]
+    sink(one, 0, path)  # a late replay of the first batch changes nothing behind it
+    assert sorted((r.k, r.v) for r in live.upserted(spark, path, "part").collect()) == [(1, "new"), (2, "keep")]
+
+
+def test_stream_upsert_that_stops_before_its_commit_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    sink = live.upsert_latest(["k"], ["f"], "part")
+    path = str(tmp_path / "t")
+    cols = "k int, f int, v string, part int"
+    sink(spark.createDataFrame([(1, 1, "old", 0), (2, 1, "keep", 1)], cols), 0, path)
+    two = spark.createDataFrame([(1, 2, "new", 0), (3, 2, "more", 2)], cols)
+
+    class Stopped(Exception):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    with monkeypatch.context() as m, pytest.raises(Stopped):
+        m.setattr(type(spark), "range", stop)  # the commit is what comes after the version is written
+        sink(two, 1, path)
+    assert (tmp_path / "t" / "versions" / "batch=1").exists()
+    assert sorted((r.k, r.v) for r in live.upserted(spark, path, "part").collect()) == [(1, "old"), (2, "keep")]
+    sink(two, 1, path)
+    assert sorted((r.k, r.v) for r in live.upserted(spark, path, "part").collect()) == [(1, "new"), (2, "keep"), (3, "more")]
+
+
+def test_a_late_settlement_alarm_is_raised_and_withdrawn(spark):
+    import datetime as dt
+
+    d = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [("a", d(0), True, False), ("a", d(20), False, True), ("b", d(0), True, False), ("b", d(16), False, True), ("c", d(30), False, True)]
+    schema = "k string, t timestamp_ntz, s boolean, r boolean"
+    got = {r.k: (r.lag_days, r.late) for r in live.late_settlements(spark.createDataFrame(rows, schema), "k", "t", "s", "r", 16).collect()}
+    assert got == {"a": (20, True), "b": (16, False), "c": (None, False)}
+    later = rows + [("a", d(10), True, False)]
+    assert not live.late_settlements(spark.createDataFrame(later, schema), "k", "t", "s", "r", 16).where("late").count()
 
 
 def test_revision_log_across_batches(spark, tmp_path):
