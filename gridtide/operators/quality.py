@@ -140,18 +140,10 @@ def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.unpivot([], list(rules), "rule", "violations").where(F.col("violations") > 0)
 
 
-def excluded_by_publication(frames: dict[str, tuple[DataFrame, str]], decision: str) -> DataFrame:
-    """Per source: candidate rows kept and rows the publication filter removes."""
-    parts = []
-    for name, (df, pub) in frames.items():
-        ok = F.col(pub).isNotNull() & (F.col(pub) <= F.col(decision))
-        parts.append(
-            df.groupBy(F.lit(name).alias("source")).agg(F.count_if(ok).alias("kept"), (F.count(F.lit(1)) - F.count_if(ok)).alias("excluded"))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def excluded_by_publication(rows: DataFrame, source: str, published: str, decision: str) -> DataFrame:
+    """Per source: candidate rows kept and rows the publication filter removes (a row without a stamp is removed)."""
+    ok = F.coalesce(F.col(published) <= F.col(decision), F.lit(False))
+    return rows.groupBy(F.col(source).alias("source")).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("excluded"))
 
 
 def identity_share(df: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:

@@ -139,7 +139,7 @@ def stg_realtime(raw: DataFrame, order: Sequence[str] = (FETCH,)) -> DataFrame:
 
 
 def prices(elspot: DataFrame, dayahead: DataFrame, fx: DataFrame, seam: Column) -> DataFrame:
-    """All instruments in one schema at native resolution, power stitched at the seam."""
+    """All instruments in one schema at native resolution with the stamp of their fetch, power stitched at the seam."""
 
     def power(df: DataFrame, source: str) -> DataFrame:
         return df.select(
@@ -150,6 +150,7 @@ def prices(elspot: DataFrame, dayahead: DataFrame, fx: DataFrame, seam: Column)
             F.col("price_eur").alias("value"),
             F.lit("EUR/MWh").alias("unit"),
             F.lit(source).alias("source"),
+            FETCH,
         )
 
     stitched = grid.stitch(power(elspot, "Elspotprices"), power(dayahead, "DayAheadPrices"), "interval_start_utc", seam)
@@ -161,6 +162,7 @@ def prices(elspot: DataFrame, dayahead: DataFrame, fx: DataFrame, seam: Column)
         F.col("rate").alias("value"),
         F.concat("currency", F.lit(" per "), "denominator").alias("unit"),
         F.lit("ECB").alias("source"),
+        FETCH,
     )
     return stitched.unionByName(rates)
 

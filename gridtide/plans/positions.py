@@ -19,12 +19,15 @@ DAYS_PER_YEAR = 365.0
 def with_costs(df: DataFrame, fees: DataFrame, day: str, override: float | None = None) -> DataFrame:
     """Adds load_cost and supply_cost by delivery year; a stress override replaces both.
 
-    The fee table has one row per calendar year, hence the broadcast.
+    A year without a fee is an error, as its trades would cost nothing or vanish from sums unseen.  The fee table has one row
+    per calendar year, hence the broadcast.
     """
     if override is not None:
         return df.withColumn("load_cost", F.lit(float(override))).withColumn("supply_cost", F.lit(float(override)))
     f = fees.select(F.col("year").alias("_fy"), "load_cost", "supply_cost")
-    return df.withColumn("_fy", F.year(day)).join(F.broadcast(f), "_fy", "left").drop("_fy")
+    j = df.withColumn("_fy", F.year(day)).join(F.broadcast(f), "_fy", "left")
+    missing = F.raise_error(F.concat(F.lit("no fee for the year "), F.coalesce(F.col("_fy").cast("string"), F.lit("(no day)")))).cast("double")
+    return j.withColumns({c: F.coalesce(c, missing) for c in ("load_cost", "supply_cost")}).drop("_fy")
 
 
 def side_cost(pos: Column) -> Column:

@@ -97,12 +97,13 @@ def choose_setting(nets: DataFrame, day: str, keys: Sequence[str] = (), quarters
     return g.select(*keys, "period", pick["setting_index"].alias("setting_index"), pick["setting"].alias("setting"), "best_net", (F.col("_n") > 0).alias("from_data"))
 
 
-def apply_choice(nets: DataFrame, choice: DataFrame, day: str, shift: int = 0, size: int | None = None) -> DataFrame:
-    """Daily net of the chosen setting, or of its neighbour ``shift`` places along the grid (kept inside it)."""
-    c = choice.select("period", "setting_index").withColumn(
-        "setting_index", F.greatest(F.lit(0), F.least(F.col("setting_index") + shift, F.lit((size or 10**6) - 1)))
-    )
-    return nets.withColumn("period", F.trunc(day, "quarter")).join(c, ["period", "setting_index"]).select("period", day, "setting_index", "net")
+def apply_choice(nets: DataFrame, choice: DataFrame, day: str, size: int, shifts: Sequence[int] = (0,)) -> DataFrame:
+    """Daily net of the chosen setting and of its neighbours ``shifts`` places along a grid of ``size`` settings (kept inside
+    it), all from one join: (period, shift, day, setting_index, net)."""
+    moved = F.greatest(F.lit(0), F.least(F.col("setting_index") + F.col("shift"), F.lit(size - 1)))
+    c = choice.select("period", "setting_index", F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift")).withColumn("setting_index", moved)
+    placed = nets.withColumn("period", F.trunc(day, "quarter"))
+    return placed.join(c, ["period", "setting_index"]).select("period", "shift", day, "setting_index", "net")
 
 
 def choose_pairs(pairs_daily: DataFrame, day: str, pair: str, k: int = 5, quarters: int = 4) -> DataFrame:

@@ -143,6 +143,34 @@ def revision_rule(df: DataFrame, by: str, revision: str, gap: str, train: Column
     return rule_summary(t, [by], "pnl")
 
 
+def daily_spread_rule(
+    hours: DataFrame, area: str, ts: str, price: str, share: str, pair: tuple[str, str], cost: float = 0.6, q: float = 0.75
+) -> DataFrame:
+    """One row: short the daily price spread of two areas on days when their forecast shares differ by more than the ``q``
+    quantile of all days, and against that difference.
+
+    Hours count where both areas have a price and a share.  The quantile is over one row per calendar day.
+    """
+    sides = {name: F.col(area) == a for name, a in zip("ab", pair, strict=True)}
+    known = hours.where(F.col(area).isin(*pair) & F.col(price).isNotNull() & F.col(share).isNotNull())
+    both = known.groupBy(ts).agg(*[F.max(F.when(on, F.col(c))).alias(f"_{n}_{k}") for k, on in sides.items() for n, c in (("price", price), ("share", share))])
+    both = both.where(F.col("_price_a").isNotNull() & F.col("_price_b").isNotNull())
+    days = both.groupBy(F.col(ts).cast("date").alias("_day")).agg(
+        (exact_avg("_share_a") - exact_avg("_share_b")).alias("_share"), (exact_avg("_price_a") - exact_avg("_price_b")).alias("_spread")
+    )
+    cut = days.agg(F.percentile(F.abs("_share"), q).alias("threshold"))  # one row
+    traded = days.join(F.broadcast(cut)).withColumn(
+        "_pnl", F.when(F.abs("_share") > F.col("threshold"), -F.signum("_share") * F.col("_spread") - F.lit(cost))
+    )
+    n = F.count("_pnl")
+    mean, se = exact_avg("_pnl"), F.stddev_samp("_pnl") / F.sqrt(n.cast("double"))
+    word = F.when(n == 0, "no trades").when(F.abs(mean) <= se, "null").when(mean > 0, "positive").otherwise("negative")
+    return traded.agg(
+        F.max("threshold").alias("threshold"), n.alias("days_traded"), F.count(F.lit(1)).alias("days_total"), mean.alias("mean_pnl"), se.alias("standard_error"),
+        word.alias("verdict"),
+    )
+
+
 def cost_by_horizon(df: DataFrame, by: Sequence[str], actual: str, gap: str, horizons: dict[str, str], share: float) -> DataFrame:
     """-(A-N)·gap per produced unit for each forecast horizon."""
     a = F.lit(share) * F.col(actual)

@@ -203,11 +203,7 @@ def check_no_lookahead(spark, sf):
         count(*) - count(*) filter (where published_at <= decision) as excluded from stamped group by 1""",
 )
 def excluded(spark, sf):
-    s = stamped(spark, sf)
-    ok = F.col("published_at").isNotNull() & (F.col("published_at") <= F.col("decision"))
-    return s.groupBy(F.col("area").alias("source")).agg(
-        F.count_if(ok).alias("kept"), (F.count(F.lit(1)) - F.count_if(ok)).alias("excluded")
-    )
+    return quality.excluded_by_publication(stamped(spark, sf), "area", "published_at", "decision")
 
 
 @query(

@@ -12,6 +12,7 @@ from gridtide.workload.positions import PAIRS, RULES, ledger_sql, pair_rows, rul
 from gridtide.workload.registry import query
 
 CUTS = (-0.5, 0.0, 0.5, 1.0)
+DRAWS = 1_000
 DAY = "delivery_date"
 
 
@@ -80,13 +81,8 @@ def choose(spark, sf):
 )
 def walk(spark, sf):
     n = nets(spark, sf)
-    c = sel.choose_setting(n, DAY, default_index=1)
-    # all three walks come from one join: the row's distance to the chosen index tells which walks it serves
-    c = c.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(
-        "setting_index", F.greatest(F.lit(0), F.least(F.col("setting_index") + F.col("shift"), F.lit(len(CUTS) - 1)))
-    ).select("period", "setting_index", "shift")
-    j = n.withColumn("period", F.trunc(DAY, "quarter")).join(c, ["period", "setting_index"])
-    return j.groupBy("shift", F.year(DAY).alias("year")).agg(exact_sum("net").alias("net"))
+    walked = sel.apply_choice(n, sel.choose_setting(n, DAY, default_index=1), DAY, len(CUTS), (-1, 0, 1))
+    return walked.groupBy("shift", F.year(DAY).alias("year")).agg(exact_sum("net").alias("net"))
 
 
 @query(
@@ -211,12 +207,12 @@ def _deal_sql(block: str, draws: int, seed: int) -> str:
 
 @query(
     "permuted_days_placebo",
-    oracle=with_(*RULES, DAYS, _deal_sql("year(delivery_date)", 20, 3)) + f"""
+    oracle=with_(*RULES, DAYS, _deal_sql("year(delivery_date)", DRAWS, 3)) + f"""
       select draw::int as draw, {xsum('case when a.score > 0 then 0.0e0 else b.net end')} as total from deal join dsc a on a.delivery_date = source_day join dsc b on b.delivery_date = target_day group by 1""",
 )
 def permuted(spark, sf):
     d = day_scores(spark, sf)
-    return sel.permuted_nets(d, d, DAY, "score", "net", 0.0, 20, 3)
+    return sel.permuted_nets(d, d, DAY, "score", "net", 0.0, DRAWS, 3)
 
 
 RANDOM = f"""rr as (select *, {"case when s28 <= -supply_cost then -1.0e0 when s28 >= load_cost then 1.0e0 else 0.0e0 end"} as pos from rp),
@@ -230,10 +226,10 @@ def random_rows(spark, sf):
 
 @query(
     "random_days_placebo",
-    oracle=with_(*RULES, DAYS, _deal_sql("date_trunc('month', delivery_date)", 30, 8), RANDOM) + f""" select draw::int as draw, coalesce({xsum('value')}, 0.0e0) as total from deal left join mm using (source_day, target_day) group by 1""",
+    oracle=with_(*RULES, DAYS, _deal_sql("date_trunc('month', delivery_date)", DRAWS, 8), RANDOM) + f""" select draw::int as draw, coalesce({xsum('value')}, 0.0e0) as total from deal left join mm using (source_day, target_day) group by 1""",
 )
 def random_days(spark, sf):
-    return sel.random_days_placebo(random_rows(spark, sf), DAY, ["zone", "slot"], "pos", "gap", 30, 8)
+    return sel.random_days_placebo(random_rows(spark, sf), DAY, ["zone", "slot"], "pos", "gap", DRAWS, 8)
 
 
 @query(
@@ -250,7 +246,7 @@ def random_identity(spark, sf):
 
 @query(
     "fragility_verdict",
-    oracle=with_(*RULES, DAYS, _deal_sql("year(delivery_date)", 20, 3)) + f""", dr as (select draw, {xsum('case when a.score > 0 then 0.0e0 else b.net end')} as total from deal join dsc a on a.delivery_date = source_day join dsc b on b.delivery_date = target_day group by 1),
+    oracle=with_(*RULES, DAYS, _deal_sql("year(delivery_date)", DRAWS, 3)) + f""", dr as (select draw, {xsum('case when a.score > 0 then 0.0e0 else b.net end')} as total from deal join dsc a on a.delivery_date = source_day join dsc b on b.delivery_date = target_day group by 1),
       real as (select {xsum('case when score > 0 then 0.0e0 else net end')} as real_total, {xsum('case when score > -0.2 then 0.0e0 else net end')} as lower_total, {xsum('case when score > 0.2 then 0.0e0 else net end')} as higher_total from dsc),
       y as (select year(delivery_date) as year, case when score > 0 then 0.0e0 else net end as n from dsc), b as (select year, sum(n) as s from (select *, row_number() over (partition by year order by n desc) as r from y) where r <= 10 group by 1),
       sm as (select avg(case when total > real_total then 1.0e0 else 0.0e0 end) as share_beats_rule from dr, real)
@@ -266,7 +262,7 @@ def fragility(spark, sf):
     real = d.agg(exact_sum(taken(0.0)).alias("real_total"), exact_sum(taken(-0.2)).alias("lower_total"), exact_sum(taken(0.2)).alias("higher_total"))
     y = d.select(F.year(DAY).alias("year"), taken(0.0).alias("n"))
     best = ranking.trimmed_sums(y, ["year"], "n", [10]).agg(F.max(F.col("total") - F.col("without_best_10")).alias("best_ten_days"))
-    share = sel.placebo_summary(sel.permuted_nets(d, d, DAY, "score", "net", 0.0, 20, 3), real.select("real_total")).select("share_beats_rule")
+    share = sel.placebo_summary(sel.permuted_nets(d, d, DAY, "score", "net", 0.0, DRAWS, 3), real.select("real_total")).select("share_beats_rule")
     x = real.join(best).join(share)  # one row each
     reasons = sel.fragility(
         F.col("real_total"), [F.col("lower_total"), F.col("higher_total")], [F.col("real_total") - F.col("best_ten_days")], F.col("share_beats_rule")

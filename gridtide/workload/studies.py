@@ -10,7 +10,7 @@ from gridtide.functions import timecols as tc
 from gridtide.functions.exact import exact_avg, exact_sum, rounded
 from gridtide.plans import studies
 from gridtide.workload.aggregating import _DAY_NET, day_net
-from gridtide.workload.bindings import FEED, PANEL, ZONE, feed, load, panel, with_, xavg, xmean, xsum, xunits
+from gridtide.workload.bindings import FEED, PANEL, ZONE, Warehouse, feed, load, panel, warehouse_sql, with_, xavg, xsum, xunits
 from gridtide.workload.registry import query
 
 # hours with a price, a forecast, an outcome and a gap
@@ -215,6 +215,21 @@ def calibration(spark, sf):
     return studies.calibration_deciles(u, ["l_returnflag"], "pred", "real", "tie")
 
 
+@query(
+    "daily_spread_rule",
+    oracle=warehouse_sql(f"""
+, pair as (select hour_utc, any_value(price_eur) filter (area = 'click') as price_a, any_value(price_eur) filter (area = 'view') as price_b, any_value(wind_fc_share) filter (area = 'click') as share_a,
+    any_value(wind_fc_share) filter (area = 'view') as share_b from forecast_hourly where price_eur is not null and wind_fc_share is not null group by hour_utc having price_a is not null and price_b is not null),
+days as (select hour_utc::date as day, {xavg('share_a')} - {xavg('share_b')} as ds, {xavg('price_a')} - {xavg('price_b')} as spread from pair group by 1),
+ruled as (select case when abs(ds) > cut then -sign(ds) * spread - 0.6e0 end as pnl, cut from days, (select quantile_cont(abs(ds), 0.75) as cut from days))
+select round(max(cut), 9) as threshold, count(pnl) as days_traded, count(*) as days_total, {xavg('pnl')} as mean_pnl, round(stddev_samp(pnl) / sqrt(count(pnl)), 8) as standard_error,
+  case when count(pnl) = 0 then 'no trades' when abs({xavg('pnl')}) <= stddev_samp(pnl) / sqrt(count(pnl)) then 'null' when {xavg('pnl')} > 0 then 'positive' else 'negative' end as verdict from ruled"""),
+)
+def spread_rule(spark, sf):
+    x = studies.daily_spread_rule(Warehouse(spark, sf).forecast_hourly, "area", "hour_utc", "price_eur", "wind_fc_share", ("click", "view"))
+    return x.withColumn("threshold", F.round("threshold", 9)).withColumn("standard_error", F.round("standard_error", 8))
+
+
 # ---------------------------------------------------------------- resampling
 
 DRAWS = 10_000

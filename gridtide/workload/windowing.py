@@ -52,8 +52,8 @@ def yesterday(spark, sf):
         select *, ntile(10) over (partition by area order by v, hour_utc)::int as bucket from h) group by 1, 2""",
 )
 def ntile_buckets(spark, sf):
-    w = Window.partitionBy("area").orderBy("v", "hour_utc")
-    return hours_(spark, sf).withColumn("bucket", F.ntile(10).over(w)).groupBy("area", "bucket").agg(
+    placed = ranking.positions(hours_(spark, sf).where("v is not null").drop("n"), ["area"], "v", "hour_utc")
+    return placed.withColumn("bucket", ranking.ntile_of_position(10)).groupBy("area", "bucket").agg(
         F.count(F.lit(1)).alias("hours"), F.min("v").alias("lo"), F.max("v").alias("hi"), exact_avg("v").alias("mean_v")
     )
 

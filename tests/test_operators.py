@@ -291,3 +291,45 @@ def test_lookahead_noise_does_not_move_filtered_features(spark):
     leaky = lambda x: x.groupBy("k").agg(F.sum("v").alias("s"))
     assert features.perturbation_differences(good, df, "p", cut, {"v": F.lit(99.0)}).count() == 0
     assert features.perturbation_differences(leaky, df, "p", cut, {"v": F.lit(99.0)}).count() == 2
+
+
+def test_a_traded_year_without_a_fee_is_an_error(spark):
+    from gridtide.plans import positions
+
+    fees = spark.createDataFrame([(2024, 0.5, 0.7)], "year int, load_cost double, supply_cost double")
+    rows = spark.createDataFrame([(dt.date(2024, 5, 1),), (dt.date(2025, 5, 1),)], "d date")
+    assert positions.with_costs(rows.where("d < '2025-01-01'"), fees, "d").first().load_cost == 0.5
+    with pytest.raises(Exception, match="no fee for the year 2025"):
+        positions.with_costs(rows, fees, "d").collect()
+
+
+def test_resampled_means_follow_their_blocks():
+    """Means of a series with missing days, block by block; the mean block is about as long as asked for."""
+    import math
+
+    import numpy as np
+
+    from gridtide.plans import studies
+
+    rng = np.random.default_rng(2)
+    n, draws = 101, np.arange(40)
+    position = np.sort(rng.choice(n, 90, replace=False))
+    value = np.floor(rng.normal(size=90) * studies.GRID) / studies.GRID
+    for block in (1.0, 7.0):
+        got = studies.resampled_means(position, value, n, draws, block, 5)
+        many = math.ceil(n * (2.0 / block)) + 64
+        k = np.arange(many)
+        start = np.floor(studies._drawn(5, 2, draws, k) * n).astype(int)
+        length = np.floor(np.log(1 - studies._drawn(5, 1, draws, k)) / math.log(1 - 1 / block)).astype(int) + 1 if block > 1 else np.ones((40, many), int)
+        own = dict(zip(position.tolist(), value.tolist(), strict=True))
+        for d in range(40):
+            days: list[int] = []
+            for j in range(many):
+                days += [(int(start[d, j]) + i) % n for i in range(int(length[d, j]))]
+                if len(days) >= n:
+                    break
+            held = [own[x] for x in days[:n] if x in own]
+            assert got[d] == sum(held) / len(held)
+        assert abs(length.mean() - block) < 0.25 * block
+    u = studies._drawn(7, 1, np.arange(300), np.arange(300)).ravel()
+    assert len(np.unique(u)) > 0.99 * len(u) and abs(u.mean() - 0.5) < 0.005 and np.histogram(u, 10, (0, 1))[0].min() > 0.09 * len(u)

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
