@@ -22,6 +22,12 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
     return F.when(_col(den) > 0, _col(num) / _col(den))
 
 
+def ieee_divide(num: Column | str, den: Column | str) -> Column:
+    """num/den of doubles by IEEE rules: infinite for a zero denominator (its sign counts), NaN for zero by zero."""
+    num, den = _col(num), _col(den)
+    return F.when(den == 0, num * F.pow(den, F.lit(-1.0))).otherwise(F.try_divide(num, den))
+
+
 def presence_count(*cols: Column | str) -> Column:
     return reduce(lambda a, b: a + b, [_col(c).isNotNull().cast("int") for c in cols])
 

@@ -333,3 +333,22 @@ def test_resampled_means_follow_their_blocks():
         assert abs(length.mean() - block) < 0.25 * block
     u = studies._drawn(7, 1, np.arange(300), np.arange(300)).ravel()
     assert len(np.unique(u)) > 0.99 * len(u) and abs(u.mean() - 0.5) < 0.005 and np.histogram(u, 10, (0, 1))[0].min() > 0.09 * len(u)
+
+
+def _days_without_loss(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(3)]
+    rows = [("wins", d, 2.0) for d in days] + [("idle", d, 0.0) for d in days] + [("mixed", d, p) for d, p in zip(days, (3.0, -2.0, 1.0))]
+    return spark.createDataFrame(rows, "strategy string, delivery_date date, pnl double")
+
+
+def test_sizing_without_a_losing_day_equals_its_sql(spark):
+    import duckdb
+
+    from gridtide.workload.positions import SIZING
+
+    d = _days_without_loss(spark)
+    got = positions.sizing(d, ["strategy"], "delivery_date", "pnl", 100.0).withColumn("sortino", F.round("sortino", 7))
+    daily = d.toPandas()  # noqa: F841 - named in the SQL
+    want = duckdb.sql(f"with {SIZING} select strategy, net, worst_drawdown, scale, sortino from sz order by 1").fetchall()
+    assert str([tuple(r) for r in got.orderBy("strategy").collect()]) == str(want)  # as text: NaN, and -0.0 apart from 0.0
+    assert [str(r[4]) for r in want] == ["nan", str(want[1][4]), "inf"]
