@@ -151,13 +151,31 @@ def ntile_of_position(tiles: int) -> Column:
     ).cast("int")
 
 
-def qcut_first(bins: int) -> Column:
+def qcut_first(bins: int, position: str | Column = "position", n: str = "n") -> Column:
     """0-based equal-count bin of a 1-based ``rank first``: right-closed linear quantile edges."""
-    n, i = F.col("n"), F.col("position")
+    n, i = F.col(n), F.col(position) if isinstance(position, str) else position
     # rank r = i + 1 lies in bin b when 1 + (n-1) b/bins < r <= 1 + (n-1)(b+1)/bins
     return F.greatest(F.ceil(i * F.lit(float(bins)) / F.greatest(n - 1, F.lit(1))) - 1, F.lit(0)).cast("int")
 
 
+def bin_parts(df: DataFrame, keys: Sequence[str], value: str, tie: str, bins: int, extra: dict[str, Column]) -> DataFrame:
+    """Parts of the equal-count bins of every group by (value, tie): ``bin``, ``ties`` rows and the ``extra`` aggregates.
+
+    A value whose rows all lie in one bin is one part. Only the rows of values that an edge of the bins splits, at most
+    ``bins - 1`` values a group, are ranked by ``tie`` (a number; nulls come last).
+    """
+    keys = list(keys)
+    rv = ranked_values(df, keys, value, {**extra, "_no_tie": F.count_if(F.col(tie).isNull())})
+    rv = rv.withColumn("bin", qcut_first(bins, "below")).withColumn("_last", qcut_first(bins, F.col("below") + F.col("ties") - 1))
+    split = rv.where("bin <> _last").select(*keys, value, F.col("below").alias("_from"), F.col("n").alias("_of"), (F.col("ties") - F.col("_no_tie")).alias("_tied"))
+    start = F.col("_from") + F.when(F.col(tie).isNull(), F.col("_tied")).otherwise(F.lit(0))
+    rows = null_safe(df, split, [*keys, value]).withColumn("_from", start).withColumn("_tie", F.coalesce(tie, F.lit(0).cast(df.schema[tie].dataType)))
+    ranked = ranked_values(rows, [*keys, value, "_from", "_of"], "_tie", extra)
+    parts = ranked.withColumn("bin", qcut_first(bins, F.col("_from") + F.col("below"), "_of"))
+    cols = [*keys, "bin", "ties", *extra]
+    return rv.where("bin = _last").select(*cols).unionByName(parts.select(*cols))
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation (ties averaged) of the complete pairs per group."""
     keys = list(keys)

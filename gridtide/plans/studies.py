@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import timecols as tc
-from gridtide.functions.exact import exact_avg, exact_sum, fixed, mean_of
+from gridtide.functions.exact import exact_avg, exact_sum, fixed, mean_of, mean_of_parts, mean_parts
 from gridtide.operators import joins, ranking
 
 # ---------------------------------------------------------------- regression
@@ -282,9 +282,10 @@ def reweighted(p: Column, weight: float) -> Column:
 
 def calibration_deciles(df: DataFrame, by: Sequence[str], pred: str, real: str, tie: str, bins: int = 10) -> DataFrame:
     """Equal-count bins of the prediction: mean prediction, mean and count of the outcome."""
-    pos = ranking.positions(df.where(F.col(pred).isNotNull() & F.col(real).isNotNull()), by, pred, tie)
-    return pos.groupBy(*by, ranking.qcut_first(bins).alias("bin")).agg(
-        exact_avg(pred).alias("pred_mean"), exact_avg(real).alias("real_mean"), F.count(F.lit(1)).alias("n")
+    known = df.where(F.col(pred).isNotNull() & F.col(real).isNotNull())
+    parts = ranking.bin_parts(known, by, pred, tie, bins, mean_parts(pred, "_pred") | mean_parts(real, "_real"))
+    return parts.groupBy(*by, "bin").agg(
+        mean_of_parts("_pred").alias("pred_mean"), mean_of_parts("_real").alias("real_mean"), F.sum("ties").alias("n")
     )
 
 

@@ -211,7 +211,10 @@ def calibration(spark, sf):
         "l_returnflag", F.round(F.col("l_quantity") + F.col("l_discount") * 7, 4).alias("pred"),
         (F.col("l_orderkey") * 1000 + F.col("l_linenumber").cast("bigint") * 100000000 + F.col("l_partkey") % 1000).alias("tie"), (F.col("l_extendedprice") / 1000.0).alias("real"),
     )
-    u = li.groupBy("l_returnflag", "pred", "tie").agg(F.max("real").alias("real"))
+    # dealt in parts of some 500,000 rows, so that what a task holds does not grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // 500_000 + 1)
+    dealt = li.repartition(parts, "l_returnflag", "pred", "tie")
+    u = dealt.groupBy("l_returnflag", "pred", "tie").agg(F.max("real").alias("real"))
     return studies.calibration_deciles(u, ["l_returnflag"], "pred", "real", "tie")
 
 

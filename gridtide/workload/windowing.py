@@ -82,10 +82,9 @@ def deciles_by_rank(spark, sf):
 )
 def equal_count_bins(spark, sf):
     o = load(spark, sf, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey")
-    p = ranking.positions(o, ["o_orderstatus"], "o_totalprice", "o_orderkey")
-    return p.groupBy("o_orderstatus", ranking.qcut_first(10).alias("bin")).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")
-    )
+    ends = {"lo": F.min("o_totalprice"), "hi": F.max("o_totalprice")}
+    p = ranking.bin_parts(o, ["o_orderstatus"], "o_totalprice", "o_orderkey", 10, ends)
+    return p.groupBy("o_orderstatus", "bin").agg(F.sum("ties").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 @query(

@@ -366,3 +366,17 @@ def test_books_without_a_drawdown_equal_their_sql(spark):
     want = duckdb.sql(q).fetchall()
     assert str([tuple(r) for r in got.orderBy("strategy").collect()]) == str(want)
     assert [r[2] for r in want] == [float("-inf"), 25.0, float("-inf")]
+
+
+def test_calibration_bins_split_shared_values_and_keep_null_keys_and_ties(spark):
+    rng = random.Random(5)
+    rows = [(g, float(rng.randint(0, 3)), rng.random(), None if i == 7 else i) for g in ("a", None) for i in range(41)]
+    df = spark.createDataFrame(rows, "g string, p double, y double, tie int").repartition(5)
+    got = studies.calibration_deciles(df, ["g"], "p", "y", "tie").collect()
+    assert len(got) == 20 and sum(r.n for r in got) == 82
+    for g in ("a", None):
+        mine = sorted((r[1:] for r in rows if r[0] == g), key=lambda r: (r[0], r[2] is None, r[2]))
+        for r in got:
+            if r.g == g:
+                own = [x for i, x in enumerate(mine) if max(-(-i * 10 // 40) - 1, 0) == r.bin]
+                assert r.n == len(own) and np.isclose(r.real_mean, np.mean([x[1] for x in own])) and np.isclose(r.pred_mean, np.mean([x[0] for x in own]))
