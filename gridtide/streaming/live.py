@@ -102,18 +102,20 @@ def run_each_batch(stream: DataFrame, name: str, sink: Callable[[DataFrame, int,
 def upsert_latest(keys: Sequence[str], order: Sequence[str], partition: str) -> Callable[[DataFrame, int, str], None]:
     """A foreachBatch sink that keeps the latest fetch of each key in a table of versioned partitions.
 
-    A batch writes the partitions it touches, old and new rows merged, into a folder of its own and then, last, a commit of its
-    number.  Readers (``upserted``) see committed versions only, so a crash in between leaves the table as it was, and a
+    A batch writes the partitions it touches, old and new rows merged, into a folder of its own, then their names, and then, last,
+    a commit of its number.  Rows are dealt by partition before they are written (large ones over several tasks), so the number
+    of files grows with the partitions and not with tasks times partitions.  Readers (``upserted``) see committed versions only, so a crash in between leaves the table as it was, and a
     replayed batch writes its own folder anew and reads only batches before it.
     """
 
     def sink(batch: DataFrame, i: int, path: str) -> None:
         spark = batch.sparkSession
-        both = batch
+        both, touched = batch, batch.select(partition).distinct()
         if exists(spark, f"{path}/commits"):
-            touched = batch.select(partition).distinct()
             both = upserted(spark, path, partition, before=i).select(*batch.columns).join(touched, partition, "left_semi").unionByName(batch)
-        latest_wins(both, keys, order).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/versions/batch={i}")
+        merged = latest_wins(both, keys, order).hint("rebalance", partition)
+        merged.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/versions/batch={i}")
+        touched.write.mode("overwrite").parquet(f"{path}/touched/batch={i}")
         spark.range(1).select(F.lit(i).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/of={i}")
 
     return sink
@@ -124,8 +126,9 @@ def upserted(spark: SparkSession, path: str, partition: str, before: int | None
     commits = spark.read.parquet(f"{path}/commits").select(F.col("batch").cast("int").alias("batch"))
     if before is not None:
         commits = commits.where(F.col("batch") < before)
-    versions = spark.read.parquet(f"{path}/versions").join(commits, "batch", "left_semi")
-    newest = versions.groupBy(partition).agg(F.max("batch").alias("batch"))
+    versions = spark.read.parquet(f"{path}/versions")
+    touched = spark.read.parquet(f"{path}/touched").join(commits, "batch", "left_semi")
+    newest = touched.groupBy(partition).agg(F.max("batch").alias("batch"))
     return null_safe(versions, newest, [partition, "batch"]).drop("batch")
 
 

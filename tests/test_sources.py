@@ -162,3 +162,15 @@ def test_session_windows_and_live_hours_hold_back_the_open_hour(spark, tmp_path)
     s = live.read_files(spark, str(src), "k string, ts timestamp_ntz, v double")
     got = live.run_to_table(live.live_hourly(s, ["k"], "ts", "v", "1 minute"), "t").orderBy("hour_utc").collect()
     assert [(r.hour_utc.hour, r.readings) for r in got] == [(0, 12), (1, 12)]
+
+
+def test_stream_upsert_writes_a_partition_by_one_task(spark, tmp_path):
+    sink = live.upsert_latest(["k"], ["f"], "part")
+    batch = spark.range(0, 4000, 1, 8).select(F.col("id").alias("k"), F.lit(1).alias("f"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).cast("int").alias("part"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sink(batch, 0, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "t" / "versions").rglob("*.parquet"))) == 5  # not tasks times partitions
+    assert live.upserted(spark, str(tmp_path / "t"), "part").where("part is null").count() == 800
