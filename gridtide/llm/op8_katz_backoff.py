@@ -2,8 +2,8 @@
 
 Tokens are the words of a text and one end. Counts of all training tokens give the unigram table; the bigram table counts
 every pair of neighbours (the start of a text counts as a neighbour). Only histories that were never followed by anything
-back off with weight 1. Tokens that make up at least 1/65,536 of the training tokens (so at most 65,536 of them) have numbers;
-what is known of them as histories is broadcast. Numbers save lookups and change no result.
+back off with weight 1. The 65,536 most frequent tokens (fewer where the last of them have equal counts) have numbers; what is known
+of them as histories is broadcast, as are the 65,536 most frequent pairs of numbers. Numbers save lookups and change no result.
 
     P(w)     = d(c) c / N for a seen word; all unseen words together are one class with the mass that is left
     P(w | h) = s(h) d(c) c / C(h) if the pair was seen, else alpha(h) P(w)
@@ -13,8 +13,10 @@ d are Good-Turing discounts for counts up to 5 (from the table's counts of count
 not usable). s(h) keeps at least 1/(C(h)+1) for what follows h for the first time. Both levels sum to 1 exactly.
 
 Tables are written, and read by parts: tokens without a number and pairs that are not among the most frequent are sent to
-the part of the table that holds them (by hash), together with the row they belong to, packed per slice and part. All pairs of a
-history without a number lie in that history's part, where its C, alpha and gains are computed. Parts hold some two million
+the part of the table that holds them (by hash), together with the row they belong to. All pairs of a history without a number
+lie in that history's part, where its C, alpha and gains are computed; pairs of a numbered history and a word without a number
+lie in the word's part, where its count is. Pairs of two tokens without numbers are counted in the word's part and sent on to
+the history's. Counts and questions travel as compressed columns, one package per slice and part. Parts hold some two million
 tokens, and no key has more than 1/65,536 of all. Sums of a row's tokens come back and are added up.
 
 Defined results: null counts as empty; an empty text has one token, the end; without training documents every token is
@@ -24,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,12 +41,15 @@ from gridtide.llm import kernel, tables
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 FREQUENT = 1 << 16
 PART = 2_000_000
-KEPT = 1_000_000
+KEPT = 500_000
+SLICE = 2 << 20
 TOP = 5
-UNIGRAM, BIGRAM, RARE, ROWS = 0, 1, 2, 3
+#: Kinds of packages: tokens, pairs of numbers, of number and token without one, of token without a number and number, of two
+#: tokens without numbers, questions about pairs (by numbered and by other histories), sums of rows.
+UNIGRAM, NN, NR, RN, RR, BIGRAM, RARE, ROWS = range(8)
+CODEC = pa.Codec("zstd", 1)
 #: Set in the ids of tokens without a number and in the keys of pairs that hold one: as signed numbers they are negative.
 TOP_BIT = np.uint64(1 << 63)
-LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,13 +122,50 @@ class _Count:
         return pa.record_batch({name: pa.array(x) for name, x in zip(self.names, counted[2:], strict=True)} | {"n": pa.array(counted[1])})
 
 
-class _CountPairs(_Count):
-    """Counts of pairs of neighbours in this partition."""
+def bundled(first: np.ndarray, *more: np.ndarray) -> bytes:
+    """Columns of whole numbers, the first ascending, as compressed bytes: those of the same place in a number stand together."""
+    out = [struct.pack("<I", len(first))]
+    for x in (np.diff(first, prepend=first.dtype.type(0)), *more):
+        body = CODEC.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), asbytes=True)
+        out += [struct.pack("<cI", x.dtype.char.encode(), len(body)), body]
+    return b"".join(out)
+
+
+def columns_of(package: bytes) -> list[np.ndarray]:
+    (n,), at, out = struct.unpack_from("<I", package), 4, []
+    while at < len(package):
+        char, size = struct.unpack_from("<cI", package, at)
+        kind = np.dtype(char.decode())
+        planes = CODEC.decompress(package[at + 5 : at + 5 + size], kind.itemsize * n, asbytes=True)
+        out.append(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel())
+        at += 5 + size
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
+
 
-    names = ("before", "word")
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
-    def __init__(self, frequent):
-        self.frequent = frequent
+
+def merged(packages: list[bytes], width: int) -> list[np.ndarray]:
+    """The rows of packages whose last column is a count, ascending and summed over equal rows; `width` columns."""
+    if not packages:
+        return [np.zeros(0, np.int64)] * width
+    *keys, n = (np.concatenate(x) for x in zip(*map(columns_of, packages), strict=True))
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    keys, n = [k[order] for k in keys], n[order].astype(np.int64)
+    new = np.ones(len(n), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [*(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n]
+
+
+class _CountPairs(_Count):
+    """Counts of pairs of neighbours in this partition, packed by part and kind."""
+
+    def __init__(self, frequent, parts: int):
+        self.frequent, self.parts = frequent, parts
 
     def keys(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         h, _, first = tokens(batch.column("text"))
@@ -130,6 +173,13 @@ class _CountPairs(_Count):
         before = histories(ids, first)
         return pair_keys(before, ids, len(self.frequent.value)), before, ids
 
+    def _out(self, counted) -> pa.RecordBatch:
+        key, n, before, word = counted
+        out: list[tuple] = []
+        for kind, of, by, other in ((NN, key >= 0, key, None), (NR, (before >= 0) & (word < 0), word, before), (RN, (before < 0) & (word >= 0), before, word), (RR, (before < 0) & (word < 0), word, before)):
+            out += packed(self.parts, kind, by[of], *(() if other is None else (other[of],)), small(n[of]))
+        return _record(out)
+
 
 def counted(docs: DataFrame) -> DataFrame:
     """(key, n): the written table of counts of tokens over all rows."""
@@ -137,23 +187,69 @@ def counted(docs: DataFrame) -> DataFrame:
     return tables.stored(rows.groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
 
 
-def counted_pairs(docs: DataFrame, frequent, rare: DataFrame) -> DataFrame:
-    """(before, word, n, c): the written table of counts of pairs over all rows, with the word's own count c, which is 0
-    for numbered words. rare (key, n): unigrams without a number.
+def counted_pairs(docs: DataFrame, frequent, parts: int, rare: DataFrame) -> DataFrame:
+    """The written table of counts of pairs over all rows, packed by part and kind: NN (pair, count), NR (word, history, count, the
+    word's own count), RN (history, word, count), RR (history, word, count, the word's own count). rare: packed unigrams
+    without a number."""
+    rows = docs.select("text").mapInArrow(_CountPairs(frequent, parts), _PACKED)
+
+    def count(pairs: pa.Table, words: pa.Table) -> pa.Table:
+        return _count_part(pairs, words, parts)
 
-    Pairs are dealt by `meet`, which is a rare word's id, else a rare history's id without its sign, else a hash of the pair:
-    pairs are summed and rare words find their counts after one shuffle, and no value of `meet` is frequent."""
-    word, before = F.col("word"), F.col("before")
-    meet = F.when(word < 0, word).when(before < 0, before.bitwiseAND(HIGHEST)).otherwise(F.xxhash64(before, word).bitwiseAND(HIGHEST))
-    rows = docs.select("text").mapInArrow(_CountPairs(frequent), "before long, word long, n long").withColumn("meet", meet)
-    summed = rows.repartition("meet").groupBy("meet", "before", "word").agg(F.sum("n").alias("n"))
-    words = rare.select(F.col("key").bitwiseOR(LOWEST).alias("meet"), F.col("n").alias("c"))
-    return tables.stored(summed.join(words, "meet", "left").select("before", "word", "n", F.coalesce("c", F.lit(0)).alias("c")), "bigrams")
+    return tables.stored(rows.groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(count, _PACKED), "bigrams")
+
+
+def _of_kind(table: pa.Table, kind: int) -> list[bytes]:
+    return table.filter(pc.equal(table.column("kind"), kind)).column("body").to_pylist()
+
+
+def _count_part(pairs: pa.Table, words: pa.Table, parts: int) -> pa.Table:
+    """Counts of one part; those of pairs of two tokens without numbers are packed by the part of the history."""
+    out: list[tuple] = []
+    if pairs.num_rows:
+        part = pairs.column("part")[0].as_py()
+        key, n = merged(_of_kind(pairs, NN), 2)
+        out.append((part, NN, bundled(key, small(n))))
+        history, word, n = merged(_of_kind(pairs, RN), 3)
+        out.append((part, RN, bundled(history, small(word), small(n))))
+        known, count = merged(_of_kind(words, UNIGRAM), 2)
+        for kind in (NR, RR):
+            word, history, n = merged(_of_kind(pairs, kind), 3)
+            c = small(count[np.searchsorted(known, word)])
+            if kind == NR:
+                out.append((part, NR, bundled(word, small(history), small(n), c)))
+            else:
+                out += packed(parts, RR, history, word, small(n), c)
+    return pa.Table.from_batches([_record([x for x in out if len(x[2])])], _SCHEMA)
+
+
+class _Spectrum:
+    """Packed pairs -> counts and how many pairs have them."""
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                n, k = np.unique(columns_of(body)[1 if kind == NN else 2], return_counts=True)
+                yield pa.record_batch({"n": pa.array(n.astype(np.int64)), "k": pa.array(k.astype(np.int64))})
 
 
-def discounts(table: DataFrame) -> np.ndarray:
+def spectrum(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of a table (n, k): all values n, ascending, and the sums of k. Counts of T tokens have at most sqrt(2 T) values."""
+    got = counts.groupBy("n").agg(F.sum("k").alias("k")).toArrow()
+    n, k = got.column("n").to_numpy(), got.column("k").to_numpy()
+    order = np.argsort(n)
+    return n[order].astype(np.int64), k[order].astype(np.int64)
+
+
+def least_of_top(n: np.ndarray, k: np.ndarray) -> int:
+    """The least count such that at most FREQUENT keys have it or more."""
+    some = np.flatnonzero(np.cumsum(k[::-1])[::-1] <= FREQUENT)
+    return int(n[some[0]]) if len(some) else int(n.max(initial=0)) + 1
+
+
+def discounts(values: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Good-Turing factors d[0..TOP], 1 beyond; d[0] is unused."""
-    seen = {r.n: r.k for r in table.where(F.col("n") <= TOP + 1).groupBy("n").agg(F.count("*").alias("k")).collect()}
+    seen = dict(zip(values.tolist(), k.tolist(), strict=True))
     n = [0] + [seen.get(i, 0) for i in range(1, TOP + 2)]
     d = np.ones(TOP + 1)
     if all(n[1:]):
@@ -191,8 +287,24 @@ def backoff(count: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[np.
     return scale, np.log10((1 - scale * seen) / np.maximum(1 - lower, 1e-12))
 
 
+def numbered(body: bytes, kind: int, m: dict) -> tuple[np.ndarray, ...]:
+    """Of a package of pairs with numbered histories: key, history, count of the pair, count of its word."""
+    if kind == NN:
+        key, n = columns_of(body)
+        history = key // len(m["counts"])
+        return key, history, n, m["counts"][key % len(m["counts"])]
+    word, history, n, c = columns_of(body)
+    history = history.astype(np.int64)
+    return pair_keys(history, word, len(m["frequent"])), history, n, c
+
+
+def gain_of(history: np.ndarray, n: np.ndarray, c: np.ndarray, m: dict) -> np.ndarray:
+    """What a seen pair with a numbered history adds to the log probability of backing off."""
+    return np.log10(m["scale"][history] * discounted(n, m["d2"]) / m["history"][history]) - m["log_alpha"][history] - m["unigrams"].log_p(c)
+
+
 class _Seen:
-    """Pairs with a numbered history -> the history, their discounted share and the unigram probability of their word."""
+    """Packed pairs -> numbered histories, the discounted shares of their pairs and the unigram probabilities of the words."""
 
     def __init__(self, model):
         self.model = model
@@ -200,88 +312,95 @@ class _Seen:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = self.model.value
         for batch in batches:
-            before, word, n, c = (batch.column(x).to_numpy() for x in ("before", "word", "n", "c"))
-            c = np.where(word >= 0, m["counts"][np.maximum(word, 0)], c)
-            p = discounted(n, m["d2"]) / m["history"][before]
-            yield pa.record_batch({"history": pa.array(before), "p": pa.array(p), "lower": pa.array(10 ** m["unigrams"].log_p(c))})
+            p, lower = np.zeros((2, len(m["counts"])))
+            for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                _, history, n, c = numbered(body, kind, m)
+                p += np.bincount(history, discounted(n, m["d2"]) / m["history"][history], len(p))
+                lower += np.bincount(history, 10 ** m["unigrams"].log_p(c), len(p))
+            some = np.flatnonzero(p)
+            yield pa.record_batch({"history": pa.array(some), "p": pa.array(p[some]), "lower": pa.array(lower[some])})
 
 
 class _Gain:
-    """Pairs -> key, history, counts of pair and word, and what a seen pair adds to the log probability of backing off (0 where
-    the history has no number: its part of the table finds the gain)."""
+    """Packed pairs with a numbered history -> key, count and gain of those with `least` or more."""
 
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, model, least: int = 0):
+        self.model, self.least = model, least
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = self.model.value
         for batch in batches:
-            before, word, n, c = (batch.column(x).to_numpy() for x in ("before", "word", "n", "c"))
-            c = np.where(word >= 0, m["counts"][np.maximum(word, 0)], c)
-            h = np.maximum(before, 0)
-            gain = np.log10(m["scale"][h] * discounted(n, m["d2"]) / m["history"][h]) - m["log_alpha"][h] - m["unigrams"].log_p(c)
-            key = pair_keys(before, word, len(m["frequent"]))
-            yield pa.record_batch({"key": pa.array(key), "n": pa.array(n), "gain": pa.array(np.where(before >= 0, gain, 0.0)), "history": pa.array(before), "c": pa.array(c)})
+            for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                key, history, n, c = numbered(body, kind, m)
+                some = n >= self.least
+                gain = gain_of(history[some], n[some], c[some], m)
+                yield pa.record_batch({"key": pa.array(key[some]), "n": pa.array(n[some].astype(np.int64)), "gain": pa.array(gain)})
 
 
 def learn(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
-    """The small part of the model (arrays over at most 65,537 numbers), the unigram and the bigram table."""
+    """The model (arrays over at most 65,537 numbers; its `pairs` is the packed bigram table), the unigram table, and a view of the
+    pairs with a numbered history, one in a row with its gain."""
     sc = docs.sparkSession.sparkContext
     uni = counted(docs)
-    total, distinct = uni.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    d1 = discounts(uni)
-    low = {r.n: r.k for r in uni.where(F.col("n") <= TOP).groupBy("n").agg(F.count("*").alias("k")).collect()}
-    left = sum(k * n * (1 - d1[n]) for n, k in low.items()) / max(total, 1)
+    values, k = spectrum(uni.select("n", F.lit(1).alias("k")))
+    total, distinct = int((values * k).sum()), int(k.sum())
+    d1 = discounts(values, k)
+    left = sum(x * n * (1 - d1[n]) for n, x in zip(values.tolist(), k.tolist(), strict=True) if n <= TOP) / max(total, 1)
     unigrams = Unigrams(total, distinct, d1, left)
-    top = uni.where(F.col("n") * FREQUENT >= total).toArrow()  # at most 65,536 rows
+    least = least_of_top(values, k)
+    top = uni.where(F.col("n") >= least).toArrow()  # at most 65,536 rows
     hashes, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(hashes)
     frequent, n = hashes[order], n[order].astype(np.int64)
     ends = int(n[frequent == END].sum()) or (uni.where(F.col("key") == int(np.array([END]).view(np.int64)[0])).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
-    pairs = counted_pairs(docs, sc.broadcast(frequent), uni.where(F.col("n") * FREQUENT < total))
+    parts = max(1, -(-total // PART))
+    pairs = counted_pairs(docs, sc.broadcast(frequent), parts, uni.where(F.col("n") < least).mapInArrow(_UnigramTable(parts), _PACKED))
+    values, k = spectrum(pairs.mapInArrow(_Spectrum(), "n long, k long"))
     history = np.concatenate(([max(ends, 1)], n)).astype(float)
     log_uni = np.concatenate(([0.0], unigrams.log_p(n)))
-    model = {"frequent": frequent, "counts": np.concatenate(([0], n)), "history": history, "log_uni": log_uni, "d2": discounts(pairs), "unigrams": unigrams, "total": total}
-    rows = pairs.where("before >= 0").mapInArrow(_Seen(sc.broadcast(model)), "history long, p double, lower double")
+    model = {"frequent": frequent, "counts": np.concatenate(([0], n)), "history": history, "log_uni": log_uni, "d2": discounts(values, k), "unigrams": unigrams, "total": total}
+    model |= {"parts": parts, "least": least}
+    known = pairs.where(F.col("kind").isin(NN, NR))
+    rows = known.mapInArrow(_Seen(sc.broadcast(model)), "history long, p double, lower double")
     sums = rows.groupBy("history").agg(F.sum("p").alias("p"), F.sum("lower").alias("lower")).toArrow()  # at most 65,537 rows
     seen, lower = np.zeros(len(history)), np.zeros(len(history))
     seen[sums.column("history").to_numpy()] = sums.column("p").to_numpy()
     lower[sums.column("history").to_numpy()] = sums.column("lower").to_numpy()
     scale, log_alpha = backoff(history, seen, lower)
     model |= {"scale": scale, "log_alpha": log_alpha}
-    gain, columns = _Gain(sc.broadcast(model)), "key long, n long, gain double, history long, c long"
-    heavy = pairs.where(F.col("n") * FREQUENT >= total).mapInArrow(gain, columns).toArrow()  # at most 65,536 rows, of numbers
+    shared, columns = sc.broadcast(model), "key long, n long, gain double"
+    heavy = pairs.where(F.col("kind") == NN).mapInArrow(_Gain(shared, least_of_top(values, k)), columns).toArrow()  # at most 65,536 rows
     order = np.argsort(heavy.column("key").to_numpy())
-    model |= {"heavy": heavy.column("key").to_numpy()[order], "heavy_gain": heavy.column("gain").to_numpy()[order]}
-    model["parts"] = max(1, -(-total // PART))
-    return model, uni, pairs.mapInArrow(gain, columns)
+    model |= {"heavy": heavy.column("key").to_numpy()[order], "heavy_gain": heavy.column("gain").to_numpy()[order], "pairs": pairs}
+    return model, uni, known.mapInArrow(_Gain(shared), columns)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (kernel.mix(keys.view(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
 
-def packed(parts: int, kind: int, keys: np.ndarray, values: np.ndarray, by: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """One row for each part of the table that holds some of the keys, which lie in the part of `by` where it is given; a key's
-    values are in the last axis."""
-    part = part_of(keys if by is None else by, parts)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
+def packed(parts: int, kind: int, keys: np.ndarray, *more: np.ndarray, by: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """One package for each part of the table that holds some of the keys, which lie in the part of `by` where it is given."""
+    order = np.argsort(keys)
+    part = part_of(keys if by is None else by, parts)[order]
+    order = order[np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")]
+    edges = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts)))) if len(part) else np.zeros(1, np.int64)
     for p in np.flatnonzero(np.diff(edges)).tolist():
         at = order[edges[p] : edges[p + 1]]
-        yield p, kind, keys[at].tobytes(), values[..., at].tobytes()
+        yield p, kind, bundled(keys[at], *(x[at] for x in more))
 
 
-_PACKED = "part long, kind int, keys binary, vals binary"
+_PACKED = "part long, kind int, body binary"
+_SCHEMA = pa.schema({"part": pa.int64(), "kind": pa.int32(), "body": pa.binary()})
 
 
 def _record(listed: list[tuple], **more: pa.Array) -> pa.RecordBatch:
-    part, kind, keys, values = zip(*listed, strict=True)
-    return pa.record_batch({"part": pa.array(part, pa.int64()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary()), "vals": pa.array(values, pa.binary())} | more)
+    part, kind, body = zip(*listed, strict=True) if listed else ((), (), ())
+    return pa.record_batch({"part": pa.array(part, pa.int64()), "kind": pa.array(kind, pa.int32()), "body": pa.array(body, pa.binary())} | more)
 
 
-class _Table:
-    """A table's rows packed by part, some hundred thousand at a time."""
+class _UnigramTable:
+    """Unigrams packed by part, some hundred thousand at a time."""
 
     def __init__(self, parts: int, rows: int = 1 << 19):
         self.parts, self.rows = parts, rows
@@ -289,32 +408,17 @@ class _Table:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
+            held.append(batch)
             if sum(x.num_rows for x in held) >= self.rows:
-                yield _record(list(self._rows(pa.Table.from_batches(held))))
+                yield self._packed(held)
                 held = []
         if held:
-            yield _record(list(self._rows(pa.Table.from_batches(held))))
+            yield self._packed(held)
 
-    def _rows(self, rows: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
-        raise NotImplementedError
-
-
-class _UnigramTable(_Table):
-    def _rows(self, rows: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
+    def _packed(self, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
         key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-        yield from packed(self.parts, UNIGRAM, (key.view(np.uint64) | TOP_BIT).view(np.int64), n)
-
-
-class _BigramTable(_Table):
-    """Gains of pairs with a numbered history; history and counts of other pairs, by history."""
-
-    def _rows(self, rows: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
-        key, gain, history, n, c = (rows.column(x).to_numpy() for x in ("key", "gain", "history", "n", "c"))
-        rare = history < 0
-        yield from packed(self.parts, BIGRAM, key[~rare], gain[~rare])
-        yield from packed(self.parts, RARE, key[rare], np.stack((history[rare], n[rare], c[rare])), history[rare])
+        return _record(list(packed(self.parts, UNIGRAM, (key.view(np.uint64) | TOP_BIT).view(np.int64), small(n))))
 
 
 class _Ask:
@@ -328,7 +432,7 @@ class _Ask:
         uni, parts = m["unigrams"], m["parts"]
         log_base = np.concatenate(([0.0], uni.log_base(m["counts"][1:])))
         task = TaskContext.get().partitionId() << 32
-        for at, batch in enumerate(kernel.texts(batches)):
+        for at, batch in enumerate(kernel.texts(batches, limit=SLICE)):
             h, row, first = tokens(batch.column("text"))
             ids = numbers(h, m["frequent"])
             before = histories(ids, first)
@@ -352,11 +456,12 @@ class _Ask:
                 )
             )
             batch_id = task + at
-            out = [(batch_id % parts, ROWS, sums.tobytes(), b"")]
-            out += packed(parts, UNIGRAM, ids[other], row[other].astype(_small(rows)))
-            rare = before[pair] < 0
-            out += packed(parts, BIGRAM, key[~rare], row[pair[~rare]].astype(_small(rows)))
-            out += packed(parts, RARE, key[rare], row[pair[rare]].astype(_small(rows)), before[pair[rare]])
+            at_row = row.astype(_small(rows))
+            out = [(batch_id % parts, ROWS, sums.tobytes())]
+            out += packed(parts, UNIGRAM, ids[other], at_row[other])
+            word, rare = ids[pair], before[pair] < 0
+            out += packed(parts, BIGRAM, key[~rare], at_row[pair[~rare]], by=np.where(word < 0, word, key)[~rare])
+            out += packed(parts, RARE, key[rare], at_row[pair[rare]], by=before[pair[rare]])
             ids_here = [batch.column("doc_id")] + [batch.column("doc_id").slice(0, 0)] * (len(out) - 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids_here]))), pa.int32()), batch.column("doc_id"))
             yield _record(out, batch=pa.array([batch_id] * len(out), pa.int64()), rows=pa.array([rows] * len(out), pa.int32()), doc_ids=lists)
@@ -370,22 +475,28 @@ def _small(rows: int) -> type:
 _SUMS = "batch long, rows int, doc_ids array<{kind}>, whole binary, at binary, known binary, base binary, score binary"
 
 
-def _known(table: pa.Table, uni: Unigrams, d2: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
-    """One part of the tables: per kind the sorted keys and their values. Beside the unigrams' counts stand log alphas."""
-    known = {}
-    for k, kind in ((UNIGRAM, np.int64), (BIGRAM, np.float64), (RARE, np.int64)):
-        mine = table.filter(pc.equal(table.column("kind"), k))
-        keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in mine.column("keys").to_pylist())])
-        vals = [np.frombuffer(x, kind).reshape(3 if k == RARE else 1, -1) for x in mine.column("vals").to_pylist()]
-        vals = np.concatenate([np.zeros((3 if k == RARE else 1, 0), kind), *vals], axis=1)
+def _known(table: pa.Table, m: dict) -> dict[int, tuple[np.ndarray, ...]]:
+    """One part of the tables: per kind of question the sorted keys and their values. Beside the unigrams' counts stand log alphas."""
+    uni = m["unigrams"]
+
+    def listed(rows: list[list[np.ndarray]], width: int) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * width
+
+    def by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        known[k] = keys[order], *vals[:, order]
-    keys, history, n, c = known[RARE]
+        return keys[order], values[order]
+
+    known = {}
+    rows = [numbered(body, kind, m) for kind in (NN, NR) for body in _of_kind(table, kind)]
+    key, history, n, c = listed(rows, 4)
+    known[BIGRAM] = by_key(key, gain_of(history, n, c, m))
+    rows = [[h, w.astype(np.int64), n, m["counts"][w]] for h, w, n in map(columns_of, _of_kind(table, RN))] + [columns_of(x) for x in _of_kind(table, RR)]
+    history, word, n, c = listed(rows, 4)
     found, at = np.unique(history, return_inverse=True)
-    count, mass, log_p = np.bincount(at, n, len(found)), discounted(n, d2), uni.log_p(c)
+    count, mass, log_p = np.bincount(at, n, len(found)), discounted(n, m["d2"]), uni.log_p(c)
     scale, log_alpha = backoff(count, np.bincount(at, mass, len(found)) / np.maximum(count, 1), np.bincount(at, 10**log_p, len(found)))
-    known[RARE] = keys, np.log10(scale[at] * mass / count[at]) - log_alpha[at] - log_p
-    keys, n = known[UNIGRAM]
+    known[RARE] = by_key(pair_keys(history, word, len(m["frequent"])), np.log10(scale[at] * mass / count[at]) - log_alpha[at] - log_p)
+    keys, n = merged(_of_kind(table, UNIGRAM), 2)
     alphas = np.zeros(len(keys))  # 0 for what never was a history
     if len(found) and len(keys):
         place = np.minimum(np.searchsorted(found, keys), len(found) - 1)
@@ -394,9 +505,9 @@ def _known(table: pa.Table, uni: Unigrams, d2: np.ndarray) -> dict[int, tuple[np
     return known
 
 
-def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams, d2: np.ndarray) -> pa.Table:
+def _answer(asked: pa.Table, table: pa.Table, m: dict) -> pa.Table:
     """All questions to one part of the tables: per slice one row with the sums of the rows that asked, packed."""
-    known = _known(table, uni, d2)
+    known, uni = _known(table, m), m["unigrams"]
     asked = asked.sort_by([("batch", "ascending"), ("kind", "ascending")])
     kinds, batches, sizes = (asked.column(x).to_pylist() for x in ("kind", "batch", "rows"))
     out: list[list] = [[] for _ in range(8)]
@@ -405,12 +516,12 @@ def _answer(asked: pa.Table, table: pa.Table, uni: Unigrams, d2: np.ndarray) ->
         batch, rows = batches[at], sizes[at]
         sums, whole, ids = np.zeros((3, rows)), None, None
         while at < asked.num_rows and batches[at] == batch:
-            raw = asked.column("keys")[at].as_py()
+            raw = asked.column("body")[at].as_py()
             if kinds[at] == ROWS:
                 whole, ids = raw, asked.column("doc_ids")[at].as_py()
                 at += 1
                 continue
-            key, row = np.frombuffer(raw, np.int64), np.frombuffer(asked.column("vals")[at].as_py(), _small(rows))
+            key, row = columns_of(raw)
             keys, vals, *alphas = known[kinds[at]]
             place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
@@ -449,22 +560,22 @@ def _total(parts: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids} | counts | {"base_score": pa.array(sums[2]), "score": pa.array(sums[3])})
 
 
-def score(docs: DataFrame, model: dict, uni: DataFrame, gains: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, model: dict, uni: DataFrame, gains: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score. The view of gains is not needed: they are
+    taken from the packed table."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.select("doc_id", "text").mapInArrow(_Ask(sc.broadcast(model)), f"{_PACKED}, batch long, rows int, doc_ids array<{kind}>")
-    unnamed = uni.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_UnigramTable(model["parts"]), _PACKED)
-    light = gains.where(F.col("n") * FREQUENT < model["total"]).mapInArrow(_BigramTable(model["parts"]), _PACKED)
-    unigrams, d2 = model["unigrams"], model["d2"]
+    shared = sc.broadcast({k: x for k, x in model.items() if k != "pairs"})
+    asked = docs.select("doc_id", "text").mapInArrow(_Ask(shared), f"{_PACKED}, batch long, rows int, doc_ids array<{kind}>")
+    unnamed = uni.where(F.col("n") < model["least"]).mapInArrow(_UnigramTable(model["parts"]), _PACKED)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _answer(left, right, unigrams, d2)
+        return _answer(left, right, shared.value)
 
     def total(parts: pa.Table) -> pa.Table:
         return _total(parts)
 
-    answers = asked.groupBy("part").cogroup(unnamed.unionByName(light).groupBy("part")).applyInArrow(answer, _SUMS.format(kind=kind))
+    answers = asked.groupBy("part").cogroup(unnamed.unionByName(model["pairs"]).groupBy("part")).applyInArrow(answer, _SUMS.format(kind=kind))
     whole = answers.groupBy("batch").applyInArrow(total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return whole.select("doc_id", "n_tokens", "n_known", F.lit(model["total"]).cast("long").alias("train_tokens"), "base_score", "score")
 

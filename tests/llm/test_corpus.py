@@ -211,6 +211,21 @@ def katz(train, texts, d1, d2):
     return [sum(log_p(a, b) for a, b in zip(["<s>", *words(t)], [*words(t), "</s>"])) for t in texts]
 
 
+def test_katz_tables_are_small(spark):
+    """Packages give back their columns; written pairs take a few bytes each, and as many tokens have numbers as may."""
+    rng = np.random.default_rng(7)
+    keys = np.sort(rng.integers(-(1 << 63), 1 << 63, 1000))
+    more = [rng.integers(0, 500, 1000).astype(np.uint16), rng.integers(-(1 << 63), 1 << 63, 1000)]
+    assert all((x == y).all() and x.dtype == y.dtype for x, y in zip([keys, *more], op8.columns_of(op8.bundled(keys, *more)), strict=True))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 2000)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, uni, gains = op8.learn(docs)
+    assert len(model["frequent"]) == uni.count()
+    pairs = len({p for t in texts for p in zip(["<s>", *t.split()], [*t.split(), "</s>"])})
+    assert gains.count() == pairs
+    assert model["pairs"].agg(F.sum(F.length("body"))).first()[0] < 6 * pairs
+
+
 @pytest.mark.parametrize("frequent", (8, 64, 1 << 16))
 @pytest.mark.parametrize("part", (200, 1 << 20))
 def test_katz_pairs_of_rare_tokens(spark, monkeypatch, frequent, part):
