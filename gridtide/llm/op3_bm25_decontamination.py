@@ -1,11 +1,11 @@
-"""Benchmark decontamination by BM25 retrieval with block maxima.
+"""Benchmark decontamination by BM25 retrieval with essential postings.
 
 Test items (cut into segments of at most `SEGMENT` words) form an inverted index. Impacts are BM25 weights divided by the
 segment's score for its own words, so 1 means that a passage has all of them. Every passage of every document (windows of
 `WINDOW` words, `STEP` apart; a segment lies whole in one of them) is a query, and all items at `threshold` or more are
-retrieved. As in WAND, bounds decide what is scored: the sum of the passage's largest impacts per word, then the sum of its
-largest impacts per word and block of items; only items of blocks that can reach the threshold are scored. Bounds are never below
-the score, so nothing is lost.
+retrieved. As in MaxScore, bounds decide what is scored: a segment's most common words, up to a share `SPARE` of the threshold,
+make no candidates; a passage is scored against a segment if the segment's other words that it has can reach the threshold
+together with these. Bounds are never below the score, so nothing is lost.
 
 A retrieved item counts if the text around the passage has at least `overlap` of the word trigrams of its question and of
 its answer. `benchmark` has one text per item: its last third is taken as the answer.
@@ -30,7 +30,7 @@ from gridtide.llm import kernel, tables
 
 SEGMENT, WINDOW, STEP = 64, 96, 32
 ITEMS, CHARS = 2000, 8 << 20
-BLOCK = 16
+SPARE = 0.8
 K1, B = 1.2, 0.75
 
 
@@ -41,8 +41,13 @@ def spread(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 class Index:
-    """Postings of item segments, grouped by word, with block maxima."""
+    """Postings of item segments, grouped by word."""
 
     def __init__(self, items: list[tuple[int, str]]):
         words = kernel.words_of(pa.array([t for _, t in items], pa.large_string()), kernel.WORD_BYTE)
@@ -65,13 +70,22 @@ class Index:
         own = np.bincount(segment, weight, self.segments)
         self.impact, self.segment = weight / own[segment], segment
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        block = key // self.segments * (self.segments // BLOCK + 1) + segment // BLOCK
-        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(key) else np.zeros(0, int)
-        self.blocks = self.segments // BLOCK + 1
-        self.block_max = np.maximum.reduceat(self.impact, starts) if len(starts) else np.zeros(0)
-        self.block = segment[starts] // BLOCK
-        self.block_first = np.searchsorted(term[starts], np.arange(len(self.terms) + 1))
-        self.term_max = np.maximum.reduceat(self.impact, self.first[:-1]) if len(self.terms) else np.zeros(0)
+        self.key, self.term, self.df = key, term, df
+        self._essential: dict[float, tuple[np.ndarray, ...]] = {}
+
+    def essential(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Postings that make candidates (offsets by word, segments, impacts), and what a segment's other words add at most."""
+        if threshold not in self._essential:
+            order = np.lexsort((self.term, -self.df[self.term], self.segment))
+            impact, segment = self.impact[order], self.segment[order]
+            total = np.cumsum(impact)
+            starts = np.searchsorted(segment, np.arange(self.segments))
+            other = np.zeros(len(order), bool)
+            other[order] = total - (total - impact)[np.minimum(starts, max(len(order) - 1, 0))][segment] <= SPARE * threshold
+            rest = np.bincount(self.segment[other], self.impact[other], self.segments)
+            first = np.searchsorted(self.term[~other], np.arange(len(self.terms) + 1))
+            self._essential[threshold] = first, self.segment[~other], self.impact[~other], rest
+        return self._essential[threshold]
 
     def retrieve(self, words: kernel.Words, h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word of the passage, segment, score) of all passages and segments at the threshold or more."""
@@ -80,42 +94,46 @@ class Index:
         if not len(self.terms) or not len(h):
             return none
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        hit = np.flatnonzero(self.terms[at] == h)
+        known = self.terms[at] == h
+        first, segments, impacts, rest = self.essential(threshold)
+        hit = np.flatnonzero(known & (np.diff(first) > 0)[at])
         # Cells of STEP words; a row's passages begin at its cells and take WINDOW // STEP of them.
         cells = -(-words.counts // STEP)
         cell0 = np.concatenate(([0], np.cumsum(cells)))
         row = words.doc[hit]
         cell = cell0[row] + (hit - words.first[row]) // STEP
-        width = len(self.terms)
-        pairs = np.unique(cell.astype(np.int64) * width + at[hit])
-        cell, term = pairs // width, pairs % width
-        total = np.concatenate((np.bincount(cell, self.term_max[term], cell0[-1]), np.zeros(WINDOW // STEP)))
-        bound = sum(total[j : j + cell0[-1]] for j in range(WINDOW // STEP))  # over the end of a row: still a bound
-        some = np.flatnonzero(bound >= threshold - 1e-9)
-        if not len(some):
+        pairs = distinct(cell.astype(np.int64) * len(self.terms) + at[hit])
+        o, p = spread(first, pairs % len(self.terms))
+        cell, segment, impact = pairs[o] // len(self.terms), segments[p], impacts[p]
+        start = cell0[np.searchsorted(cell0, cell, side="right") - 1]
+        keys, parts = [], []
+        for j in range(WINDOW // STEP):  # a word in several cells of a passage adds up: still a bound
+            inside = cell - j >= start
+            keys.append((cell[inside] - j) * self.segments + segment[inside])
+            parts.append(impact[inside])
+        key, part = np.concatenate(keys), np.concatenate(parts)
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else empty
+        if not len(starts):
             return none
-        owner = np.searchsorted(cell0, some, side="right") - 1
-        first_pair = np.searchsorted(cell, np.arange(cell0[-1] + WINDOW // STEP + 1))
-        query, words_in = [], []
-        for j in range(WINDOW // STEP):
-            inside = np.flatnonzero(some + j < cell0[owner + 1])
-            q, p = spread(first_pair, some[inside] + j)
-            query.append(inside[q])
-            words_in.append(term[p])
-        pairs = np.unique(np.concatenate(query) * width + np.concatenate(words_in))
-        query, term = pairs // width, pairs % width
-        o, p = spread(self.block_first, term)
-        in_block = np.bincount(query[o] * self.blocks + self.block[p], self.block_max[p], len(some) * self.blocks) >= threshold - 1e-9
-        live = in_block.reshape(len(some), self.blocks).any(1)[query]
-        query, term = query[live], term[live]
-        o, p = spread(self.first, term)
-        kept = in_block[query[o] * self.blocks + self.segment[p] // BLOCK]
-        o, p = o[kept], p[kept]
-        key, back = np.unique(query[o] * self.segments + self.segment[p], return_inverse=True)
-        score = np.bincount(back, self.impact[p], len(key))
+        key, bound = key[starts], np.add.reduceat(part[order], starts)
+        some = key[bound + rest[key % self.segments] >= threshold - 1e-9]
+        # Scores of the passages that are left, over their distinct words.
+        cell, segment = some // self.segments, some % self.segments
+        owner = np.searchsorted(cell0, cell, side="right") - 1
+        begin = words.first[owner] + (cell - cell0[owner]) * STEP
+        n = np.minimum(begin + WINDOW, words.first[owner + 1]) - begin
+        query = np.repeat(np.arange(len(some)), n)
+        place = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + begin[query]
+        pairs = distinct((query * len(self.terms) + at[place])[known[place]])
+        query, posting = pairs // len(self.terms), pairs % len(self.terms) * self.segments
+        posting += segment[query]
+        place = np.minimum(np.searchsorted(self.key, posting), len(self.key) - 1)
+        hit = self.key[place] == posting
+        score = np.bincount(query[hit], self.impact[place[hit]], len(some))
         good = score >= threshold
-        query, segment, score = key[good] // self.segments, key[good] % self.segments, score[good]
-        return owner[query], words.first[owner[query]] + (some[query] - cell0[owner[query]]) * STEP, segment, score
+        return owner[good], begin[good], segment[good], score[good]
 
     def overlaps(self, item: int, around: np.ndarray) -> tuple[float, float]:
         """Shares of the word trigrams of the item's question and answer that the text around has."""

@@ -321,6 +321,25 @@ def test_retrieval_against_full_scores():
         assert sure <= set(got) <= set(want) and all(math.isclose(got[k], want[k]) for k in sure)
 
 
+def test_common_words_make_no_candidates():
+    """Words of every item are looked up only for passages that have rarer words of the item; scores stay whole."""
+    import pyarrow as pa
+
+    from gridtide.llm import kernel
+
+    common = "the of and to in is"
+    index = op3.Index([(i, f"{common} rare{i} odd{i} single{i}") for i in range(50)] + [(50, ""), (51, "one")])
+    first, segments, impacts, rest = index.essential(0.5)
+    for w in common.split():
+        at = int(np.searchsorted(index.terms, np.uint64(kernel.word_hash(w))))
+        assert first[at] == first[at + 1]
+    assert len(segments) <= 50 * 3 + 1 and (rest <= 0.4 + 1e-9).all()
+    assert np.allclose(np.bincount(segments, impacts, index.segments) + rest, [1.0] * 50 + [0.0, 1.0])
+    words = kernel.words_of(pa.array([common * 3, f"{common} rare7 odd7 single7", None, "x one"]), kernel.WORD_BYTE)
+    row, _, segment, score = index.retrieve(words, words.hashes(), 0.5)
+    assert list(zip(row.tolist(), segment.tolist())) == [(1, 7), (3, 51)] and np.allclose(score, 1)
+
+
 def test_decontamination_keeps_clean_rows(spark, odd):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, "")], "item_id long, text string")
     got = op3.clean(odd, items)
