@@ -156,3 +156,30 @@ def test_sums_do_not_depend_on_partitioning(spark):
     whole = df.collect()
     again = spark.createDataFrame(whole[::-1], "x double").repartition(7)
     assert one(again, exact.exact_sum("x")) == one(spark.createDataFrame(whole, "x double"), exact.exact_sum("x"))
+
+
+def test_exact_aggregates_add_whole_numbers(spark):
+    """Sums and means of groups are those of the units, rounded once, and no row is turned into a decimal."""
+    import struct
+    from fractions import Fraction
+
+    from gridtide.functions import exact
+
+    groups = {
+        1: [0.1, 0.2, -0.3, 5e-16, -0.0], 2: [1e17, 3.3, -1e17, 7.7e17] * 3, 3: [2.0**52 + 1, 0.5, 0.25], 4: [-(2.0**52) - 1, -0.75, 2.0**-50], 5: [None, None], 6: [None, -1.5, 2.0**-51],
+        7: [9.99e17] * 40, 8: [12345.67] * 41 + [-0.01], 9: [-12345.678, 12345.678, -(2.0**-49)],
+    }
+    odd = {20: [float("nan"), 1.0], 21: [float("inf"), 1.0], 22: [1e18, 1.0], 23: [1e300, -1e300]}
+    rows = [(g, x) for g, xs in (groups | odd).items() for x in xs]
+    got = spark.createDataFrame(rows, "g int, x double").repartition(4).groupBy("g").agg(exact.exact_sum("x").alias("s"), exact.exact_avg("x").alias("m"))
+    assert "as decimal(18,0)" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: (r.s, r.m) for r in got.collect()}
+    for g, xs in groups.items():
+        units = [int(x) * 2**50 + int((x - int(x)) * 2.0**50) for x in xs if x is not None]
+        if not units:
+            assert got[g] == (None, None)
+            continue
+        total = float(sum(units))
+        assert struct.pack("<2d", *got[g]) == struct.pack("<2d", total / 2**50, total / (len(units) * 2.0**50))
+        assert abs(Fraction(got[g][0]) - Fraction(sum(units), 2**50)) <= Fraction(abs(got[g][0])) * Fraction(1, 2**53)
+    assert all(x != x for x in got[20]) and got[21] == (float("inf"),) * 2 and got[22] == (1e18 + 1.0, (1e18 + 1.0) / 2) and got[23] == (0.0, 0.0)
